@@ -9,7 +9,7 @@ CASES = {
     "under the mit licensed": (4, [], ""),
     "Licensed under the Apache License, Version 2.0. Again: apache license version 2": (13, [3, 9], "apache-2"),
     "CC BY-NC 4.0 and cc-by-nc": (9, [0, 6], "cc-by-nc"),
-    "released under the GNU General Public License, version 3.": (8, [], "gpl-3"),
+    "released under the GNU General Public License, version 3.": (9, [], "gpl-3"),
     "GNU General Public License": (4, [], "gpl-unversioned"),
     "SPDX-License-Identifier: BSD-3-Clause": (6, [], "bsd-3-clause"),
     "under the KMIT license, İ é": (6, [], None),
