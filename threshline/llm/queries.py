@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+from threshline.llm.ann import op9_approximate_neighbours
+from threshline.llm.decontam import op10_benchmark_decontamination
 from threshline.llm.licenses import op4_license_scan
+from threshline.llm.lines import op6_line_dedup
 from threshline.llm.mixing import op3_mix_sources
 from threshline.llm.simhash import op8_simhash_near_dedup
+from threshline.llm.suffix import op2_suffix_array_dedup
+from threshline.llm.toxicity import op5_toxicity_chain
 from threshline.llm.warc import op7_warc_normalise
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op4_license_scan, op7_warc_normalise, op8_simhash_near_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_suffix_array_dedup,
+        op3_mix_sources,
+        op4_license_scan,
+        op5_toxicity_chain,
+        op6_line_dedup,
+        op7_warc_normalise,
+        op8_simhash_near_dedup,
+        op9_approximate_neighbours,
+        op10_benchmark_decontamination,
+    )
+}
 
 ORACLES = {
     "op7_warc_normalise": """
