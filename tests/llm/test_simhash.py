@@ -71,3 +71,51 @@ def test_empty_and_repeated_rows(spark):
     assert simhash.near_duplicates(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (5, "a b"), (5, "a b")], "doc_id long, text string")
     assert sorted((r.id or 0, r.component) for r in simhash.near_duplicates(rows).collect()) == [(0, 5), (5, 5), (5, 5)]
+
+
+def brute_stay(rows, similarity=0.8, words=5):
+    """Greedy by id: a text goes if one that stays before it is as similar."""
+    def sh(t):
+        w = (t or "").encode().lower().split()
+        return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    stay = []
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        s = sh(t)
+        if not any((not s and not o) or (len(s & o) / (len(s | o) or 1)) >= similarity for _, o in stay):
+            stay.append((i, s))
+    return sorted(str(i) for i, _ in stay)
+
+
+def near_corpus():
+    rng = np.random.default_rng(3)
+    prose = lambda n: [f"w{int(x)}" for x in rng.integers(0, 4000, n)]
+    rows = []
+    for g in range(12):
+        base = prose(160)
+        rows.append((g * 100, " ".join(base)))
+        for c in range(6):
+            w = list(base)
+            for _ in range(1 + c % 3):
+                w[int(rng.integers(0, 160))] = "changed"
+            rows.append((g * 100 + 1 + c, " ".join(w)))
+    rows += [(5000 + i, " ".join(prose(50))) for i in range(40)]
+    return [*rows, (6000, None), (6001, ""), (6002, "tiny text"), (6003, "Tiny  text"), (None, rows[0][1])]
+
+
+def test_one_of_each_group_stays(spark, monkeypatch):
+    rows = near_corpus()
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, root double")
+    for limit in (32 << 20, 100):
+        monkeypatch.setattr(simhash, "COMPONENT", limit)
+        kept = simhash.drop_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        got, want = {str(r.doc_id) for r in kept.collect()}, set(brute_stay(rows))
+        # a copy at the edge of the similarity may have a fingerprint beyond the radius
+        assert want <= got and len(got - want) <= 3
+
+
+def test_repeated_rows_keep_one(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here now"), (2, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()) == [(1, "a b c d e f"), (1, "other words here now")]
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0

@@ -7,6 +7,7 @@ from threshline.llm.decontam import op10_benchmark_decontamination
 from threshline.llm.licenses import op4_license_scan
 from threshline.llm.lines import op6_line_dedup
 from threshline.llm.mixing import op3_mix_sources
+from threshline.llm.secrets import op1_secret_scan
 from threshline.llm.simhash import op8_simhash_near_dedup
 from threshline.llm.suffix import op2_suffix_array_dedup
 from threshline.llm.toxicity import op5_toxicity_chain
@@ -15,6 +16,7 @@ from threshline.llm.warc import op7_warc_normalise
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_suffix_array_dedup,
         op3_mix_sources,
         op4_license_scan,

@@ -33,6 +33,8 @@ FEATURES = 4096
 FOLDS = 3
 #: Documents that a feature must occur in to be used.
 LEAST = 4
+#: Standard errors that a feature's log odds must be away from none.
+CLEAR = 4.0
 
 #: Kinds of toxic wording by which labelled toxic rows are told apart (fixed values).
 INSULTS = "idiot moron loser clown scum"
@@ -74,7 +76,7 @@ class Chain:
 
     @staticmethod
     def _select(docs: list[set[str]], labels: np.ndarray) -> dict[str, int]:
-        """The features that tell the classes apart best, by log odds weighed with their count."""
+        """The features that tell the classes apart best, by log odds over their standard error."""
         total: dict[str, np.ndarray] = {}
         for d, y in zip(docs, labels, strict=True):
             one = np.append(y, 1.0)
@@ -88,9 +90,12 @@ class Chain:
             return {}
         t = np.array([total[f] for f in names])
         n, yes, got = len(docs), labels.sum(0), t[:, :-1]
-        rate, other = (got + 0.5) / (yes + 1), (t[:, -1:] - got + 0.5) / (n - yes + 1)
-        score = (np.abs(np.log(rate / other)) * np.sqrt(t[:, -1:])).max(1)
+        rest = t[:, -1:] - got
+        odds = np.log((got + 0.5) / (yes - got + 0.5)) - np.log((rest + 0.5) / (n - yes - rest + 0.5))
+        error = np.sqrt(1 / (got + 0.5) + 1 / (yes - got + 0.5) + 1 / (rest + 0.5) + 1 / (n - yes - rest + 0.5))
+        score = np.abs(odds / error).max(1)
         best = np.lexsort((np.arange(len(names)), -score))[:FEATURES]
+        best = best[score[best] >= CLEAR]
         return {names[i]: j for j, i in enumerate(sorted(best.tolist()))}
 
     @staticmethod
@@ -161,7 +166,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: _Rows, more: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def _logistic(x: _Rows, more: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by scaled gradient steps."""
     w, v, b = np.zeros(x.width), np.zeros(more.shape[1]), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     gw, gv, gb = np.full(x.width, 1e-8), np.full(more.shape[1], 1e-8), 1e-8
