@@ -29,10 +29,10 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import materialize, new_path
+from threshline.llm.common import materialize, new_path, release
 
 ARCHIVE_BYTES = 2 << 20
 REVISIT_BYTES = 100
@@ -91,10 +91,14 @@ def inflate(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
                 raise ValueError("the archive's gzip stream is cut off")
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+
+
 def classify(pages: DataFrame) -> DataFrame:
     """(page_id, digest, first) of every page whose payload another page holds too; first is the smallest page_id."""
-    size, digest = F.octet_length(F.coalesce("html", F.lit(""))), F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    meta = pages.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    meta = pages.select("page_id", _digest().alias("digest"), size.alias("size")).where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
     meta = materialize(meta, "payloads")
     shared = meta.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     return meta.join(shared, "digest").select("page_id", "digest", "first").distinct()
@@ -102,8 +106,7 @@ def classify(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """A written table (archive, content) of gzip streams with a record for each page."""
-    digest = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), digest.alias("digest"))
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), _digest().alias("digest"))
     shared = classify(pages).select(F.col("page_id").alias("p"), F.col("digest").alias("g"), "first", F.lit(True).alias("shared"))
     rows = rows.join(shared, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("g")), "left").drop("p", "g")
     rows = rows.repartition("page_id").sortWithinPartitions("page_id", "digest")
@@ -114,7 +117,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         for b in batches:
             for page, url, html, digest, first, shared in b[["page_id", "url", "html", "digest", "first", "shared"]].itertuples(index=False):
                 page, first = (None if pd.isna(x) else int(x) for x in (page, first))
-                payload = html.encode("utf-8", "surrogatepass")
+                payload, digest = html.encode("utf-8", "surrogatepass"), digest.hex()
                 is_first = page == first and (page, digest) != before
                 before = (page, digest)
                 revisit = shared is True and not is_first
@@ -146,7 +149,7 @@ def _archive(out: list[bytes], z) -> pd.DataFrame:
     return pd.DataFrame({"archive": [f"{hashlib.sha256(data).hexdigest()[:32]}.warc.gz"], "content": [data]})
 
 
-INDEX = "archive string, offset long, length long, record_id string, warc_type string, uri string, digest string"
+INDEX = "archive string, offset long, length long, record_id string, warc_type string, uri string"
 
 
 def normalise(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +162,10 @@ def normalise(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for head, raw in split_stream(inflate(content)):
                     member = gzip.compress(raw, 6, mtime=0)
                     members.append(member)
-                    index.append(("index", name, at, len(member), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-payload-digest"), None))
+                    index.append(("index", name, at, len(member), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), None))
                     at += len(member)
-                rows = [*index, ("warc", name, None, None, None, None, None, None, b"".join(members))]
-                yield pd.DataFrame(rows, columns=["kind", "archive", "offset", "length", "record_id", "warc_type", "uri", "digest", "content"]).astype({"offset": "Int64", "length": "Int64"})
+                rows = [*index, ("warc", name, None, None, None, None, None, b"".join(members))]
+                yield pd.DataFrame(rows, columns=["kind", "archive", "offset", "length", "record_id", "warc_type", "uri", "content"]).astype({"offset": "Int64", "length": "Int64"})
 
     spark, path = archives.sparkSession, new_path(archives.sparkSession, "normalised")
     archives.mapInPandas(run, f"kind string, {INDEX}, content binary").write.partitionBy("kind").parquet(path)
@@ -196,5 +199,7 @@ def read_records(archives: DataFrame, index: DataFrame) -> DataFrame:
 
 def op7_warc_normalise(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    archives, index = normalise(write_archives(pages))
+    raw = write_archives(pages)
+    archives, index = normalise(raw)
+    release(raw)  # both results are written: nothing reads the streams again
     return read_records(archives, index).drop("uri")
