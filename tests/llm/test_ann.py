@@ -58,5 +58,9 @@ def test_bad_vectors_take_no_part(spark):
 def test_traversal_reaches_every_leaf_once():
     rng = np.random.default_rng(6)
     tree = ann.Tree(rng.normal(size=(500, 6)), 30)
-    order = tree.visit(rng.normal(size=6), tree.leaves)
+    q = rng.normal(size=6)
+    order, depth = tree.visit(q, np.inf)
     assert sorted(order) == list(range(tree.leaves)) and tree.leaves >= 20
+    assert depth == sorted(depth)
+    for margin in (0.0, 0.3, 1.0):
+        assert tree.visit(q, margin)[0] == [x for x, d in zip(order, depth, strict=True) if d <= margin]

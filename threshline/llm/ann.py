@@ -2,14 +2,16 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` vectors by hash order), so
 its centres are a bounded broadcast; every vector is then assigned to a leaf.
-A query walks the tree through a priority queue, best centre first, and visits
-as many leaves as calibration asks for: on ``CALIBRATE`` queries, brute force
-over all vectors gives the true neighbours, and visits widen until their mean
-recall reaches the target (all leaves, and so exact, if nothing less does).
+A query walks the tree through a priority queue, best centre first, and goes on
+visiting leaves until the best bin left is a margin below its first leaf. The
+margin is calibrated: on ``CALIBRATE`` queries, brute force over all vectors
+gives the true neighbours, and visits widen until their mean recall reaches the
+target (all leaves, and so exact, if nothing less does). A query in a dense
+cluster so visits few leaves, one far from all centres many.
 
 Equal vectors are one entry with their k + 1 smallest ids, among candidates and
-among queries: exact, as no query can use more. Leaves are cut into blocks of
-``BLOCK`` vectors by ``BLOCK`` queries, so no task holds a whole hot leaf.
+among queries: exact, as no query can use more. Leaves are packed into, or cut into,
+bins of about ``BLOCK`` vectors, each met by at most ``BLOCK`` queries at once.
 
 Cases: vectors that are null, all zero, or hold a null or non-finite component
 take no part, nor do those of another length than the commonest (ties: the
@@ -78,18 +80,29 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visit(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that best-bin-first traversal reaches."""
+    def visit(self, q: np.ndarray, margin: float) -> tuple[list[int], list[float]]:
+        """Leaves in best-bin-first order, and for each how far below the first leaf the traversal had come.
+
+        The traversal ends when the best bin left is more than the margin below the first leaf.
+        """
         score = self.points @ q
-        queue, out = [(-score[0], 0)], []
-        while queue and len(out) < most:
-            _, node = heapq.heappop(queue)
+        queue, out, depth = [(-score[0], 0)], [], []
+        low = best = np.inf
+        while queue:
+            top, node = heapq.heappop(queue)
             kids = self.children[node]
+            if out:
+                low = min(low, -top)
+                if best - low > margin:
+                    break
             if not kids:
+                if not out:
+                    best = low = -top
                 out.append(self.leaf[node])
+                depth.append(best - low)
             for k in kids:
                 heapq.heappush(queue, (-score[k], k))
-        return out
+        return out, depth
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -123,15 +136,15 @@ def _distinct(v: DataFrame, k: int) -> DataFrame:
     return few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k + 1 best of each row, and of all that tie with the last of them."""
-    if scores.shape[1] <= k + 1:
-        return np.ones(scores.shape, bool)
-    edge = -np.partition(-scores, k, axis=1)[:, k]
-    return scores >= edge[:, None] - 1e-12
+def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of each row's k + 1 best finite scores, and of all that tie with the last of them."""
+    edge = np.full(len(scores), -np.inf)
+    if scores.shape[1] > k + 1:
+        edge = -np.partition(-scores, k, axis=1)[:, k] - 1e-12
+    return np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.96, id_col: str = "vec_id", vec_col: str = "embedding", leaf_rows: int = 256) -> tuple[DataFrame, dict]:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", leaf_rows: int = 256) -> tuple[DataFrame, dict]:
     """(query_id, rank, id, score) of each query's k nearest found, and what calibration found.
 
     ``queries`` are rows of the same form; a query's own id is no candidate for it.
@@ -148,37 +161,54 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
                 yield b.assign(leaf=tree.assign(_stack(b["vec"])))
 
     data = materialize(data.mapInPandas(assign, "vec array<float>, ids array<long>, leaf int"), "leaves")
-    visits, found = _calibrate(data, asked, tree, k, recall)
+    margin, found = _calibrate(data, asked, tree, k, recall)
     once = asked.groupBy("vec").agg(F.min("id").alias("q"))
+    # neighbouring leaves share a bin of about BLOCK vectors; a larger leaf has bins of its own. The tree bounds both.
+    sizes = {r["leaf"]: r["count"] for r in data.groupBy("leaf").count().collect()}
+    first, parts, at, full = [], [], 0, 0
+    for leaf in range(tree.leaves):
+        n_leaf = sizes.get(leaf, 0)
+        if full and full + n_leaf > BLOCK:
+            at, full = at + 1, 0
+        first.append(at)
+        parts.append(max(1, -(-n_leaf // BLOCK)))
+        at, full = at + parts[-1] - 1, (full + n_leaf if parts[-1] == 1 else BLOCK)
+    ints = lambda x: F.array(*[F.lit(i) for i in x])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                yield part.assign(leaf=[tree.visit(q, visits) for q in _stack(part["vec"])])
-
-    walked = once.mapInPandas(walk, "vec array<float>, q long, leaf array<int>").select("q", F.col("vec").alias("qvec"), F.explode("leaf").alias("leaf"))
-    walked = materialize(walked, "visits")
-    blocks = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    # one row a leaf: the tree bounds them
-    plan = F.broadcast(blocks(data, "xs").join(blocks(walked, "qs"), "leaf"))
-    x = data.join(plan, "leaf").withColumn("xb", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("xs")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    q = walked.join(plan, "leaf").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("qs")).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+            rows = []
+            for q, vec, raw in zip(b["q"], _stack(b["vec"]), b["vec"], strict=True):
+                bins: dict[int, list[int]] = {}
+                for leaf in tree.visit(vec, margin)[0]:
+                    for x in range(first[leaf], first[leaf] + parts[leaf]):
+                        bins.setdefault(x, []).append(leaf)
+                rows += [(q, raw, x, own) for x, own in bins.items()]
+            yield pd.DataFrame(rows, columns=["q", "qvec", "bin", "leaves"])
+
+    walked = materialize(once.mapInPandas(walk, "q long, qvec array<float>, bin int, leaves array<int>"), "visits")
+    plan = F.broadcast(walked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")))  # one row a bin
+    spread = F.element_at(ints(first), F.col("leaf") + 1) + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.element_at(ints(parts), F.col("leaf") + 1)).cast("int")
+    x = data.withColumn("bin", spread).join(plan, "bin").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    q = walked.join(plan, "bin").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("qs")).cast("int"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "near": []})
-        vecs, out = _stack(left["vec"]), []
-        for at in range(0, len(right), 512):
-            part = right.iloc[at : at + 512]
-            scores = _stack(part["qvec"]) @ vecs.T
-            for row, s, keep in zip(part["q"], scores, _best(scores, k), strict=True):
-                near = sorted((-s[j], int(i)) for j in np.flatnonzero(keep) for i in left["ids"].iloc[j])[: k + 1]
-                out.append((row, [{"low": a, "id": i} for a, i in near]))
+        vecs, ids, out = _stack(left["vec"]), left["ids"].tolist(), []
+        leaves, where = np.unique(left["leaf"], return_inverse=True)
+        for at in range(0, len(right), 256):
+            part = right.iloc[at : at + 256]
+            open_leaf = np.array([np.isin(leaves, own, assume_unique=True) for own in part["leaves"]])
+            scores = np.where(open_leaf[:, where], _stack(part["qvec"]) @ vecs.T, -np.inf)
+            near: list[list[tuple]] = [[] for _ in range(len(part))]
+            for r, c in zip(*(i.tolist() for i in _top(scores, k)), strict=True):
+                near[r] += [(-scores[r, c], int(i)) for i in ids[c]]
+            out += [(row, [{"low": s, "id": i} for s, i in sorted(m)[: k + 1]]) for row, m in zip(part["q"], near, strict=True) if m]
         return pd.DataFrame(out, columns=["q", "near"])
 
-    keys = ["leaf", "xb", "qb"]
-    near = x.select(*keys, "vec", "ids").groupBy(*keys).cogroup(q.select(*keys, "q", "qvec").groupBy(*keys)).applyInPandas(compare, "q long, near array<struct<low:double,id:long>>")
+    keys = ["bin", "qb"]
+    near = x.select(*keys, "leaf", "vec", "ids").groupBy(*keys).cogroup(q.select(*keys, "q", "qvec", "leaves").groupBy(*keys)).applyInPandas(compare, "q long, near array<struct<low:double,id:long>>")
     best = near.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     every = asked.join(once, "vec").select("id", "q").join(best, "q")
     own = F.slice(F.filter("near", lambda m: m["id"] != F.col("id")), 1, k)
@@ -186,31 +216,34 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("m.id").alias("id"), (-F.col("m.low")).alias("score")), found
 
 
-def _calibrate(data: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> tuple[int, dict]:
-    """Leaf visits that reach the recall on sampled queries, judged by brute force over all vectors."""
+def _calibrate(data: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> tuple[float, dict]:
+    """The margin whose leaf visits reach the recall on sampled queries, judged by brute force over all vectors."""
     sample = asked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATE).toPandas()
     if not len(sample):
-        return 1, {"visits": 1, "leaves": tree.leaves, "recall": None}
-    qs, ids = _stack(sample["vec"]), sample["id"].tolist()
+        return 0.0, {"margin": 0.0, "leaves": tree.leaves, "recall": None}
+    qs, own = _stack(sample["vec"]), sample["id"].tolist()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[tuple]] = [[] for _ in ids]
+        held: list[list[tuple]] = [[] for _ in own]
         for b in batches:
-            for at in range(0, len(b), 2048):
-                part = b.iloc[at : at + 2048]
-                scores = qs @ _stack(part["vec"]).T
-                for r, (s, keep) in enumerate(zip(scores, _best(scores, k), strict=True)):
-                    more = [(-s[j], int(i), int(part["leaf"].iloc[j])) for j in np.flatnonzero(keep) for i in part["ids"].iloc[j] if i != ids[r]]
-                    held[r] = heapq.nsmallest(k, held[r] + more)
+            ids, leaf = b["ids"].tolist(), b["leaf"].tolist()
+            scores = qs @ _stack(b["vec"]).T
+            for r, c in zip(*(i.tolist() for i in _top(scores, k)), strict=True):
+                held[r] += [(-scores[r, c], int(i), leaf[c]) for i in ids[c] if i != own[r]]
+            held = [heapq.nsmallest(k, h) for h in held]
         yield pd.DataFrame([(r, *m) for r, h in enumerate(held) for m in h], columns=["r", "low", "id", "leaf"])
 
     near = data.mapInPandas(exact, "r int, low double, id long, leaf int")
     near = near.withColumn("rank", F.row_number().over(W.partitionBy("r").orderBy("low", "id"))).where(F.col("rank") <= k).select("r", "leaf").toPandas()
-    at = [{leaf: i for i, leaf in enumerate(tree.visit(q, tree.leaves))} for q in qs]
-    need = pd.Series([at[r][leaf] + 1 for r, leaf in zip(near["r"], near["leaf"], strict=True)])
-    got = {v: float((need <= v).groupby(near["r"]).mean().mean()) for v in range(1, tree.leaves + 1)} if len(need) else {1: 1.0}
-    visits = min((v for v, r in got.items() if r >= recall), default=tree.leaves)
-    return visits, {"visits": visits, "leaves": tree.leaves, "recall": got[visits]}
+    at = [dict(zip(*tree.visit(q, np.inf), strict=True)) for q in qs]
+    need = np.array([at[r][leaf] for r, leaf in zip(near["r"], near["leaf"], strict=True)])
+    weight = 1 / near.groupby("r")["leaf"].transform("size").to_numpy() / max(1, near["r"].nunique())
+    by = np.argsort(need, kind="stable")
+    reached = np.cumsum(weight[by])
+    i = min(int(np.searchsorted(reached, recall)), len(by) - 1) if len(by) else -1
+    margin = float(need[by[i]]) + 1e-9 if i >= 0 else 0.0
+    leaves = float(np.mean([len(tree.visit(q, margin)[0]) for q in qs]))
+    return margin, {"margin": margin, "leaves": tree.leaves, "mean_visits": leaves, "recall": float(reached[i]) if i >= 0 else None}
 
 
 def op9_approximate_neighbours(spark, sf_dir: str) -> DataFrame:
