@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +63,29 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, folder)
 
 
+_SMALLER, _LARGER = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
+
+
+def pack(text: str) -> bytes:
+    """A text's bytes, compressed for a shuffle."""
+    return _SMALLER.compress(text.encode("utf-8", "surrogatepass"))
+
+
+def unpack_bytes(data: bytes) -> bytes:
+    return _LARGER.decompress(data)
+
+
+def unpack(data: bytes) -> str:
+    return unpack_bytes(data).decode("utf-8", "surrogatepass")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts are Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
-import zlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import materialize
+from threshline.llm.common import materialize, pack, slices, unpack_bytes
 
 LENGTH = 400
 #: Bytes of the substrings that anchors are chosen among.
@@ -49,7 +48,7 @@ GRAM = 32
 #: Arrays above this many bytes are kept in files.
 IN_MEMORY = 256 << 20
 #: Bytes of segments that one sort takes at least, unless its partition ends; a larger group is sorted as one.
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: Distinct segments above which an anchor's windows are dealt to several shards by their distance to it.
 HOT = 2048
 STRIPE = 32
@@ -321,7 +320,7 @@ def _bytes_of(text: str | None) -> bytes:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             data = _bytes_of(text)
@@ -329,15 +328,15 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # where the anchor stands belongs to the segment: equal ones are aligned
                 sid = xxhash.xxh3_64_intdigest(data[lo : hi + LENGTH], (anchor - lo) & 0xFFFFFFFF)
                 rows.append((k1, k2, lo, hi, h, sid - (1 << 64) if sid >> 63 else sid))
-                if len(rows) >= 50_000:
+                if len(rows) >= 20_000:
                     yield _rows(_ANCHORS, rows)
                     rows = []
         yield _rows(_ANCHORS, rows)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        packed = [zlib.compress(_bytes_of(t), 1) for t in b.column(2).to_pylist()]
+    for b in slices(batches):
+        packed = [pack(t or "") for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["k1", "k2", "packed"])
 
 
@@ -346,10 +345,10 @@ _SEGMENT = pa.schema([("h", pa.int64()), ("stripe", pa.int32()), ("sid", pa.int6
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the listed segments; those of hot anchors in stripes of windows at equal distance to the anchor."""
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for packed, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            data = zlib.decompress(packed)
+            data = unpack_bytes(packed)
             for w in wanted:
                 lo, hi = w["lo"], w["hi"]
                 if w["m"] <= HOT:
@@ -370,7 +369,7 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Rows arrive by (h, stripe); whole groups are gathered until a shard is full."""
     rows: list[tuple] = []
     size, last = 0, None
-    for b in batches:
+    for b in slices(batches):
         for h, stripe, sid, copies, at, part in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
             if size >= SHARD and (h, stripe) != last:
                 yield _found(rows)
@@ -400,10 +399,10 @@ _RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for k1, packed, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            data = zlib.decompress(packed)
+            data = unpack_bytes(packed)
             spans = _merge([(lo["lo"] + r["a"], lo["lo"] + r["b"]) for lo in found or [] for r in lo["runs"]], len(data))
             digest, at = hashlib.sha256(), 0
             for x, y in spans:
