@@ -1,15 +1,611 @@
-"""Every query of the library by name, and the SQL that checks it."""
+"""Every query of the library by name, and the SQL that DuckDB checks it with."""
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from threshline import engine
+from threshline.functions import dims, headers, text, urls
+from threshline.operators import evaluation, fusion, insights, links, model, reputation
+from threshline.plans import inputs
+from threshline.plans.inputs import duck, frame
+from threshline.sources import files, html, mail
+from threshline.streaming import scan
 
-def queries() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, with its SQL where there is one."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = duck(sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _list(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+# --- SQL building blocks ----------------------------------------------------
+
+
+def _host(u: str) -> str:
+    rest = rf"regexp_replace({u}, '^\s*[hH][tT][tT][pP][sS]?:[/\\]*', '')"
+    authority = f"regexp_extract({rest}, '^[^/?#]*')"
+    return f"lower(rtrim(regexp_replace(regexp_replace({authority}, '^.*@', ''), ':[0-9]*$', ''), '.'))"
+
+
+def _org(d: str) -> str:
+    p = f"list_filter(string_split(lower(trim({d})), '.'), lambda p: p <> '')"
+    deep = f"array_to_string({p}[-2:], '.') IN {_in(dims.SHARED_SUFFIXES)} OR (length({p}[-1]) = 2 AND {p}[-2] IN {_in(dims.SECOND_LEVEL)})"
+    return f"CASE WHEN len({p}) > 2 AND ({deep}) THEN array_to_string({p}[-3:], '.') WHEN len({p}) > 2 THEN array_to_string({p}[-2:], '.') ELSE array_to_string({p}, '.') END"
+
+
+def _below(host: str, suffixes: list[str]) -> str:
+    return f"len(list_filter({_list(suffixes)}, lambda s: {host} = s OR ends_with({host}, '.' || s))) > 0"
+
+
+def _userinfo(u: str) -> str:
+    return rf"contains(regexp_extract(regexp_replace({u}, '^\s*[hH][tT][tT][pP][sS]?:[/\\]*', ''), '^[^/?#]*'), '@')"
+
+
+_IP = r"^([0-9]+|0[xX][0-9a-fA-F]+)([.]([0-9]+|0[xX][0-9a-fA-F]+)){0,3}$"
+_REDIRECT = r"https?:|//|[=?&#]\s*www[.][\w-]+[.]|^/amp/(s/)?[\w-]+([.][\w-]+)+|^/(url|redirect|l[.]php|slink|linkredirect|iclouddrive|safe_redirect|away)([/?#.]|$)"
+
+#: One row a distinct address, with its classes and score.
+FACTS = f"""u AS (SELECT DISTINCT url FROM ({inputs.LINKS})),
+h AS (SELECT url, {_host("url")} AS host, {_userinfo("url")} AS usr FROM u),
+o AS (SELECT *, {_org("host")} AS org, {_below("host", dims.CLOUD_FILE_HOSTS)} AS cloud, regexp_matches(host, '{_IP}') AS ip, regexp_matches(host, '(^|[.])xn--') AS odd, string_split(host, '.')[-1] IN {_in(dims.SUSPICIOUS_TLDS)} AS tld,
+  regexp_replace(regexp_replace(url, '^[a-zA-Z]+:/*', ''), '^[^/?#]*', '') AS tail FROM h),
+k AS (SELECT *, host <> '' AND NOT cloud AND NOT ({_below("host", dims.USER_CONTENT_HOSTS)}) AND NOT regexp_matches(CASE WHEN tail = '' THEN '/?#' ELSE tail END, '{_REDIRECT}', 'i') AND (host IN {_in(dims.WELL_KNOWN)} OR org IN {_in(dims.WELL_KNOWN)}) AS known FROM o),
+f AS (SELECT *, CASE WHEN starts_with(lower(url), 'http://') THEN 0.25 ELSE 0 END + CASE WHEN ip THEN 0.40 ELSE 0 END + CASE WHEN usr THEN 0.35 ELSE 0 END + CASE WHEN length(url) > 75 THEN 0.15 ELSE 0 END + CASE WHEN tld THEN 0.30 ELSE 0 END
+  + CASE WHEN odd THEN 0.30 ELSE 0 END + CASE WHEN regexp_matches(url, 'login|verify|account|update|secure', 'i') THEN 0.10 ELSE 0 END + CASE WHEN cloud THEN 0.45 ELSE 0 END AS raw FROM k),
+facts AS (SELECT *, CAST(least(1.0, CASE WHEN known THEN least(raw, 0.10) ELSE raw END) AS DOUBLE) AS score, NOT known AND (ip OR usr OR odd OR tld OR cloud) AS strong FROM f)"""
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, inputs.LINKS)
+
+
+# --- links -------------------------------------------------------------------
+
+
+@query(f"WITH {FACTS} SELECT url, host, org AS org_domain, ip AS is_ip, usr AS has_user, cloud, known AS well_known, round(score, 6) AS rule_score, strong FROM facts")
+def url_facts(spark, sf_dir):
+    f = links.url_facts(_links(spark, sf_dir))
+    return f.select("url", "host", F.col("org").alias("org_domain"), "is_ip", "has_user", "cloud", "well_known", F.round("rule_score", 6).alias("rule_score"), "strong")
+
+
+@query(f"WITH {FACTS}, l AS ({inputs.LINKS}) SELECT l.mail_id, round(max(score), 6) AS worst, bool_or(strong) AS strong_link FROM l JOIN facts USING (url) GROUP BY 1")
+def url_heuristic(spark, sf_dir):
+    d = _links(spark, sf_dir)
+    return d.select("mail_id", "url").join(links.url_facts(d).select("url", "rule_score", "strong"), "url").groupBy("mail_id").agg(F.round(F.max("rule_score"), 6).alias("worst"), F.bool_or("strong").alias("strong_link"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_heuristic(spark, sf_dir)
+
+
+_SENDER = "CASE mail_id % 4 WHEN 0 THEN 'mail.acme.example' WHEN 1 THEN 'paypal.com' WHEN 2 THEN 'alice.github.io' ELSE '' END"
+PROFILE = f"""WITH {FACTS}, l AS (SELECT DISTINCT mail_id, url FROM ({inputs.LINKS})), c AS (SELECT l.mail_id, CASE WHEN {_org(_SENDER)} <> '' AND org = {_org(_SENDER)} THEN 'aligned' WHEN org IN {_in(dims.TRACKING)} THEN 'tracking' WHEN cloud THEN 'cloud' WHEN known THEN 'well_known' ELSE 'other' END AS kind
+  FROM l JOIN facts USING (url) WHERE host <> '' AND host NOT IN {_in(dims.ASSET_HOSTS)}),
+p AS (SELECT mail_id, count(*) AS links, count(*) FILTER (kind = 'aligned') AS aligned, count(*) FILTER (kind = 'well_known') AS well_known, count(*) FILTER (kind = 'cloud') AS cloud, count(*) FILTER (kind = 'tracking') AS tracking, count(*) FILTER (kind = 'other') AS other FROM c GROUP BY 1)"""
+
+
+@query(f"{PROFILE} SELECT * FROM p")
+def link_profile(spark, sf_dir):
+    d = _links(spark, sf_dir)
+    return links.link_profile(d, d.select("mail_id").distinct().withColumn("from_domain", F.expr(_SENDER)))
+
+
+@query(f"{PROFILE} SELECT mail_id, cloud > 0 OR (aligned = 0 AND other > 0) AS elsewhere FROM p")
+def links_elsewhere(spark, sf_dir):
+    return link_profile(spark, sf_dir).select("mail_id", links.links_elsewhere(F.col("cloud"), F.col("aligned"), F.col("other")).alias("elsewhere"))
+
+
+@query(f"""WITH l AS ({inputs.LINKS}), a AS (SELECT *, row_number() OVER (PARTITION BY mail_id, url ORDER BY grp, pos) AS n FROM l), b AS (SELECT *, row_number() OVER (PARTITION BY mail_id, grp, {_host("url")} ORDER BY pos) AS s FROM a WHERE n = 1),
+c AS (SELECT mail_id, url, row_number() OVER (PARTITION BY mail_id ORDER BY grp, CASE WHEN s > 1 THEN 1 ELSE 0 END, pos) AS rank FROM b) SELECT mail_id, CAST(rank AS INTEGER) AS rank, url FROM c WHERE rank <= 4""")
+def rank_links(spark, sf_dir):
+    return links.rank_links(_links(spark, sf_dir), limit=4)
+
+
+_HAS = lambda c, ws: "(" + " OR ".join(f"contains({c}, '{w}')" for w in ws) + ")"
+_INT = lambda c: f"CAST({c} AS INTEGER)"
+
+
+@query(f"""WITH l AS (SELECT mail_id, url FROM ({inputs.LINKS}) WHERE regexp_matches(url, '^https?://')),
+s AS (SELECT *, regexp_replace(url, '^[a-zA-Z]+://', '') AS rest FROM l), d AS (SELECT *, lower(regexp_extract(rest, '^[^/?#]*')) AS dom FROM s), t AS (SELECT *, substr(rest, length(dom) + 1) AS tail FROM d),
+q AS (SELECT *, regexp_extract(tail, '^[^?#]*') AS path, regexp_extract(tail, '^[^?#]*[?]([^#]*)', 1) AS query, TRY_CAST(regexp_extract(dom, ':([0-9]+)$', 1) AS INTEGER) AS port, length(dom) - length(replace(dom, '.', '')) AS dots FROM t)
+SELECT mail_id, count(*) AS url_count, 1 AS has_urls, {_INT("count(*) > 5")} AS excessive_urls, max({_INT("regexp_matches(dom, '^[0-9]{1,3}([.][0-9]{1,3}){3}$')")}) AS domain_has_ip, max({_INT("contains(dom, '-')")}) AS domain_has_hyphen, max({_INT("contains(url, '@')")}) AS domain_has_at_symbol,
+  max({_INT("dots > 3")}) AS excessive_subdomains, max({_INT("regexp_matches(dom, '[.](tk|ml|ga|cf|gq|xyz)$')")}) AS domain_has_suspicious_tld, max({_INT("length(dom) > 30")}) AS domain_length_suspicious,
+  max({_INT(_HAS("dom", dims.MODEL_BRANDS) + " AND NOT " + _below("dom", dims.MODEL_DOMAINS))}) AS possible_brand_spoofing, max({_INT(_HAS("lower(path)", dims.PATH_KEYWORDS))}) AS path_has_suspicious_keywords, max({_INT("contains(url, '%')")}) AS url_has_encoding,
+  max({_INT("contains(regexp_extract(rest, '^(.*?)(://|$)', 1), '//')")}) AS url_has_redirection, max({_INT("query <> ''")}) AS has_query_params, max({_INT("coalesce(port NOT IN (80, 443), false)")}) AS uses_non_standard_port, max({_INT(_HAS("dom", dims.SHORTENERS))}) AS is_shortened_url,
+  max(CAST(length(dom) AS INTEGER)) AS domain_length, max(CAST(dots AS INTEGER)) AS domain_dots_count, max(CAST(length(path) AS INTEGER)) AS path_length, max(CAST(CASE WHEN query = '' THEN 0 ELSE len(string_split(query, '&')) END AS INTEGER)) AS query_param_count,
+  max({" + ".join(_INT(f"contains(lower(query), '{p}')") for p in dims.SUSPICIOUS_PARAMS)}) AS suspicious_param_count, min({_INT("starts_with(lower(url), 'https://')")}) AS uses_https FROM q GROUP BY mail_id""")
+def url_features(spark, sf_dir):
+    return links.url_features(_links(spark, sf_dir).where(F.col("url").rlike("^https?://")))
+
+
+@query()
+def typosquat_similarity(spark, sf_dir):
+    d = _links(spark, sf_dir).where(F.col("url").rlike("^https?://"))
+    return links.url_features(d, typosquatting=True).select("mail_id", "potential_typosquatting")
+
+
+@query(f"""WITH l AS (SELECT *, {_host("url")} AS host, regexp_extract(regexp_replace(regexp_replace(url, '^[a-zA-Z]+:/*', ''), '^[^/?#]*', ''), '^[^?#]*') AS path FROM ({inputs.LINKS})),
+s AS (SELECT *, CASE {" ".join(f"WHEN ({_below('host', h.split())}) AND starts_with(path, '{p}') THEN '{n}'" for h, p, n in dims.SHARE_SERVICES)} END AS service FROM l)
+SELECT mail_id, service, count(*) AS n FROM s WHERE service IS NOT NULL GROUP BY ALL""")
+def shared_links(spark, sf_dir):
+    d = links.shared_links(_links(spark, sf_dir).withColumn("pos", F.col("grp") * 100 + F.col("pos")))
+    hits = _links(spark, sf_dir).withColumn("service", urls.shared_service(F.col("url"))).where("service IS NOT NULL")
+    return hits.join(d.select("mail_id"), "mail_id", "left_semi").groupBy("mail_id", "service").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT mail_id, url FROM ({inputs.LINKS})), {FACTS}, s AS (SELECT l.mail_id, max(score) AS worst FROM l JOIN facts USING (url) GROUP BY 1) SELECT mail_id, round(greatest(worst, 0.05), 6) AS p_url FROM s""")
+def url_agent(spark, sf_dir):
+    d = _links(spark, sf_dir)
+    bodies = d.select("mail_id").distinct().withColumn("body", F.lit("nothing written here"))
+    return links.url_agent(d, bodies).select("mail_id", F.round("p_url", 6).alias("p_url"))
+
+
+# --- reputation ----------------------------------------------------------------
+
+PRIMARY = "SELECT url, CASE page_id % 2 WHEN 0 THEN 'MALWARE' ELSE 'SOCIAL_ENGINEERING' END AS threat_type FROM @pages WHERE page_id % 11 = 0"
+PHISH = "SELECT url FROM @pages WHERE page_id % 7 = 0 UNION ALL SELECT 'https://docs.google.com/x' UNION ALL SELECT 'http://3232235777/' UNION ALL SELECT 'https://u123.ct.sendgrid.net/other'"
+MALWARE = "SELECT url FROM @pages WHERE page_id % 5 = 0"
+BLOCK = "SELECT 'evil.click' AS domain, 'SPAM' AS threat_type UNION ALL SELECT 'evil.tk', 'SOCIAL_ENGINEERING'"
+CACHE = "SELECT url, page_id % 2 = 0 AS malicious, CASE page_id % 2 WHEN 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS score, page_id FROM @pages WHERE page_id % 13 = 0"
+_SHARED = _below("regexp_replace(host, '^www[.]', '')", dims.SHARED_PATH_HOSTS)
+
+
+@query(f"""WITH u AS (SELECT DISTINCT url FROM ({inputs.LINKS})), h AS (SELECT url, {_host("url")} AS host FROM u), p AS (SELECT DISTINCT url FROM ({PHISH})), d AS (SELECT DISTINCT {_host("url")} AS host FROM p)
+SELECT h.url, CASE WHEN p.url IS NOT NULL THEN 'url' WHEN d.host IS NOT NULL AND NOT ({_SHARED.replace("host", "h.host")}) THEN 'domain' END AS match FROM h LEFT JOIN p ON h.url = p.url LEFT JOIN d ON h.host = d.host""")
+def phish_lookup(spark, sf_dir):
+    feed = frame(spark, sf_dir, PHISH)
+    hosts = feed.select(urls.link_host(F.col("url")).alias("host")).distinct()
+    return reputation.phish_lookup(_links(spark, sf_dir).select("url").distinct(), feed, hosts).select("url", "match")
+
+
+@query(f"""WITH n AS (SELECT DISTINCT CASE WHEN regexp_matches(trim(url), '^https?://', 'i') THEN trim(url) ELSE 'http://' || trim(url) END AS url FROM ({inputs.LINKS})), h AS (SELECT url, {_host("url")} AS host FROM n),
+g AS (SELECT url, count(*) AS c FROM ({PRIMARY}) GROUP BY 1), p AS (SELECT DISTINCT url FROM ({PHISH})), d AS (SELECT DISTINCT {_host("url")} AS host FROM p), m AS (SELECT DISTINCT url FROM ({MALWARE})), b AS (SELECT domain AS host, min(threat_type) AS t FROM ({BLOCK}) GROUP BY 1), k AS (SELECT url, max(page_id) AS page_id FROM ({CACHE}) GROUP BY 1),
+x AS (SELECT h.url, k.url IS NOT NULL AS cached, k.page_id % 2 = 0 AS c_bad, g.url IS NOT NULL AS gsb, p.url IS NOT NULL OR (d.host IS NOT NULL AND NOT ({_SHARED.replace("host", "h.host")})) AS pt, m.url IS NOT NULL AS mal, b.t IS NOT NULL AS dbl
+  FROM h LEFT JOIN k ON h.url = k.url LEFT JOIN g ON h.url = g.url LEFT JOIN p ON h.url = p.url LEFT JOIN d ON h.host = d.host LEFT JOIN m ON h.url = m.url LEFT JOIN b ON h.host = b.host),
+y AS (SELECT *, CAST(pt AS INTEGER) + CAST(mal AS INTEGER) + CAST(dbl AS INTEGER) AS c FROM x)
+SELECT url, cached, CASE WHEN cached THEN c_bad ELSE gsb OR c > 0 END AS malicious, CAST(CASE WHEN cached THEN CASE WHEN c_bad THEN 1 ELSE 0 END WHEN gsb THEN 1 WHEN c > 0 THEN least(1, 0.4 * c + 0.2) ELSE 0 END AS DOUBLE) AS score,
+  CASE WHEN cached THEN '' WHEN gsb THEN 'google_safe_browsing' ELSE array_to_string(list_filter([CASE WHEN pt THEN 'phishtank' END, CASE WHEN mal THEN 'urlhaus' END, CASE WHEN dbl THEN 'spamhaus_dbl' END], lambda s: s IS NOT NULL), ',') END AS sources FROM y""")
+def reputation_cascade(spark, sf_dir):
+    feed = frame(spark, sf_dir, PHISH)
+    cache = reputation.keep_latest(frame(spark, sf_dir, CACHE), "url", "page_id").select("url", "malicious", "score", F.array().cast("array<string>").alias("sources"), F.array().cast("array<string>").alias("threat_types"))
+    hosts = feed.select(urls.link_host(F.col("url")).alias("host")).distinct()
+    v = reputation.cascade(_links(spark, sf_dir), frame(spark, sf_dir, PRIMARY), feed, hosts, frame(spark, sf_dir, MALWARE), frame(spark, sf_dir, BLOCK), cache)
+    return v.select("url", "cached", "malicious", F.round("score", 6).alias("score"), F.array_join("sources", ",").alias("sources"))
+
+
+REQUESTS = "SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS ts, CAST(user_id AS STRING) AS key, CAST(1 + event_id % 3 AS BIGINT) AS n FROM @events"
+
+
+@query(f"WITH r AS ({REQUESTS}), o AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id) AS seq FROM r) SELECT day, id, seq <= 90 AS admitted FROM o")
+def quota_units(spark, sf_dir):
+    return reputation.admit_units(frame(spark, sf_dir, REQUESTS), 100, 10)
+
+
+@query(f"""WITH RECURSIVE r AS ({REQUESTS}), o AS (SELECT id, CAST(ts AS DATE) AS day, n, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id) AS seq FROM r),
+w AS (SELECT day, id, seq, CASE WHEN n <= 90 THEN n ELSE 0 END AS used, n <= 90 AS ok FROM o WHERE seq = 1 UNION ALL SELECT o.day, o.id, o.seq, CASE WHEN w.used + o.n <= 90 THEN w.used + o.n ELSE w.used END, w.used + o.n <= 90 FROM w JOIN o ON o.day = w.day AND o.seq = w.seq + 1)
+SELECT day, id, ok AS admitted FROM w""")
+def quota_admission(spark, sf_dir):
+    return reputation.admit_quota(frame(spark, sf_dir, REQUESTS), 100, 10)
+
+
+@query(f"""WITH RECURSIVE r AS ({REQUESTS}), o AS (SELECT id, key, ts, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS seq FROM r),
+w AS (SELECT key, id, seq, ts AS since, false AS hit FROM o WHERE seq = 1 UNION ALL SELECT o.key, o.id, o.seq, CASE WHEN o.ts < w.since + INTERVAL 24 HOUR THEN w.since ELSE o.ts END, o.ts < w.since + INTERVAL 24 HOUR FROM w JOIN o ON o.key = w.key AND o.seq = w.seq + 1) SELECT key, id, hit FROM w""")
+def ttl_cache(spark, sf_dir):
+    return scan.ttl_hits(frame(spark, sf_dir, REQUESTS), F.expr("INTERVAL 24 HOURS"))
+
+
+@query(f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS n FROM ({inputs.SCANS})) SELECT id, user_id, verdict FROM o WHERE n = 1")
+def latest_by_key(spark, sf_dir):
+    d = frame(spark, sf_dir, inputs.SCANS).withColumn("at", F.struct("ts", "id"))
+    return reputation.keep_latest(d, "user_id", "at").select("id", "user_id", "verdict")
+
+
+# --- senders -------------------------------------------------------------------
+
+_CLAUSE = r"^\s*(spf|dkim|dmarc)\s*=\s*(pass|fail|softfail|neutral|temperror|permerror|none|bestguesspass|policy)"
+_FROM = r"CASE WHEN regexp_extract(from_header, '@([A-Za-z0-9._-]+)>', 1) <> '' THEN lower(regexp_extract(from_header, '@([A-Za-z0-9._-]+)>', 1)) ELSE lower(regexp_extract(from_header, '@([A-Za-z0-9._-]+)', 1)) END"
+AUTH = f"""m AS (SELECT mail_id, auth_header AS ar, {_FROM} AS from_domain FROM ({inputs.MAIL})), mo AS (SELECT *, {_org("from_domain")} AS org FROM m),
+s AS (SELECT mail_id, org, unnest(string_split(ar, ';')) AS c, generate_subscripts(string_split(ar, ';'), 1) AS pos FROM mo WHERE ar IS NOT NULL),
+p AS (SELECT mail_id, org, pos, regexp_extract(c, '{_CLAUSE}', 1) AS method, regexp_extract(c, '{_CLAUSE}', 2) AS result, lower(regexp_extract(c, '(smtp[.]mailfrom=|header[.](i|d|from)=@?)([^ ;]+)', 3)) AS ident FROM s WHERE regexp_matches(c, '{_CLAUSE}')),
+q AS (SELECT *, string_split(ident, '@')[-1] AS dom FROM p), r AS (SELECT *, CASE WHEN result <> 'pass' THEN 0 WHEN dom <> '' AND {_org("dom")} = org THEN 2 ELSE 1 END AS rank FROM q),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mail_id, method ORDER BY rank DESC, pos) AS n FROM r) WHERE n = 1),
+g AS (SELECT mail_id, max(result) FILTER (method = 'spf') AS spf, max(result) FILTER (method = 'dkim') AS dkim, max(result) FILTER (method = 'dmarc') AS dmarc, bool_or(rank = 2) AS al, bool_or(rank = 2 AND method = 'dkim') AS cr FROM b GROUP BY 1),
+v AS (SELECT mo.mail_id, from_domain, coalesce(spf, 'none') AS spf, coalesce(dkim, 'none') AS dkim, coalesce(dmarc, 'none') AS dmarc, org <> '' AND coalesce(al, false) AS aligned, org <> '' AND coalesce(cr, false) AS crypto_verified, ar IS NOT NULL AS header_present FROM mo LEFT JOIN g USING (mail_id))"""
+
+
+@query(f"WITH {AUTH} SELECT mail_id, from_domain, spf, dkim, dmarc, aligned, crypto_verified, header_present FROM v")
+def auth_results(spark, sf_dir):
+    return headers.auth_verdict(frame(spark, sf_dir, inputs.MAIL)).select("mail_id", "from_domain", "spf", "dkim", "dmarc", "aligned", "crypto_verified", "header_present")
+
+
+@query(f"""WITH {AUTH}, a AS (SELECT *, spf = 'pass' AND dkim = 'pass' AND dmarc = 'pass' AS ap, from_domain = 'evil.xyz' AS listed FROM v)
+SELECT mail_id, CAST(round(CASE WHEN crypto_verified THEN -0.20 ELSE 0 END + CASE WHEN ap THEN -0.10 ELSE 0 END + CASE WHEN spf = 'fail' THEN 0.15 ELSE 0 END + CASE WHEN dkim = 'fail' THEN 0.20 ELSE 0 END + CASE WHEN dmarc = 'fail' THEN 0.25 ELSE 0 END + CASE WHEN listed THEN 0.60 ELSE 0 END + CASE WHEN NOT header_present THEN 0.10 ELSE 0 END, 3) AS DOUBLE) AS score_delta,
+  array_to_string(list_filter([CASE WHEN crypto_verified THEN 'dkim_aligned' END, CASE WHEN ap THEN 'spf+dkim+dmarc_pass' END, CASE WHEN spf = 'fail' THEN 'spf_fail' END, CASE WHEN dkim = 'fail' THEN 'dkim_fail' END, CASE WHEN dmarc = 'fail' THEN 'dmarc_fail' END, CASE WHEN listed THEN 'spamhaus_dbl:phish' END, CASE WHEN NOT header_present THEN 'no_auth_header' END], lambda x: x IS NOT NULL), ',') AS reasons FROM a""")
+def auth_delta(spark, sf_dir):
+    listed = spark.createDataFrame([("evil.xyz", "phish")], "domain string, category string")
+    d = headers.auth_delta(headers.auth_verdict(frame(spark, sf_dir, inputs.MAIL)), listed)
+    return d.select("mail_id", "score_delta", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"""WITH m AS (SELECT *, {_FROM} AS s, lower(regexp_extract(reply_to, '@([A-Za-z0-9._-]+)', 1)) AS r FROM ({inputs.MAIL})) SELECT mail_id, CAST(round(least(1.0, CASE WHEN r <> '' AND r <> s THEN 0.45 ELSE 0 END + CASE WHEN contains(coalesce(auth_header, ''), 'dkim=fail') OR contains(coalesce(auth_header, ''), 'spf=fail') THEN 0.40 ELSE 0 END
+  + CASE WHEN auth_header IS NULL THEN 0.15 ELSE 0 END + CASE WHEN mail_id % 8 IN (1, 3, 6) THEN 0.35 ELSE 0 END), 6) AS DOUBLE) AS p_meta FROM m""")
+def metadata_rules(spark, sf_dir):
+    d = frame(spark, sf_dir, inputs.MAIL)
+    d = d.join(headers.impersonations(d, dims.brands(spark), native=True), "mail_id")
+    return d.select("mail_id", F.round(headers.metadata_score(F.col("from_header"), F.col("reply_to"), F.col("auth_header"), F.col("brand").isNotNull()), 6).alias("p_meta"))
+
+
+_BRAND_ROWS = ", ".join(f"({i}, '{b.replace('booking_com', 'booking.com')}', {_list(o)})" for i, (b, o) in enumerate(dims.keyed(dims.BRANDS.replace("booking.com:", "booking_com:")).items()))
+
+
+@query(f"""WITH m AS (SELECT mail_id, ' ' || trim(regexp_replace(regexp_replace(from_header, '<[^<>]*>', ' ', 'g'), '[^A-Za-z0-9.]+', ' ', 'g')) || ' ' AS w, {_FROM} AS d FROM ({inputs.MAIL})), o AS (SELECT *, {_org("d")} AS org FROM m), b(ord, brand, owners) AS (VALUES {_BRAND_ROWS}),
+h AS (SELECT o.mail_id, b.brand, b.ord FROM o JOIN b ON (CASE WHEN length(brand) <= 3 THEN contains(w, ' ' || upper(brand) || ' ') ELSE contains(lower(w), ' ' || brand || ' ') END)
+  AND NOT (org <> '' AND (list_contains(owners, org) OR (list_contains(owners, string_split(org, '.')[1]) AND regexp_replace(org, '^[^.]*[.]', '') NOT IN {_in(dims.SHARED_SUFFIXES)} AND (string_split(org, '.')[-1] IN {_in(dims.BRAND_TLDS + dims.BRAND_CCTLDS)} OR org IN {_in(dims.WELL_KNOWN)} OR org IN {_in(dims.TRUSTED_SEED)})))))
+SELECT o.mail_id, arg_min(h.brand, h.ord) AS brand FROM o LEFT JOIN h USING (mail_id) GROUP BY 1""")
+def impersonation(spark, sf_dir):
+    return headers.impersonations(frame(spark, sf_dir, inputs.MAIL), dims.brands(spark), native=True)
+
+
+@query(f"""SELECT id, regexp_matches(body, '(?im)^[ \\t]*(-{{2,}}[ \\t]*(forwarded message|original message)[ \\t]*-{{2,}}|begin forwarded message\\s*:)') OR coalesce(regexp_matches(subject, '(?i)^\\s*(fwd?|tr|wg|rv|enc)\\s*:'), false) AS detected,
+  CASE WHEN id % 6 = 0 THEN 'ann@old.example' WHEN id % 6 = 1 THEN 'bob@site.example' WHEN id % 6 = 3 AND id % 4 = 0 THEN 'carl@x.example' END AS original_sender FROM ({inputs.FORWARDS})""")
+def forwarded(spark, sf_dir):
+    p = headers.forward_parts(F.col("body"), F.col("subject"))
+    return frame(spark, sf_dir, inputs.FORWARDS).select("id", p["detected"].alias("detected"), p["original_sender"].alias("original_sender"))
+
+
+# --- decisions -----------------------------------------------------------------
+
+_FUSED = "CASE WHEN text_used THEN 0.34 * tf * p_text + 0.33 * p_url + 0.33 * p_meta ELSE (0.33 * p_url + 0.33 * p_meta) / 0.66 END"
+
+
+@query(f"""WITH s AS ({inputs.SCORES}), p AS (SELECT *, CASE WHEN trusted_sender THEN 'trusted_sender' WHEN crypto_verified THEN 'crypto_verified' WHEN inbox_soft AND outlook_internal THEN 'outlook_internal' WHEN inbox_soft THEN 'gmail_inbox_soft' ELSE 'default' END AS trust_path FROM s),
+t AS (SELECT *, CASE trust_path WHEN 'trusted_sender' THEN 0.5 WHEN 'crypto_verified' THEN 0.5 WHEN 'default' THEN 1.0 ELSE 0.6 END AS tf, CAST(CASE trust_path WHEN 'trusted_sender' THEN 0.65 WHEN 'crypto_verified' THEN 0.65 WHEN 'default' THEN 0.5 ELSE 0.62 END AS DOUBLE) AS threshold FROM p),
+f AS (SELECT *, {_FUSED} AS fused, array_to_string(list_filter(CASE trust_path WHEN 'default' THEN [CASE WHEN text_used AND p_text >= 0.85 THEN 'confident_text' END, CASE WHEN p_meta >= 0.85 THEN 'confident_sender' END, CASE WHEN p_url >= 0.85 AND (rep_max > 0 OR strong_link) THEN 'confirmed_link' END]
+  WHEN 'crypto_verified' THEN [CASE WHEN gsb THEN 'safe_browsing' END, CASE WHEN links_elsewhere AND p_text >= 0.5 THEN 'links_elsewhere' END] ELSE [CASE WHEN gsb THEN 'safe_browsing' END] END, lambda x: x IS NOT NULL), ',') AS forced_by FROM t)
+SELECT id, trust_path, threshold, CAST(round(fused, 6) AS DOUBLE) AS fused, forced_by, fused >= threshold OR forced_by <> '' AS is_phishing FROM f""")
+def fuse_verdict(spark, sf_dir):
+    d = fusion.decide_email(_scores(spark, sf_dir))
+    return d.select("id", "trust_path", "threshold", F.round("fused", 6).alias("fused"), F.array_join("forced_by", ",").alias("forced_by"), "is_phishing")
+
+
+def _scores(spark, sf_dir):
+    gsb = F.when(F.col("gsb"), F.array(F.lit("google_safe_browsing"))).otherwise(F.array().cast("array<string>"))
+    return frame(spark, sf_dir, inputs.SCORES).withColumn("rep_sources", gsb).withColumn("flags", F.split("flags", ","))
+
+
+@query(f"SELECT id, CAST(round(CASE WHEN rep_max >= 0.99 THEN greatest(p_url, 0.95) WHEN rep_max > 0 THEN greatest(p_url, 0.7 * rep_max + 0.3 * p_url) ELSE p_url END, 6) AS DOUBLE) AS p_url FROM ({inputs.SCORES})")
+def apply_reputation(spark, sf_dir):
+    return _scores(spark, sf_dir).select("id", F.round(fusion.apply_reputation(F.col("p_url"), F.col("rep_max")), 6).alias("p_url"))
+
+
+_RISK = "map {" + ", ".join(f"'{k}': {v}" for k, v in dims.FEATURE_RISK.items()) + "}"
+ATTACH = f"""s AS (SELECT *, string_split(flags, ',') AS fl FROM ({inputs.SCORES})), b AS (SELECT *, least(0.7, coalesce(list_sum(list_transform(fl, lambda x: coalesce({_RISK}[x], 0))), 0) + CASE WHEN list_contains(fl, 'contains_form') AND list_contains(fl, 'contains_password_field') THEN 0.10 ELSE 0 END) AS bonus,
+  list_sort(list_filter(fl, lambda x: x IN {_in(dims.DROPPERS)})) AS drops FROM s), c AS (SELECT *, parent_trusted AND NOT gsb AND len(drops) = 0 AS soft FROM b), d AS (SELECT *, least(1.0, CASE WHEN soft THEN 0.25 ELSE 0.5 END * p_text + 0.5 * p_url + bonus) AS fused, CASE WHEN soft THEN 0.72 ELSE 0.55 END AS threshold,
+  NOT soft AND (gsb OR len(drops) > 0 OR p_text >= 0.85 OR (p_url >= 0.85 AND (rep_max > 0 OR url_rule_score >= 0.25))) AS forced FROM c)"""
+
+
+@query(f"WITH {ATTACH} SELECT id, CAST(round(bonus, 6) AS DOUBLE) AS feature_bonus, array_to_string(drops, ',') AS dropper, CAST(round(fused, 6) AS DOUBLE) AS fused, CASE WHEN soft THEN 'parent_trusted' ELSE 'default' END AS trust_path, round(fused, 9) >= threshold OR forced AS is_phishing FROM d")
+def attachment_verdict(spark, sf_dir):
+    d = fusion.decide_attachment(_scores(spark, sf_dir))
+    return d.select("id", F.round("feature_bonus", 6).alias("feature_bonus"), F.array_join("dropper", ",").alias("dropper"), F.round("fused", 6).alias("fused"), "trust_path", ((F.round("fused", 9) >= F.col("threshold")) | F.col("high_conf")).alias("is_phishing"))
+
+
+@query()
+def analyse_mail(spark, sf_dir):
+    m = frame(spark, sf_dir, inputs.MAIL).withColumns({"inbox_soft": F.col("mail_id") % 4 == 0, "outlook_internal": F.lit(False)})
+    d = engine.analyse(m, _links(spark, sf_dir))
+    return d.select("mail_id", F.round("fused", 6).alias("fused"), "trust_path", "verdict", F.array_join("forced_by", ",").alias("forced_by"))
+
+
+# --- text ------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\p{Cf}\\x{200B}\\x{0}-\\x{8}\\x{B}\\x{E}-\\x{1F}\\x{7F}-\\x{9F}]', '', 'g') AS plain FROM @documents")
+def without_invisible(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM @documents").select("doc_id", text.without_invisible(F.col("text")).alias("plain"))
+
+
+@query("SELECT doc_id, regexp_replace(t, '(' || chr(8203) || ')' || chr(8203) || '+', '\\1', 'g') AS plain FROM (SELECT doc_id, lang || chr(8203) || chr(8203) || source || chr(8203) AS t FROM @documents)")
+def collapse_invisible(spark, sf_dir):
+    d = frame(spark, sf_dir, "SELECT doc_id, lang, source FROM @documents")
+    z = F.lit("​")
+    return d.select("doc_id", text.collapse_invisible(F.concat("lang", z, z, "source", z)).alias("plain"))
+
+
+@query()
+def text_normalize(spark, sf_dir):
+    return frame(spark, sf_dir, inputs.TEXTS).select("id", text.normalize_text(F.col("text")).alias("text"))
+
+
+@query()
+def redact(spark, sf_dir):
+    return engine.redact(frame(spark, sf_dir, inputs.TEXTS)).select("id", "text")
+
+
+_VOCAB = dims.keyed(dims.FUNCTION_WORDS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_replace(array_to_string(list_filter(regexp_split_to_array(left(coalesce(text, ''), 20000), '\\s+'), lambda w: NOT contains(w, '@') AND NOT contains(lower(w), 'http://') AND NOT contains(lower(w), 'https://')), ' '), '<[A-Z]+>', ' ', 'g') AS t FROM @documents),
+w AS (SELECT doc_id, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters, list_transform(regexp_extract_all(t, '\\p{{L}}+'), lambda x: lower(x)) AS ws FROM d), h AS (SELECT *, [{", ".join(f"len(list_filter(ws, lambda x: x IN {_in(v)}))" for v in _VOCAB.values())}] AS hits FROM w)
+SELECT doc_id, CASE WHEN letters < 20 OR len(ws) < 6 OR list_max(hits) < 3 THEN 'und' ELSE {_list(list(_VOCAB))}[list_position(hits, list_max(hits))] END AS code FROM h""")
+def detect_language(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM @documents").select("doc_id", text.detect_language(F.col("text"))["code"].alias("code"))
+
+
+@query("SELECT doc_id, left(sha256(coalesce(text, '')), 16) AS mail_id FROM @documents")
+def mail_id(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT doc_id, text FROM @documents").select("doc_id", text.mail_id(F.coalesce("text", F.lit("")).cast("binary")).alias("mail_id"))
+
+
+@query(f"SELECT id, CASE WHEN regexp_matches(cell, '^[=+@-]') THEN chr(39) || cell ELSE cell END AS cell FROM ({inputs.CELLS})")
+def csv_guard(spark, sf_dir):
+    return insights.csv_rows(frame(spark, sf_dir, inputs.CELLS).withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("long").alias("id"), "cell")
+
+
+@query("SELECT conv_id, turn, CASE WHEN s = '' OR starts_with(trim(b), s) THEN b ELSE s || chr(10) || b END AS text FROM (SELECT conv_id, turn, coalesce(text, '') AS b, CASE turn % 3 WHEN 0 THEN left(trim(coalesce(text, '')), 5) ELSE role END AS s FROM @conversations)")
+def model_text(spark, sf_dir):
+    d = frame(spark, sf_dir, "SELECT conv_id, turn, role, text FROM @conversations")
+    subject = F.when(F.col("turn") % 3 == 0, F.left(F.trim(F.coalesce("text", F.lit(""))), F.lit(5))).otherwise(F.col("role"))
+    return d.select("conv_id", "turn", text.model_text(subject, F.col("text")).alias("text"))
+
+
+# --- files -----------------------------------------------------------------------
+
+_BASE = "rtrim(string_split(name, '/')[-1], ' .')"
+_EXT = f"CASE WHEN contains({_BASE}, '.') THEN trim(lower(string_split({_BASE}, '.')[-1])) ELSE '' END"
+
+
+@query(f"""WITH n AS (SELECT id, name, {_EXT} AS e, list_transform(string_split(lower({_BASE}), '.'), lambda p: trim(p)) AS ps FROM ({inputs.NAMES}))
+SELECT id, e AS ext, array_to_string(list_filter([CASE WHEN len(ps) >= 3 AND ps[-2] IN {_in(dims.DOCUMENT_EXTS)} AND ps[-1] IN {_in(dims.EXECUTABLE_EXTS + dims.SCRIPT_EXTS + dims.SHORTCUT_EXTS)} THEN 'double_extension' END,
+  CASE WHEN e IN {_in(dims.EXECUTABLE_EXTS)} THEN 'executable_in_archive' WHEN e IN {_in(dims.SCRIPT_EXTS)} THEN 'script_in_archive' WHEN e IN {_in(dims.SHORTCUT_EXTS)} THEN 'shortcut_in_archive' WHEN e IN {_in(dims.DISK_IMAGE_EXTS)} THEN 'disk_image_in_archive' WHEN e IN {_in(dims.ARCHIVE_EXTS)} THEN 'nested_archive' END], lambda x: x IS NOT NULL), ',') AS flags FROM n""")
+def name_flags(spark, sf_dir):
+    d = frame(spark, sf_dir, inputs.NAMES)
+    return d.select("id", text.extension(F.col("name"), True).alias("ext"), F.array_join(text.name_flags(F.col("name"), True), ",").alias("flags"))
+
+
+_FLAG_SQL = [("<form[ >/]", "contains_form"), ("<input[^>]*type *= *.?password", "contains_password_field"), ("<script[ >/]", "contains_javascript"), ("<iframe[ >/]", "contains_iframe"), ("<meta[^>]*http-equiv *= *.?refresh", "meta_refresh_redirect")]
+PAGES = "SELECT page_id, coalesce(html, '') || CASE page_id % 5 WHEN 0 THEN '<form action=x><input type=\"password\"></form>' WHEN 1 THEN '<iframe src=y></iframe>' WHEN 2 THEN '<meta http-equiv=\"refresh\" content=\"0\">' ELSE '' END AS html FROM @pages"
+
+
+@query(f"SELECT page_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(html, '{p}', 'i') THEN '{f}' END" for p, f in _FLAG_SQL)}], lambda x: x IS NOT NULL), ',') AS flags FROM ({PAGES})")
+def html_flags(spark, sf_dir):
+    return frame(spark, sf_dir, PAGES).select("page_id", F.array_join(html.plain_flags(F.col("html")), ",").alias("flags"))
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM @pages")
+def html_plain_text(spark, sf_dir):
+    return frame(spark, sf_dir, "SELECT page_id, html FROM @pages").select("page_id", html.plain_text(F.col("html")).alias("text"))
+
+
+@query()
+def html_pages(spark, sf_dir):
+    """Text, flags and links through the page parser."""
+    d = frame(spark, sf_dir, PAGES)
+    return d.select("page_id", html.html_text("html").alias("text"), F.array_join(html.page_flags("html"), ",").alias("flags"), F.size(html.html_links("html")["visible"]).alias("n_links"))
+
+
+STYLES = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'display: none' WHEN 1 THEN 'color:#fff;background:white' WHEN 2 THEN 'visibility:hidden' WHEN 3 THEN 'font-size:0' WHEN 4 THEN 'color:red' WHEN 5 THEN 'opacity:0' WHEN 6 THEN 'font-size:14px;display:block' ELSE 'position:absolute;left:-9999px' END AS style FROM @pages"""
+
+
+@query(f"SELECT page_id, page_id % 8 NOT IN (4, 6) AS hidden FROM ({STYLES})")
+def hidden_style(spark, sf_dir):
+    return frame(spark, sf_dir, STYLES).select("page_id", html.is_hidden_style("style").alias("hidden"))
+
+
+MARKED = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '%PDF-1.4 /OpenAction /JS (x) /URI (http://a.example/x)' WHEN 1 THEN '%PDF-1.7 /Launch /EmbeddedFile' WHEN 2 THEN '%PDF-1.5 plain' ELSE '%PDF-1.5 /AcroForm /SubmitForm' END AS body FROM @pages"
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'contains_javascript,auto_execute_on_open,contains_link_annotation' WHEN 1 THEN 'launch_external_action,embeds_another_file' WHEN 2 THEN '' ELSE 'contains_form,submits_form_to_url' END AS flags, 'application/pdf' AS type FROM ({MARKED})")
+def pdf_markers(spark, sf_dir):
+    d = frame(spark, sf_dir, MARKED).withColumn("raw", F.col("body").cast("binary"))
+    return d.select("page_id", F.array_join(files.pdf_markers(F.col("raw")), ",").alias("flags"), files.sniff_type(F.lit("a.txt"), F.col("raw"), F.lit("text/plain")).alias("type"))
+
+
+CALENDAR = "SELECT conv_id, turn, 'BEGIN:VEVENT' || chr(10) || 'SUMMARY:' || role || chr(10) || 'ORGANIZER;CN=x:mailto:boss@acme.example' || chr(10) || 'LOCATION:https://meet.example/' || chr(10) || ' ' || CAST(turn AS STRING) || chr(10) || 'END:VEVENT' AS body FROM @conversations"
+
+
+@query(f"SELECT conv_id, turn, 'boss@acme.example' AS organizer, 'https://meet.example/' || CAST(turn AS STRING) AS urls, 'calendar_invite,calendar_with_links' AS flags FROM ({CALENDAR})")
+def calendar(spark, sf_dir):
+    c = files.calendar_facts(F.col("body").cast("binary"))
+    return frame(spark, sf_dir, CALENDAR).select("conv_id", "turn", c["organizer"].alias("organizer"), F.array_join(c["extracted_urls"], ",").alias("urls"), F.array_join(c["notable_features"], ",").alias("flags"))
+
+
+def _zip(members: dict[str, bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def _attachments(spark: SparkSession) -> DataFrame:
+    word = {"[Content_Types].xml": b"<Types/>", "word/document.xml": b'<w:document xmlns:w="w"><w:p><w:t>Pay at https://pay.evil.tk/x now</w:t></w:p></w:document>', "word/vbaProject.bin": b"x"}
+    rows = [
+        (1, "files.zip", _zip({"invoice.pdf.exe": b"MZ", "readme.txt": b"hello", "page.html": b"<form></form>"}), None), (2, "letter.docx", _zip(word), None), (3, "page.html", b"<html><form><input type='PASSWORD'></form><a href='https://a.example'>x</a></html>", None),
+        (4, "a.rar", b"Rar!\x1a\x07\x00rest", None), (5, "setup.exe", b"MZ", None), (6, "x.iso", b"CD001", None), (7, "notes.txt", b"see https://b.example.", "text/plain"), (8, "invite.ics", b"BEGIN:VEVENT\nSUMMARY:x\nEND:VEVENT", None), (9, "scan.pdf", b"%PDF-1.4 /JS", None), (10, "blob", b"\x00\x01", "application/x; q=1"),
+    ]
+    return spark.createDataFrame(rows, "id int, filename string, content binary, mime string").withColumn("parent_trusted", F.lit(False))
+
+
+@query()
+def attachments(spark, sf_dir):
+    d = engine.analyse_attachments(_attachments(spark))
+    return d.select("id", "type", "kind", F.array_join("notable_features", ",").alias("flags"), F.array_join("extracted_urls", ",").alias("urls"), F.round("fused", 6).alias("fused"), "is_phishing")
+
+
+@query()
+def zip_members(spark, sf_dir):
+    d = files.analyse_zip(_attachments(spark).where("filename = 'files.zip'"))
+    return d.select("id", "entry_count", F.array_join("notable_features", ",").alias("flags"), F.array_join(files.choose_inner(F.col("entries")), ",").alias("inner"))
+
+
+@query()
+def mail_parsing(spark, sf_dir):
+    """The documents as raw mail, parsed back."""
+    d = frame(spark, sf_dir, inputs.MAIL)
+    raw = F.concat(F.lit("From: "), "from_header", F.lit("\nSubject: "), F.coalesce("subject", F.lit("")), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.coalesce("body", F.lit(""))).cast("binary")
+    p = mail.parse_mail(d.select("mail_id", raw.alias("raw")))
+    return p.select("mail_id", F.length("body").alias("n_body"), F.try_element_at(headers.header_map(F.col("headers")), F.lit("subject")).alias("subject"), "from_unproven")
+
+
+# --- evaluation and insights -------------------------------------------------------
+
+_COUNTS = "count(*) FILTER (label = 'phishing' AND verdict = 'phishing') AS tp, count(*) FILTER (label = 'phishing' AND verdict = 'safe') AS fn, count(*) FILTER (label = 'legit' AND verdict = 'phishing') AS fp, count(*) FILTER (label = 'legit' AND verdict = 'safe') AS tn"
+
+
+def _wilson(k: str, n: str, sign: str) -> str:
+    p, z2 = f"(CAST({k} AS DOUBLE) / {n})", "3.8416"
+    end = f"(({p} + {z2} / (2 * {n})) {sign} 1.96 * sqrt({p} * (1 - {p}) / {n} + {z2} / (4.0 * {n} * {n}))) / (1 + {z2} / {n})"
+    return f"CASE WHEN {n} > 0 THEN round({'greatest(0.0, ' if sign == '-' else 'least(1.0, '}{end}), 6) END"
+
+
+@query(f"""WITH g AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS lang, {_COUNTS} FROM ({inputs.RUN}) WHERE error IS NULL GROUP BY GROUPING SETS ((lang), ()))
+SELECT *, {_wilson("fp", "(fp + tn)", "-")} AS false_alarm_lo, {_wilson("fp", "(fp + tn)", "+")} AS false_alarm_hi, {_wilson("tp", "(tp + fn)", "-")} AS caught_lo, {_wilson("tp", "(tp + fn)", "+")} AS caught_hi, tp + fn + fp + tn < 30 AS small FROM g WHERE tp + fn + fp + tn > 0""")
+def confusion_by_language(spark, sf_dir):
+    d = evaluation.with_intervals(evaluation.confusion_by_language(frame(spark, sf_dir, inputs.RUN)))
+    return d.withColumns({c: F.round(c, 6) for c in ("false_alarm_lo", "false_alarm_hi", "caught_lo", "caught_hi")})
+
+
+_WRONG = f"SELECT *, CASE WHEN label = 'legit' AND verdict = 'phishing' THEN 'false_alarm' WHEN label = 'phishing' AND verdict = 'safe' THEN 'missed' END AS kind FROM ({inputs.RUN})"
+
+
+@query(f"SELECT kind, count(*) AS n, round(avg(p_text), 6) AS text, round(avg(p_url), 6) AS url, round(avg(p_meta), 6) AS metadata, count(*) FILTER (override) AS forced FROM ({_WRONG}) WHERE kind IS NOT NULL GROUP BY 1")
+def error_profile(spark, sf_dir):
+    return evaluation.error_profile(frame(spark, sf_dir, inputs.RUN)).withColumns({c: F.round(c, 6) for c in ("text", "url", "metadata")})
+
+
+@query(f"SELECT kind, coalesce(trust_path, '?') AS trust_path, count(*) AS n FROM ({_WRONG}) WHERE kind IS NOT NULL GROUP BY 1, 2")
+def error_paths(spark, sf_dir):
+    return evaluation.error_paths(frame(spark, sf_dir, inputs.RUN))
+
+
+@query(f"SELECT error, count(*) AS n FROM ({inputs.RUN}) WHERE error IS NOT NULL GROUP BY 1")
+def error_counts(spark, sf_dir):
+    return evaluation.error_counts(frame(spark, sf_dir, inputs.RUN))
+
+
+@query(f"SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM (SELECT DISTINCT label, id FROM ({inputs.RUN}))) WHERE n <= 25")
+def fixed_sample(spark, sf_dir):
+    return evaluation.fixed_sample(frame(spark, sf_dir, inputs.RUN), 25)
+
+
+@query(f"""WITH r AS (SELECT DISTINCT label, id FROM ({inputs.RUN})), f AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM r) WHERE n <= 25), l AS (SELECT * FROM r WHERE id NOT IN (SELECT id FROM f))
+SELECT label, id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS n FROM l) WHERE n <= 25""")
+def control_sample(spark, sf_dir):
+    run = frame(spark, sf_dir, inputs.RUN)
+    return evaluation.fixed_sample(run, 25, evaluation.fixed_sample(run, 25).select("id"))
+
+
+@query(f"WITH a AS ({inputs.RUN}), b AS (SELECT id, CASE WHEN p_url >= 0.5 THEN 'phishing' ELSE 'safe' END AS verdict, error FROM a) SELECT a.id, a.verdict AS before, b.verdict AS after FROM a JOIN b USING (id) WHERE a.error IS NULL AND b.error IS NULL AND a.verdict <> b.verdict")
+def run_compare(spark, sf_dir):
+    run = frame(spark, sf_dir, inputs.RUN)
+    return evaluation.compare(run, run.withColumn("verdict", F.when(F.col("p_url") >= 0.5, "phishing").otherwise("safe")))
+
+
+@query(f"WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (verdict = 'phishing') AS phishing, count(*) FILTER (verdict = 'safe') AS safe FROM ({inputs.SCANS}) GROUP BY 1) SELECT d.day, coalesce(phishing, 0) AS phishing, coalesce(safe, 0) AS safe FROM d LEFT JOIN n USING (day)")
+def daily_buckets(spark, sf_dir):
+    return insights.daily(frame(spark, sf_dir, inputs.SCANS), F.to_date(F.lit("2024-02-03")))
+
+
+@query(f"WITH k AS (SELECT unnest({_list(insights.SOURCES)}) AS source), n AS (SELECT source, count(*) AS n FROM ({inputs.SCANS}) GROUP BY 1) SELECT coalesce(k.source, n.source) AS source, coalesce(n, 0) AS n FROM k FULL JOIN n ON k.source = n.source")
+def by_source(spark, sf_dir):
+    return insights.by_source(frame(spark, sf_dir, inputs.SCANS))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (verdict = 'phishing') AS phishing, round(avg(score), 6) AS avg_score, count(*) FILTER (verdict = 'safe') AS safe, CAST(round(100.0 * count(*) FILTER (verdict = 'phishing') / count(*)) AS INTEGER) AS phishing_pct, CAST(round(100.0 * count(*) FILTER (verdict = 'safe') / count(*)) AS INTEGER) AS safe_pct FROM ({inputs.SCANS})")
+def history_totals(spark, sf_dir):
+    return insights.totals(frame(spark, sf_dir, inputs.SCANS)).select("total", "phishing", F.round("avg_score", 6).alias("avg_score"), "safe", "phishing_pct", "safe_pct")
+
+
+_STOP = ["the", "and", "les", "que", "der", "die"]
+TOKENS = "SELECT CASE WHEN doc_id % 3 = 0 THEN 'phishing' ELSE 'safe' END AS verdict, text, doc_id FROM @documents"
+
+
+@query(f"""WITH w AS (SELECT lower(unnest(string_split(left(coalesce(text, ''), 2000), ' '))) AS token, CAST(1 + doc_id % 3 AS DOUBLE) AS w FROM ({TOKENS}) WHERE verdict = 'phishing')
+SELECT token, sum(w) AS weight FROM w WHERE length(token) >= 3 AND NOT regexp_matches(token, '^[0-9]+(px|em|pt|%)?$') AND token NOT IN {_in(_STOP)} GROUP BY 1 ORDER BY weight DESC, token LIMIT 12""")
+def top_tokens(spark, sf_dir):
+    d = frame(spark, sf_dir, TOKENS)
+    tokens = F.transform(F.split(F.left(F.coalesce("text", F.lit("")), F.lit(2000)), " "), lambda t: F.struct(t.alias("token"), (1 + F.col("doc_id") % 3).cast("double").alias("weight")))
+    return insights.top_tokens(d.withColumn("tokens", tokens), _STOP)
+
+
+_LIVE = "count(*) AS reviewed, count(*) FILTER (verdict = 'phishing' AND label = 'correct') AS tp, count(*) FILTER (verdict = 'phishing' AND label = 'wrong') AS fp, count(*) FILTER (verdict = 'safe' AND label = 'correct') AS tn, count(*) FILTER (verdict = 'safe' AND label = 'wrong') AS fn"
+
+
+@query(f"WITH g AS (SELECT source, {_LIVE} FROM ({inputs.SCANS}) WHERE label IS NOT NULL GROUP BY 1) SELECT *, round((tp + tn) / reviewed, 6) AS accuracy, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN fp + tn > 0 THEN round(fp / (fp + tn), 6) END AS false_positive_rate FROM g")
+def live_evaluation(spark, sf_dir):
+    d = evaluation.confusion(frame(spark, sf_dir, inputs.SCANS), "source")
+    return d.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "false_positive_rate")})
+
+
+@query(f"SELECT id, strftime(ts, '%Y-%m-%d') AS day, left(source, 30) AS source, verdict, round(score, 6) AS score, label FROM ({inputs.SCANS})")
+def stats_rows(spark, sf_dir):
+    d = frame(spark, sf_dir, inputs.SCANS)
+    return insights.stats_rows(d.withColumns({"trusted": F.lit(False), "lang": F.lit("en")}), "id").select("id", "day", "source", "verdict", F.round("score", 6).alias("score"), "label")
+
+
+# --- models ------------------------------------------------------------------------
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "SELECT d.doc_id, d.text, l.toxic AS label FROM @documents d JOIN @labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL")
+
+
+@query()
+def text_agent(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return model.text_agent(rows, model.fit_text(rows), 1.5).select("doc_id", F.round("p_text", 4).alias("p_text"))
+
+
+@query()
+def explanations(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return engine.explain(rows, model.fit_text(rows), "doc_id")
+
+
+@query()
+def url_forest(spark, sf_dir):
+    f = links.url_features(_links(spark, sf_dir).where(F.col("url").rlike("^https?://"))).withColumn("label", (F.col("domain_has_ip") + F.col("domain_has_suspicious_tld") > 0).cast("int"))
+    names = [c for c in f.columns if c not in ("mail_id", "label")]
+    return model.score_forest(f, model.fit_forest(f, names)).select("mail_id", F.round("phishing_probability", 6).alias("phishing_probability"), "said")
+
+
+# --- streams -----------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n FROM @events GROUP BY 1, 2")
+def rate_windows(spark, sf_dir):
+    """The batch form of the streaming counts; the stream itself is held against it in the tests."""
+    d = frame(spark, sf_dir, "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM @events")
+    return d.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")

@@ -1,0 +1,247 @@
+"""Pages: visible text, links by visibility, risk flags and style rules.
+
+A page has no built-in parser in Spark; these functions work on one page with
+the standard library and are wrapped as pandas UDFs.
+"""
+
+from __future__ import annotations
+
+import re
+from html import unescape
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+URL = re.compile(r"""(?:https?://|www\.)[^\s"'<>)\]}]+""", re.I)
+BLOCKS = frozenset("p div tr li blockquote h1 h2 h3 h4 h5 h6 table pre br".split())
+VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+SKIP = frozenset("script style head title template noscript".split())
+ELEMENTS = 20_000
+
+#: Colour names that text is hidden in most (fixed values).
+NAMED = {"white": (255, 255, 255), "black": (0, 0, 0), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "silver": (192, 192, 192), "navy": (0, 0, 128), "maroon": (128, 0, 0), "lime": (0, 255, 0), "aqua": (0, 255, 255), "cyan": (0, 255, 255), "fuchsia": (255, 0, 255), "magenta": (255, 0, 255), "olive": (128, 128, 0), "purple": (128, 0, 128), "teal": (0, 128, 128), "orange": (255, 165, 0), "snow": (255, 250, 250), "ivory": (255, 255, 240), "whitesmoke": (245, 245, 245), "ghostwhite": (248, 248, 255)}
+
+
+def declarations(style: str) -> dict[str, str]:
+    """Properties of a style; an important one is not overridden by a plain one."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"/\*.*?(?:\*/|$)", "", style or "", flags=re.S).split(";"):
+        name, sep, value = part.partition(":")
+        if sep:
+            value = value.strip().lower()
+            strong = bool(re.search(r"!\s*important$", value))
+            name = name.strip().lower()
+            if strong or not out.get(name, (False, ""))[0]:
+                out[name] = (strong, re.sub(r"\s*!\s*important$", "", value))
+    return {k: v for k, (_, v) in out.items()}
+
+
+def colour(value: str) -> tuple[float, float, float, float] | None:
+    """Red, green, blue (0 to 255) and opacity of a colour; null where it is none."""
+    v = value.strip().lower()
+    if v == "transparent":
+        return 0, 0, 0, 0
+    if v in NAMED:
+        return (*NAMED[v], 1)
+    if m := re.fullmatch(r"#([0-9a-f]{3,4}|[0-9a-f]{6}|[0-9a-f]{8})", v):
+        h = m[1] if len(m[1]) > 4 else "".join(c * 2 for c in m[1])
+        n = [int(h[i : i + 2], 16) for i in range(0, len(h), 2)]
+        return (*n[:3], n[3] / 255 if len(n) > 3 else 1)
+    if m := re.fullmatch(r"(rgb|hsl)a?\(([^)]*)\)", v):
+        parts = [p for p in re.split(r"[\s,/]+", m[2].strip()) if p]
+        try:
+            nums = [float(p.rstrip("%deg")) for p in parts]
+        except ValueError:
+            return None
+        if len(nums) < 3:
+            return None
+        alpha = (nums[3] / 100 if parts[3].endswith("%") else nums[3]) if len(nums) > 3 else 1
+        if m[1] == "rgb":
+            rgb = [n * 2.55 if p.endswith("%") else n for n, p in zip(nums[:3], parts[:3], strict=True)]
+        else:
+            hue, s, light = nums[0] / 60 % 6, nums[1] / 100, nums[2] / 100
+            c = (1 - abs(2 * light - 1)) * s
+            x = c * (1 - abs(hue % 2 - 1))
+            base = [(c, x, 0), (x, c, 0), (0, c, x), (0, x, c), (x, 0, c), (c, 0, x)][int(hue)]
+            rgb = [(b + light - c / 2) * 255 for b in base]
+        return (*[min(255.0, max(0.0, n)) for n in rgb], min(1.0, max(0.0, alpha)))
+    return None
+
+
+def _luminance(rgb: tuple[float, ...]) -> float:
+    lin = [n / 12.92 if n <= 0.03928 else ((n + 0.055) / 1.055) ** 2.4 for n in (c / 255 for c in rgb[:3])]
+    return 0.2126 * lin[0] + 0.7152 * lin[1] + 0.0722 * lin[2]
+
+
+def same_colour(ink: tuple, back: tuple) -> bool:
+    """Contrast below 1.2 once the ink lies over the background."""
+    mixed = tuple(i * ink[3] + b * (1 - ink[3]) for i, b in zip(ink[:3], back[:3], strict=True))
+    a, b = sorted((_luminance(mixed), _luminance(back)))
+    return (b + 0.05) / (a + 0.05) < 1.2
+
+
+def _px(value: str | None) -> float | None:
+    m = re.fullmatch(r"(-?\d*\.?\d+)\s*(px|pt|em|rem|vw|vh|%)?", (value or "").strip())
+    return float(m[1]) * {"pt": 4 / 3, "em": 16, "rem": 16}.get(m[2] or "px", 1) if m else None
+
+
+def hidden_style(style: str) -> bool:
+    """Whether an inline style hides its text: not displayed, invisible, clear, tiny, out of sight, or in the background's colour."""
+    d = declarations(style)
+    if d.get("display") == "none" or d.get("visibility") in ("hidden", "collapse") or d.get("content-visibility") == "hidden" or d.get("mso-hide") == "all":
+        return True
+    opacity = _px(d.get("opacity"))
+    if opacity is not None and (opacity / 100 if d["opacity"].endswith("%") else opacity) < 0.1:
+        return True
+    font = _px(d.get("font-size"))
+    if font is not None and font < 2:
+        return True
+    clipped = d.get("overflow", d.get("overflow-y", "")) in ("hidden", "clip")
+    for side in ("width", "height", "max-width", "max-height"):
+        n = _px(d.get(side))
+        if n is not None and n <= 1 and clipped:
+            return True
+    for side in ("left", "top", "text-indent", "margin-left", "margin-top"):
+        n = _px(d.get(side))
+        if n is not None and n <= -500 and (side not in ("left", "top") or d.get("position") in ("absolute", "fixed", "relative")):
+            return True
+    if re.search(r"scale[xy]?\(\s*0*\.?0*\s*[,)]", d.get("transform", "")) or re.search(r"rect\(\s*0[^)]*0[^)]*\)|inset\(\s*(?:50|100)%", d.get("clip", "") + d.get("clip-path", "")):
+        return True
+    ink = colour(d.get("-webkit-text-fill-color", d.get("color", "")))
+    if ink is not None:
+        if ink[3] < 0.1:
+            return True
+        back = next((c for c in map(colour, re.findall(r"#[0-9a-f]+|(?:rgb|hsl)a?\([^)]*\)|[a-z]+", d.get("background-color", d.get("background", "")))) if c), None)
+        if back is not None and back[3] > 0.9 and same_colour(ink, back):
+            return True
+    return False
+
+
+class _Page(HTMLParser):
+    """One pass over a page: text and links by visibility, and the flags' facts."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.stack: list[tuple[str, bool, bool]] = []
+        self.shown: list[str] = []
+        self.unseen: list[str] = []
+        self.links: tuple[list[str], list[str]] = ([], [])
+        self.facts: set[str] = set()
+        self.rules: list[tuple[str, str]] = []
+        self.count = 0
+        self.style: list[str] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.count += 1
+        a = {k: v or "" for k, v in attrs}
+        hidden, skip = self.stack[-1][1:] if self.stack else (False, False)
+        hidden = hidden or "hidden" in a or hidden_style(a.get("style", "")) or any(self._matches(s, tag, a) for s, _ in self.rules)
+        skip = skip or tag in SKIP
+        if tag == "style":
+            self.style = []
+        if tag in ("form", "iframe", "script"):
+            self.facts.add(tag)
+        if tag == "input" and a.get("type", "").strip().lower() == "password":
+            self.facts.add("password")
+        if tag == "meta" and a.get("http-equiv", "").strip().lower() == "refresh":
+            self.facts.add("refresh")
+        if any(k.startswith("on") for k in a) or any(v.strip().lower().startswith(("javascript:", "vbscript:")) for v in a.values()):
+            self.facts.add("script")
+        if tag in ("a", "area") and a.get("href"):
+            self.links[hidden].append(a["href"])
+        if tag in BLOCKS:
+            (self.unseen if hidden else self.shown).append("\n")
+        if tag not in VOID and self.count < ELEMENTS:
+            self.stack.append((tag, hidden, skip))
+
+    @staticmethod
+    def _matches(selector: str, tag: str, a: dict[str, str]) -> bool:
+        m = re.fullmatch(r"([a-z0-9*]*)((?:[.#][\w-]+)*)", selector)
+        if not m or not selector:
+            return False
+        classes, names = set(a.get("class", "").split()), re.findall(r"([.#])([\w-]+)", m[2])
+        return m[1] in ("", "*", tag) and bool(m[1] or names) and all(n in classes if k == "." else a.get("id") == n for k, n in names)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "style" and self.style is not None:
+            for selectors, style in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", "".join(self.style), flags=re.S)):
+                if hidden_style(style):
+                    self.rules += [(s.strip().lower().split()[-1], style) for s in selectors.split(",") if s.strip()]
+            self.style = None
+        if any(t == tag for t, _, _ in self.stack):
+            while self.stack and self.stack.pop()[0] != tag:
+                pass
+        if tag in BLOCKS:
+            self.shown.append("\n")
+
+    def handle_data(self, data: str) -> None:
+        if self.style is not None:
+            self.style.append(data)
+        hidden, skip = self.stack[-1][1:] if self.stack else (False, False)
+        if "smuggle" not in self.facts and self.stack and self.stack[-1][0] == "script" and re.search(r"createObjectURL|msSaveOrOpenBlob|new Blob|\.download\s*=", data):
+            self.facts.add("smuggle")
+        if not skip:
+            (self.unseen if hidden else self.shown).append(data)
+
+
+def read(page: str) -> _Page:
+    p = _Page()
+    p.feed(page[: 1 << 20])
+    p.close()
+    return p
+
+
+def _tidy(parts: list[str]) -> str:
+    lines = (" ".join(x.split()) for x in "".join(parts).split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def to_text(page: str) -> str:
+    """Visible text with a line for each block, hidden text after it."""
+    p = read(page)
+    return "\n".join(t for t in (_tidy(p.shown), _tidy(p.unseen)) if t)
+
+
+def link_groups(page: str) -> tuple[list[str], list[str]]:
+    """Link targets of visible and of hidden elements."""
+    p = read(page)
+    clean = lambda xs: [u for u in (unescape(x).strip() for x in xs) if re.match(r"\s*(?:https?:|//)", u, re.I)]
+    return clean(p.links[0]), clean(p.links[1])
+
+
+FLAGS = [("form", "contains_form"), ("password", "contains_password_field"), ("script", "contains_javascript"), ("iframe", "contains_iframe"), ("refresh", "meta_refresh_redirect"), ("smuggle", "embeds_another_file")]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def page_flags(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: [flag for fact, flag in FLAGS if fact in read(p or "").facts])
+
+
+@F.pandas_udf(T.StringType())
+def html_text(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda p: to_text(p or ""))
+
+
+@F.pandas_udf(T.StructType().add("visible", T.ArrayType(T.StringType())).add("hidden", T.ArrayType(T.StringType())))
+def html_links(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([link_groups(p or "") for p in pages], columns=["visible", "hidden"])
+
+
+@F.pandas_udf(T.BooleanType())
+def is_hidden_style(styles: pd.Series) -> pd.Series:
+    return styles.map(lambda s: hidden_style(s or "")).astype(bool)
+
+
+def plain_flags(page: Column) -> Column:
+    """The same flags by patterns alone, without Python: right for ordinary markup."""
+    tests = [(r"(?i)<form[\s>/]", "contains_form"), (r"""(?i)<input[^>]*type\s*=\s*["']?\s*password""", "contains_password_field"), (r"(?i)<script[\s>/]", "contains_javascript"), (r"(?i)<iframe[\s>/]", "contains_iframe"), (r"""(?i)<meta[^>]*http-equiv\s*=\s*["']?\s*refresh""", "meta_refresh_redirect")]
+    return F.array_compact(F.array(*[F.when(page.rlike(p), flag) for p, flag in tests]))
+
+
+def plain_text(page: Column) -> Column:
+    """Text between tags, scripts and styles left out, without Python."""
+    t = F.regexp_replace(page, r"(?is)<(script|style|title)[^>]*>.*?</\1>|<!--.*?-->", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "<[^>]*>", " "), r"\s+", " "))
