@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import components, materialize
+from threshline.llm.common import components, materialize, slices
 
 #: Fingerprints that one group compares with each other at most, about.
 BUCKET = 4096
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     """(id, fp) of every document, from its whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, words) for t in b.column(1).to_pylist()], pa.int64())], names=["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
@@ -255,7 +255,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     keyed = docs.select(*key, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([fingerprint(t, finger_words) for t in b.column(3).to_pylist()], pa.int64())], names=["k1", "k2", "th", "fp"])
 
     fps = materialize(keyed.mapInArrow(run, "k1 long, k2 long, th long, fp long"), "fingerprints")
@@ -270,7 +270,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     met = keyed.join(wanted, F.col("k1").eqNullSafe(F.col("w1")) & (F.col("k2") == F.col("w2"))).dropDuplicates(["root", "wh"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([shingles(t, words).tobytes() for t in b.column(3).to_pylist()], pa.binary())], names=["root", "th", "first", "own"])
 
     first_type = "struct<none:boolean,k1:bigint,k2:bigint>"
