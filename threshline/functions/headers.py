@@ -88,17 +88,17 @@ def display_names(header: pd.Series) -> pd.Series:
     return header.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def decoded_header(value: pd.Series) -> pd.Series:
+def decode_words(value: str | None) -> str | None:
     """RFC 2047 words decoded; the value as written where that fails."""
+    try:
+        return value if value is None or "=?" not in value else str(make_header(decode_header(value)))
+    except (LookupError, UnicodeError, ValueError):
+        return value
 
-    def one(v: str | None) -> str | None:
-        try:
-            return v if v is None else str(make_header(decode_header(v)))
-        except (LookupError, UnicodeError, ValueError):
-            return v
 
-    return value.map(one)
+@F.pandas_udf(T.StringType())
+def decoded_header(value: pd.Series) -> pd.Series:
+    return value.map(decode_words)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,7 +1,7 @@
 """Mail sources: folders, single files and mbox files as (path, raw), and their parsing.
 
 Parsing needs the standard library's mail package and runs as one Arrow-batched
-pandas UDF; what follows it is native.
+function over batches; what follows it is native.
 """
 
 from __future__ import annotations
@@ -12,16 +12,19 @@ from collections.abc import Iterator
 from email import policy
 from email.message import Message
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from threshline.functions.headers import decode_words
 from threshline.functions.text import mail_id
 from threshline.sources import html
 
 PARSED = "body string, headers array<struct<name:string,value:string>>, visible_urls array<string>, hidden_urls array<string>, text_urls array<string>, from_unproven boolean"
 MOST = 1 << 20
+_WORD, _WORDS = pa.string(), pa.list_(pa.string())
 
 
 def read_mail(spark: SparkSession, path: str, glob: str = "*.eml") -> DataFrame:
@@ -94,7 +97,7 @@ def parse(raw: bytes) -> dict:
         parts = [p for p in m.walk() if not p.is_multipart()]
         pages = [_text(p) for p in parts if p.get_content_type() == "text/html"]
         plain = [_text(p) for p in parts if p.get_content_type() == "text/plain"]
-        headers = [{"name": str(k), "value": str(v)} for k, v in m.items()]
+        headers = [{"name": str(k), "value": decode_words(str(v))} for k, v in m.items()]
     except Exception:  # a mail that no parser takes is still text to judge
         pages, plain, headers = [], [raw[:MOST].decode("utf-8", "replace")], []
     seen, hidden = [], []
@@ -108,12 +111,17 @@ def parse(raw: bytes) -> dict:
 
 def parse_mail(mail: DataFrame, raw_col: str = "raw") -> DataFrame:
     """``mail`` with body, headers, link groups and whether its From is unproven."""
+    at, kinds = mail.columns.index(raw_col), [_WORD, pa.list_(pa.struct([("name", _WORD), ("value", _WORD)])), _WORDS, _WORDS, _WORDS, pa.bool_()]
+    names = [c.split()[0] for c in PARSED.split(", ")]
 
-    @F.pandas_udf(PARSED)
-    def parsed(raws: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(bytes(r or b"")) for r in raws], columns=[c.split()[0] for c in PARSED.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [parse(r or b"") for r in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)]], names=[*mail_names, *names])
 
-    return mail.withColumn("_p", parsed(raw_col)).select("*", "_p.*").drop("_p")
+    mail_names = list(mail.columns)
+    fields = T.StructType([*mail.schema, *T.StructType.fromDDL(PARSED)])
+    return mail.mapInArrow(run, fields)
 
 
 def mail_links(parsed: DataFrame, key: str = "mail_id") -> DataFrame:
@@ -123,5 +131,5 @@ def mail_links(parsed: DataFrame, key: str = "mail_id") -> DataFrame:
     return parsed.select(key, F.explode(each).alias("l")).select(key, "l.grp", "l.pos", "l.url")
 
 
-def _numbered(group, k: int):
+def _numbered(group: Column, k: int) -> Column:
     return F.transform(group, lambda u, i: F.struct(F.lit(k).alias("grp"), i.alias("pos"), u.alias("url")))
