@@ -64,9 +64,12 @@ def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None =
 def analyse_attachments(attachments: DataFrame, p_text: Column | None = None) -> DataFrame:
     """A verdict row for each attachment (id, filename, content, mime, parent_trusted)."""
     d = files.analyse(attachments).withColumn("flags", F.col("notable_features"))
-    worst = F.coalesce(F.array_max(F.transform("extracted_urls", lambda u: links.urls.rule_score(u))), F.lit(0.0))
+    hosts = F.transform("extracted_urls", lambda u: F.struct(u.alias("url"), links.urls.link_host(u).alias("host")))
+    known = F.transform(hosts, lambda u: F.struct(u["url"].alias("url"), u["host"].alias("host"), links.urls.well_known_link(u["url"], u["host"]).alias("known")))
+    d = d.withColumn("worst", F.coalesce(F.array_max(F.transform(known, lambda u: links.urls.rule_score(u["url"], u["host"], u["known"]))), F.lit(0.0)))
+    worst = F.col("worst")
     d = d.withColumns({"p_text": p_text if p_text is not None else F.lit(0.0), "p_url": worst, "url_rule_score": worst, "rep_max": F.lit(0.0), "rep_sources": F.array().cast("array<string>")})
-    return fusion.decide_attachment(d).drop("content", "flags")
+    return fusion.decide_attachment(d).drop("content", "flags", "worst")
 
 
 def explain(rows: DataFrame, fitted: PipelineModel, key: str, text_col: str = "text") -> DataFrame:

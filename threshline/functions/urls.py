@@ -96,8 +96,8 @@ def lookalike_host(host: Column) -> Column:
     return host.rlike(r"[^\x00-\x7F]|(?:^|\.)xn--")
 
 
-def on_cloud_file_host(url: Column) -> Column:
-    return any_suffix(link_host(url), dims.CLOUD_FILE_HOSTS)
+def on_cloud_file_host(host: Column) -> Column:
+    return any_suffix(host, dims.CLOUD_FILE_HOSTS)
 
 
 def browser_path(path: Column) -> Column:
@@ -121,32 +121,42 @@ def _decoded(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
-def well_known_link(url: Column) -> Column:
+def well_known_link(url: Column, host: Column | None = None) -> Column:
     """A link to a large known site that carries no other address."""
-    host, tail = link_host(url), split_url(url)["tail"]
+    host, tail = link_host(url) if host is None else host, split_url(url)["tail"]
     path, rest = F.regexp_extract(tail, "^[^?#]*", 0), F.regexp_extract(tail, "[?#].*$", 0)
     query, fragment = F.regexp_extract(rest, r"^\?([^#]*)", 1), F.regexp_extract(rest, "#(.*)$", 1)
     whole = _decoded(_decoded(F.concat(browser_path(path), F.lit("?"), query, F.lit("#"), fragment)))
     known = host.isin(dims.WELL_KNOWN) | org_domain(host).isin(dims.WELL_KNOWN)
-    return (host != "") & ~on_cloud_file_host(url) & ~any_suffix(host, dims.USER_CONTENT_HOSTS) & ~whole.rlike(EMBEDDED) & known
+    # the cheap test first: most links are to no known site
+    return known & (host != "") & ~on_cloud_file_host(host) & ~any_suffix(host, dims.USER_CONTENT_HOSTS) & ~whole.rlike(EMBEDDED)
 
 
-def rule_score(url: Column) -> Column:
-    """Rule score of one address: http, IP, user part, length, TLD, look-alike, words, cloud file; known sites at most .10."""
-    host = link_host(url)
+def suspicious_tld(host: Column) -> Column:
+    return F.element_at(F.split(host, r"\."), -1).isin(dims.SUSPICIOUS_TLDS)
+
+
+def rule_score(url: Column, host: Column | None = None, known: Column | None = None) -> Column:
+    """Rule score of one address: http, IP, user part, length, TLD, look-alike, words, cloud file; known sites at most .10.
+
+    Pass the host, and whether the site is known, where they are columns already.
+    """
+    host = link_host(url) if host is None else host
+    known = well_known_link(url, host) if known is None else known
     parts = [
-        (F.lower(url).startswith("http://"), 0.25), (ip_host(host), 0.40), (has_userinfo(url), 0.35), (F.length(url) > 75, 0.15), (F.element_at(F.split(host, r"\."), -1).isin(dims.SUSPICIOUS_TLDS), 0.30),
-        (lookalike_host(host), 0.30), (url.rlike("(?i)login|verify|account|update|secure"), 0.10), (on_cloud_file_host(url), 0.45),
+        (F.lower(url).startswith("http://"), 0.25), (ip_host(host), 0.40), (has_userinfo(url), 0.35), (F.length(url) > 75, 0.15), (suspicious_tld(host), 0.30),
+        (lookalike_host(host), 0.30), (url.rlike("(?i)login|verify|account|update|secure"), 0.10), (on_cloud_file_host(host), 0.45),
     ]
     total = F.lit(0.0)
     for sign, points in parts:
         total = total + F.when(sign, points).otherwise(0.0)
-    return F.least(F.lit(1.0), F.when(well_known_link(url), F.least(total, F.lit(0.10))).otherwise(total))
+    return F.least(F.lit(1.0), F.when(known, F.least(total, F.lit(0.10))).otherwise(total))
 
 
-def strong_sign(url: Column) -> Column:
-    host = link_host(url)
-    return ~well_known_link(url) & (ip_host(host) | has_userinfo(url) | lookalike_host(host) | F.element_at(F.split(host, r"\."), -1).isin(dims.SUSPICIOUS_TLDS) | on_cloud_file_host(url))
+def strong_sign(url: Column, host: Column | None = None, known: Column | None = None) -> Column:
+    host = link_host(url) if host is None else host
+    known = well_known_link(url, host) if known is None else known
+    return ~known & (ip_host(host) | has_userinfo(url) | lookalike_host(host) | suspicious_tld(host) | on_cloud_file_host(host))
 
 
 def urls_in_text(text: Column, limit: int | None = None) -> Column:

@@ -18,9 +18,10 @@ MOST = "domain_length domain_dots_count path_length query_param_count suspicious
 def url_facts(links: DataFrame, url_col: str = "url") -> DataFrame:
     """One row a distinct address: host, organisation, rule score and classes."""
     u = links.select(F.col(url_col).alias("url")).where("url IS NOT NULL").distinct()
-    host = urls.link_host(F.col("url"))
-    u = u.withColumn("host", host).withColumn("org", urls.org_domain(F.col("host")))
-    return u.withColumns({"is_ip": urls.ip_host(F.col("host")), "has_user": urls.has_userinfo(F.col("url")), "cloud": urls.on_cloud_file_host(F.col("url")), "well_known": urls.well_known_link(F.col("url")), "rule_score": urls.rule_score(F.col("url")), "strong": urls.strong_sign(F.col("url"))})
+    url, host, known = F.col("url"), F.col("host"), F.col("well_known")
+    u = u.withColumn("host", urls.link_host(url))
+    u = u.withColumns({"org": urls.org_domain(host), "is_ip": urls.ip_host(host), "has_user": urls.has_userinfo(url), "cloud": urls.on_cloud_file_host(host), "well_known": urls.well_known_link(url, host)})
+    return u.withColumns({"rule_score": urls.rule_score(url, host, known), "strong": urls.strong_sign(url, host, known)})
 
 
 def link_profile(links: DataFrame, senders: DataFrame, key: str = "mail_id") -> DataFrame:

@@ -306,23 +306,20 @@ def analyse(files: DataFrame) -> DataFrame:
     kind = kind.when(F.col("packed").isNotNull(), "archive").when(F.col("type") == "application/pdf", "pdf").when(F.col("type").isin(OOXML), "office").when(F.col("type").isin([*LEGACY, "application/x-ole-storage"]), "office_legacy")
     kind = kind.when(F.col("type") == "application/zip", "archive_zip").when(F.col("type") == "text/calendar", "calendar").when(F.col("type").isin("text/html", "application/xhtml+xml", "image/svg+xml"), "page").when(F.col("type").startswith("image/"), "image").when(F.col("type").startswith("text/"), "text").otherwise("unsupported")
     d = d.withColumn("kind", kind)
-    of = lambda k: d.where(F.col("kind") == k)
-    page_text = F.decode(unzipped(F.col("content")), "UTF-8")
-    ics = calendar_facts(F.col("content"))
-    parts = [
-        d.where(F.col("kind").isin("executable", "disk_image")).withColumns({"notable_features": F.col("danger"), "extracted_text": blank, "extracted_urls": none}),
-        of("archive").withColumns({"notable_features": uninspectable(F.col("packed")), "extracted_text": blank, "extracted_urls": none}),
-        of("pdf").withColumns({"notable_features": pdf_markers(F.col("content")), "extracted_text": blank, "extracted_urls": pdf_links(F.col("content"))}),
-        of("office").withColumn("_o", ooxml_facts("content")).withColumns({"notable_features": F.col("_o.notable_features"), "extracted_text": F.col("_o.extracted_text"), "extracted_urls": F.col("_o.extracted_urls")}).drop("_o"),
-        of("office_legacy").withColumn("_o", ole_facts("content")).withColumns({"notable_features": F.col("_o.notable_features"), "extracted_text": blank, "extracted_urls": F.col("_o.extracted_urls")}).drop("_o"),
-        analyse_zip(of("archive_zip")).drop("entries", "entry_count", "encrypted").withColumns({"extracted_text": blank, "extracted_urls": none}),
-        of("calendar").withColumns({k: ics[k] for k in ("notable_features", "extracted_text", "extracted_urls")}),
-        of("page").withColumn("_t", page_text).withColumns({"notable_features": html.page_flags("_t"), "extracted_text": html.html_text("_t"), "extracted_urls": html.html_links("_t")["visible"]}).drop("_t"),
-        of("text").withColumns({"notable_features": none, "extracted_text": F.left(F.decode("content", "UTF-8"), F.lit(20_000)), "extracted_urls": urls.urls_in_text(F.decode("content", "UTF-8"), 200)}),
-        d.where(F.col("kind").isin("image", "unsupported")).withColumns({"notable_features": none, "extracted_text": blank, "extracted_urls": none}),
-    ]
-    names = [*files.columns, "type", "kind", "notable_features", "extracted_text", "extracted_urls"]
-    out = parts[0].select(*names)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*names))
-    return out
+    own = lambda *k: F.when(F.col("kind").isin(*k), F.col("content"))
+    # one pass: each reader gets the content of its own kind and null for all others
+    d = d.withColumns({"_office": ooxml_facts(own("office")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_page": unzipped(own("page"))})
+    d = d.withColumn("_page", F.decode("_page", "UTF-8")).withColumn("_plain", F.decode(own("text"), "UTF-8"))
+    d = d.withColumns({"_flags": html.page_flags("_page"), "_text": html.html_text("_page"), "_links": html.html_links("_page"), "_ics": F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()])})
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    names = F.transform(F.filter("_zip.entries", lambda e: ~e["is_dir"]), lambda e: e["plain"])
+    features = (
+        F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("pdf"), pdf_markers(F.col("content"))).when(is_kind("office"), F.col("_office.notable_features"))
+        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags")))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags")).otherwise(none)
+    )
+    body = F.when(is_kind("office"), F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
+    found = (
+        F.when(is_kind("pdf"), pdf_links(F.col("content"))).when(is_kind("office"), F.col("_office.extracted_urls")).when(is_kind("office_legacy"), F.col("_ole.extracted_urls")).when(is_kind("calendar"), F.col("_ics.extracted_urls"))
+        .when(is_kind("page"), F.col("_links.visible")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(none)
+    )
+    return d.select(*files.columns, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"))
