@@ -7,7 +7,8 @@ all its occurrences but the first (by id, then text hash, then position) are
 removed after their bytes are compared with the first's.
 
 Only hashes are shuffled for the whole corpus; texts travel compressed, and
-chunk bytes only for repeated chunks. The hot side of each join holds one row
+chunk bytes only for repeated chunks. Joins of texts are always merge joins, as
+the other side grows with the corpus. The hot side of each join holds one row
 per chunk hash, so a chunk that a third of all documents share is a skewed
 probe side that adaptive execution splits.
 
@@ -21,7 +22,6 @@ names, and ``n_chars`` follows the new text.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshline.llm.common import materialize
+from threshline.llm.common import materialize, pack, slices, unpack
 
 WINDOW = 3
 #: A chunk ends where the rolling hash is a multiple of this, or after MOST lines.
@@ -69,14 +69,6 @@ def _pieces(text: str) -> list[tuple[int, int, bytes]]:
     return [(a, b, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")) for a, b in chunks(text)]
 
 
-def _pack(text: str) -> bytes:
-    return zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
-
-
-def _unpack(data: bytes) -> str:
-    return zlib.decompress(data).decode("utf-8", "surrogatepass")
-
-
 def _key(id_col: str, text_col: str) -> list:
     return [F.col(id_col).alias("k1"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k2")]
 
@@ -86,7 +78,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if text and "\n" in text:
@@ -109,32 +101,42 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = materialize(repeated, "repeated")
     firsts = repeated.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.at").alias("ats"))
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text LIKE '%\n%'").select(*_key("id", "text"), "text").mapInArrow(_packed, "k1 long, k2 long, packed binary")
-    held = packed.alias("d").join(firsts.alias("f"), F.col("d.k1").eqNullSafe(F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))).select("packed", "ats")
+    held = packed.alias("d").join(firsts.hint("merge").alias("f"), F.col("d.k1").eqNullSafe(F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))).select("packed", "ats")
     bytes_of = materialize(held.mapInArrow(_bytes, "h1 long, h2 long, chunk binary"), "chunk-bytes").dropDuplicates(["h1", "h2"])
     later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("k1", "k2", "at", "h1", "h2").distinct()
     marks = later.join(bytes_of, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "chunk")).alias("marks"))
-    fields = T.StructType([f for f in docs.schema])
-    names = [f"c{i}" for i in range(len(fields))]
-    d = docs.toDF(*names)
+    names = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = (docs.columns.index(c) for c in (id_col, text_col))
-    d = d.withColumn("k2", F.xxhash64(F.col(f"c{id_at}").cast("long"), F.col(f"c{text_at}")))
-    d = d.alias("d").join(marks.alias("m"), F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("m.k1")) & (F.col("d.k2") == F.col("m.k2")), "left").select(*names, "marks")
-    more = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    out = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(names, fields, strict=True)] + [T.StructField(m, T.LongType()) for m in more])
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    types = [f.dataType for f in docs.schema]
+    plain = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
+    small = T.StructType([T.StructField(n, T.BinaryType() if i == text_at else t) for i, (n, t) in enumerate(zip(names, types, strict=True))] + [T.StructField("k2", T.LongType())])
+
+    def pack_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            cols = list(b.columns)
+            cols[text_at] = pa.array([t if t is None else pack(t) for t in cols[text_at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "k2"])
+
+    d = docs.toDF(*names)
+    d = d.withColumn("k2", F.xxhash64(F.col(f"c{id_at}").cast("long"), F.col(f"c{text_at}"))).mapInArrow(pack_column, small)
+    d = d.alias("d").join(marks.hint("merge").alias("m"), F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("m.k1")) & (F.col("d.k2") == F.col("m.k2")), "left").select(*names, "marks")
+    more = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
+    out = T.StructType([*plain, *[T.StructField(m, T.LongType()) for m in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, marks = b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()
-            new, facts = [], []
-            for text, m in zip(texts, marks, strict=True):
-                kept, fact = _removed(text, m)
+        for b in slices(batches):
+            new, facts, changed = [], [], []
+            for data, m in zip(b.column(text_at), b.column(len(names)), strict=True):
+                text = None if not data.is_valid else unpack(data.as_py())
+                kept, fact = _removed(text, m.as_py())
                 new.append(kept)
                 facts.append(fact)
+                changed.append(fact[2] > 0)
             cols = [b.column(i) for i in range(len(names))]
-            cols[text_at] = pa.array(new, cols[text_at].type)
+            cols[text_at] = pa.array(new, pa.string())
             if chars_at is not None:
-                cols[chars_at] = pa.array([c if t is s else len(t) for c, t, s in zip(cols[chars_at].to_pylist(), new, texts, strict=True)], cols[chars_at].type)
+                cols[chars_at] = pa.array([len(t) if x else c for c, t, x in zip(cols[chars_at].to_pylist(), new, changed, strict=True)], cols[chars_at].type)
             yield pa.RecordBatch.from_arrays(cols + [pa.array([f[i] for f in facts], pa.int64()) for i in range(4)], names=names + more)
 
     done = d.mapInArrow(run, out)
@@ -156,15 +158,15 @@ def _removed(text: str | None, marks: list[dict] | None) -> tuple[str | None, tu
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([_pack(t) for t in b.column(2).to_pylist()], pa.binary())], names=["k1", "k2", "packed"])
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], names=["k1", "k2", "packed"])
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for data, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            parts = _pieces(_unpack(data))
+            parts = _pieces(unpack(data))
             for at in ats:
                 d = hashlib.blake2b(parts[at][2], digest_size=16).digest()
                 rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), parts[at][2]))
