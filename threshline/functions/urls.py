@@ -187,6 +187,13 @@ def shared_service(url: Column) -> Column:
     return F.coalesce(*tests)
 
 
+def payload_url(payload: Column) -> Column:
+    """The address of a scanned code: http(s), or a bare domain; else null."""
+    p = F.trim(payload)
+    full = F.when(p.rlike("^(?i)https?://"), p).when(p.rlike(r"^(?i)[a-z0-9][a-z0-9.-]{0,251}\.[a-z]{2,24}(?:/\S*)?$"), F.concat(F.lit("http://"), p))
+    return F.when(F.length(p) <= 2048, browser_url(full, unicode_hosts=False))
+
+
 def absolute_http(href: Column) -> Column:
     """An href as an absolute http(s) address, or empty."""
     h = F.regexp_replace(F.trim(href), r"[\t\r\n]", "")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import email
+import email.policy
 import gzip
 import io
 import re
@@ -277,6 +279,43 @@ def unzipped(contents: pd.Series) -> pd.Series:
     return contents.map(one)
 
 
+def mime_pages(content: bytes) -> dict:
+    """A web archive or saved mail: its pages read as pages, its plain text where it has none, its other files named."""
+    from threshline.sources import html
+
+    m = email.message_from_bytes(content[: 10 << 20], policy=email.policy.compat32)
+    flags, texts, found, plain, names, attached, pages = [], [], [], [], [], False, 0
+    for part in m.walk():
+        kind, name, data = part.get_content_type(), part.get_filename(), None if part.is_multipart() else part.get_payload(decode=True)
+        if name:
+            names.append(str(name))
+        if not isinstance(data, bytes):
+            continue
+        page = kind in ("text/html", "application/xhtml+xml", "image/svg+xml")
+        if page and pages < 3:
+            pages += 1
+            p = data.decode(part.get_content_charset() or "utf-8", "replace")
+            facts = html.read(p).facts
+            flags += [flag for fact, flag in html.FLAGS if fact in facts]
+            texts.append(html.to_text(p))
+            found += html.link_groups(p)[0]
+        elif kind == "text/plain" and not name:
+            plain.append(data.decode(part.get_content_charset() or "utf-8", "replace"))
+        elif name and not kind.startswith(("image/", "font/")) and kind != "text/css":
+            attached = True
+    body = "\n".join(texts) if pages else "\n".join(plain[:1])
+    if not pages:
+        found = html.URL.findall(body)
+    flags += ["inner_files_not_extracted"] if attached else []
+    return {"names": [unicodedata.normalize("NFKC", n) for n in names], "extracted_text": body[:20_000], "extracted_urls": list(dict.fromkeys(found))[:200], "notable_features": list(dict.fromkeys(flags))}
+
+
+@F.pandas_udf(T.StructType().add("names", _WORDS).add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS))
+def mime_facts(contents: pd.Series) -> pd.DataFrame:
+    none = {"names": [], "extracted_text": "", "extracted_urls": [], "notable_features": []}
+    return pd.DataFrame([mime_pages(bytes(c)) if c else none for c in contents], columns=list(none))
+
+
 def uninspectable(kind: Column) -> Column:
     """Flags of an archive that nothing here can open."""
     return F.when(kind.isin("rar", "7z"), F.array(F.lit("uninspectable_archive")))
@@ -304,22 +343,23 @@ def analyse(files: DataFrame) -> DataFrame:
     d = files.withColumn("type", sniff_type(F.col("filename"), F.col("content"), F.col("mime"))).withColumn("danger", dangerous_type(F.col("filename"))).withColumn("packed", archive_kind(F.col("content")))
     kind = F.when(F.col("danger").isNotNull(), F.when(F.array_contains("danger", "disk_image_attachment"), "disk_image").otherwise("executable"))
     kind = kind.when(F.col("packed").isNotNull(), "archive").when(F.col("type") == "application/pdf", "pdf").when(F.col("type").isin(OOXML), "office").when(F.col("type").isin([*LEGACY, "application/x-ole-storage"]), "office_legacy")
-    kind = kind.when(F.col("type") == "application/zip", "archive_zip").when(F.col("type") == "text/calendar", "calendar").when(F.col("type").isin("text/html", "application/xhtml+xml", "image/svg+xml"), "page").when(F.col("type").startswith("image/"), "image").when(F.col("type").startswith("text/"), "text").otherwise("unsupported")
+    kind = kind.when(F.col("type") == "application/zip", "archive_zip").when(F.col("type") == "text/calendar", "calendar").when(F.col("type").isin("text/html", "application/xhtml+xml", "image/svg+xml"), "page").when(F.col("type").isin("multipart/related", "message/rfc822"), "mime").when(F.col("type").startswith("image/"), "image").when(F.col("type").startswith("text/"), "text").otherwise("unsupported")
     d = d.withColumn("kind", kind)
     own = lambda *k: F.when(F.col("kind").isin(*k), F.col("content"))
     # one pass: each reader gets the content of its own kind and null for all others
-    d = d.withColumns({"_office": ooxml_facts(own("office")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_page": unzipped(own("page"))})
+    d = d.withColumns({"_office": ooxml_facts(own("office")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_mime": mime_facts(own("mime")), "_page": unzipped(own("page"))})
     d = d.withColumn("_page", F.decode("_page", "UTF-8")).withColumn("_plain", F.decode(own("text"), "UTF-8"))
     d = d.withColumns({"_flags": html.page_flags("_page"), "_text": html.html_text("_page"), "_links": html.html_links("_page"), "_ics": F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()])})
     is_kind = lambda *k: F.col("kind").isin(*k)
     names = F.transform(F.filter("_zip.entries", lambda e: ~e["is_dir"]), lambda e: e["plain"])
     features = (
         F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("pdf"), pdf_markers(F.col("content"))).when(is_kind("office"), F.col("_office.notable_features"))
-        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags")))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags")).otherwise(none)
+        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags")))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags"))
+        .when(is_kind("mime"), F.array_distinct(F.concat(text.classify_names(F.col("_mime.names"), True), F.col("_mime.notable_features")))).otherwise(none)
     )
-    body = F.when(is_kind("office"), F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
+    body = F.when(is_kind("office"), F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("mime"), F.col("_mime.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
     found = (
         F.when(is_kind("pdf"), pdf_links(F.col("content"))).when(is_kind("office"), F.col("_office.extracted_urls")).when(is_kind("office_legacy"), F.col("_ole.extracted_urls")).when(is_kind("calendar"), F.col("_ics.extracted_urls"))
-        .when(is_kind("page"), F.col("_links.visible")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(none)
+        .when(is_kind("page"), F.col("_links.visible")).when(is_kind("mime"), F.col("_mime.extracted_urls")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(none)
     )
     return d.select(*files.columns, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"))
