@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from threshline.functions.text import csv_cell
 
@@ -71,7 +70,7 @@ def is_caution(flags: Column, phishing: Column) -> Column:
 def newest(rows: DataFrame, n: int, key: str = "id", order: str = "ts", since: Column | None = None) -> DataFrame:
     """The newest n rows, of those after ``since``."""
     d = rows.where(F.col(order) >= since) if since is not None else rows
-    return d.withColumn("_n", F.row_number().over(W.orderBy(F.desc(order), key))).where(F.col("_n") <= n).drop("_n") if n < 10_000 else d.orderBy(F.desc(order), key).limit(n)
+    return d.orderBy(F.desc(order), key).limit(n)
 
 
 def valid_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -368,6 +368,27 @@ def mail_id(spark, sf_dir):
     return frame(spark, sf_dir, "SELECT doc_id, text FROM @documents").select("doc_id", text.mail_id(F.coalesce("text", F.lit("")).cast("binary")).alias("mail_id"))
 
 
+@query("SELECT conv_id, turn, left(CASE WHEN length(trim(b)) < 20 THEN trim(role || chr(10) || b) ELSE b END, 4000) AS text FROM (SELECT conv_id, turn, role, coalesce(text, '') AS b FROM @conversations)")
+def raw_text(spark, sf_dir):
+    d = frame(spark, sf_dir, "SELECT conv_id, turn, role, text FROM @conversations")
+    return d.select("conv_id", "turn", text.raw_text(F.col("text"), F.col("role")).alias("text"))
+
+
+CODES = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'Pay.Example/x' WHEN 2 THEN 'no link here' ELSE 'WIFI:S:x;;' END AS payload FROM @pages"
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_extract(payload, '^https?://') || {_host("payload")} || regexp_extract(regexp_replace(payload, '^https?://[^/?#]*', ''), '^.*$') WHEN page_id % 4 = 1 THEN 'http://pay.example/x' END AS url FROM ({CODES})""")
+def scanned_codes(spark, sf_dir):
+    return frame(spark, sf_dir, CODES).select("page_id", urls.payload_url(F.col("payload")).alias("url"))
+
+
+@query(f"SELECT mail_id, {_org('d')} AS org_domain, d IN {_in(dims.TRUSTED_SEED)} OR {_below('d', dims.TRUSTED_SEED)} AS trusted FROM (SELECT mail_id, {_FROM} AS d FROM ({inputs.MAIL}))")
+def trusted_senders(spark, sf_dir):
+    d = frame(spark, sf_dir, inputs.MAIL).select("mail_id", headers.simple_sender_domain(F.col("from_header")).alias("host"))
+    ok = links.trusted_hosts(d, dims.table(spark, "domain", dims.TRUSTED_SEED)).select("mail_id", F.lit(True).alias("trusted"))
+    return d.join(ok, "mail_id", "left").select("mail_id", urls.org_domain(F.col("host")).alias("org_domain"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
+
+
 @query(f"SELECT id, CASE WHEN regexp_matches(cell, '^[=+@-]') THEN chr(39) || cell ELSE cell END AS cell FROM ({inputs.CELLS})")
 def csv_guard(spark, sf_dir):
     return insights.csv_rows(frame(spark, sf_dir, inputs.CELLS).withColumn("id", F.col("id").cast("string"))).select(F.col("id").cast("long").alias("id"), "cell")
@@ -533,6 +554,21 @@ def run_compare(spark, sf_dir):
     return evaluation.compare(run, run.withColumn("verdict", F.when(F.col("p_url") >= 0.5, "phishing").otherwise("safe")))
 
 
+@query(f"SELECT error_kind, count(*) AS n FROM (SELECT CASE WHEN error IS NULL THEN verdict ELSE error END AS error_kind FROM ({inputs.RUN})) GROUP BY 1")
+def run_outcomes(spark, sf_dir):
+    return frame(spark, sf_dir, inputs.RUN).groupBy(F.coalesce("error", "verdict").alias("error_kind")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, label, verdict, error FROM ({inputs.RUN}) WHERE (label = 'legit' AND verdict = 'phishing') OR (label = 'phishing' AND verdict = 'safe')")
+def wrong_verdicts(spark, sf_dir):
+    return evaluation.wrong_rows(frame(spark, sf_dir, inputs.RUN)).select("id", "label", "verdict", "error")
+
+
+@query(f"SELECT id, ts, verdict FROM ({inputs.SCANS}) ORDER BY ts DESC, id LIMIT 500")
+def newest_scans(spark, sf_dir):
+    return insights.newest(frame(spark, sf_dir, inputs.SCANS), 500).select("id", "ts", "verdict")
+
+
 @query(f"WITH d AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2024-02-03', INTERVAL 1 DAY)) AS DATE) AS day), n AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (verdict = 'phishing') AS phishing, count(*) FILTER (verdict = 'safe') AS safe FROM ({inputs.SCANS}) GROUP BY 1) SELECT d.day, coalesce(phishing, 0) AS phishing, coalesce(safe, 0) AS safe FROM d LEFT JOIN n USING (day)")
 def daily_buckets(spark, sf_dir):
     return insights.daily(frame(spark, sf_dir, inputs.SCANS), F.to_date(F.lit("2024-02-03")))
