@@ -27,14 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threshline.llm.common import materialize
+
 #: Labelled rows that the chain is fitted on, at most.
 SAMPLE = 12_000
 FEATURES = 4096
 FOLDS = 3
 #: Documents that a feature must occur in to be used.
 LEAST = 4
-#: Standard errors that a feature's log odds must be away from none.
-CLEAR = 4.0
+#: Log odds that a feature must keep after SURE standard errors are taken off: it multiplies the odds for certain.
+CLEAR, SURE = 1.0, 2.5
 
 #: Kinds of toxic wording by which labelled toxic rows are told apart (fixed values).
 INSULTS = "idiot moron loser clown scum"
@@ -55,11 +57,11 @@ def features(word: str) -> list[str]:
 class Chain:
     """Weights of each category's model over a vocabulary and over the categories before it."""
 
-    def __init__(self, docs: list[set[str]], labels: np.ndarray, folds: np.ndarray) -> None:
-        vocabulary = self.vocabulary = self._select(docs, labels)
+    def __init__(self, vocabulary: dict[str, int], ids: list[np.ndarray], labels: np.ndarray, folds: np.ndarray) -> None:
+        self.vocabulary = vocabulary
         k = labels.shape[1]
         self.weights, self.links, self.bias = np.zeros((len(vocabulary), k)), np.zeros((k, k)), np.full(k, -20.0)
-        x = _Rows(docs, vocabulary)
+        x = _Rows(ids, len(vocabulary))
         held = np.zeros(labels.shape)
         for c in range(k):
             y = labels[:, c]
@@ -72,31 +74,7 @@ class Chain:
                     w, v, b = _logistic(x.take(fit), before[fit], y[fit])
                     held[out, c] = _sigmoid(x.take(out).dot(w) + before[out] @ v + b)
             self.weights[:, c], self.links[c, :c], self.bias[c] = _logistic(x, before, y)
-        self.threshold = self._best_threshold(held[:, -1], labels[:, -1]) if k and len(docs) else 0.5
-
-    @staticmethod
-    def _select(docs: list[set[str]], labels: np.ndarray) -> dict[str, int]:
-        """The features that tell the classes apart best, by log odds over their standard error."""
-        total: dict[str, np.ndarray] = {}
-        for d, y in zip(docs, labels, strict=True):
-            one = np.append(y, 1.0)
-            for f in {f for w in d for f in features(w)}:
-                if f in total:
-                    total[f] = total[f] + one
-                else:
-                    total[f] = one
-        names = sorted(f for f, t in total.items() if t[-1] >= LEAST)
-        if not names:
-            return {}
-        t = np.array([total[f] for f in names])
-        n, yes, got = len(docs), labels.sum(0), t[:, :-1]
-        rest = t[:, -1:] - got
-        odds = np.log((got + 0.5) / (yes - got + 0.5)) - np.log((rest + 0.5) / (n - yes - rest + 0.5))
-        error = np.sqrt(1 / (got + 0.5) + 1 / (yes - got + 0.5) + 1 / (rest + 0.5) + 1 / (n - yes - rest + 0.5))
-        score = np.abs(odds / error).max(1)
-        best = np.lexsort((np.arange(len(names)), -score))[:FEATURES]
-        best = best[score[best] >= CLEAR]
-        return {names[i]: j for j, i in enumerate(sorted(best.tolist()))}
+        self.threshold = self._best_threshold(held[:, -1], labels[:, -1]) if len(ids) else 0.5
 
     @staticmethod
     def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -141,12 +119,10 @@ class _Weights(dict):
 class _Rows:
     """Sparse counts: how many distinct words of the document have the feature."""
 
-    def __init__(self, docs: list[set[str]], vocabulary: dict[str, int]) -> None:
-        self.width = len(vocabulary)
-        ids = [[vocabulary[f] for w in d for f in features(w) if f in vocabulary] for d in docs]
-        self.row = np.repeat(np.arange(len(docs)), [len(i) for i in ids])
-        self.col = np.array([j for i in ids for j in sorted(i)], dtype=np.int64)
-        self.n = len(docs)
+    def __init__(self, ids: list[np.ndarray], width: int) -> None:
+        self.width, self.n = width, len(ids)
+        self.row = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
+        self.col = np.concatenate(ids).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
 
     def take(self, mask: np.ndarray) -> _Rows:
         out = object.__new__(_Rows)
@@ -186,14 +162,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def used(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "words": [" ".join(sorted(words(t))) for t in b["text"]]})
-
-    got = rows.mapInPandas(used, "id long, y double, words string").toPandas().drop_duplicates("id").sort_values("id")
-    own = [set(w.split()) for w in got["words"]]
-    toxic = got["y"].to_numpy(float)
-    kinds = [np.array([float(y > 0 and not d.isdisjoint(k.split())) for y, d in zip(toxic, own, strict=True)]) for k in (INSULTS, CONTEMPT)]
-    labels_of = np.column_stack([*kinds, toxic]) if len(own) else np.zeros((0, 3))
-    return Chain(own, labels_of, got["id"].to_numpy(np.int64) * 2654435761 % 1_000_003 % FOLDS)
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "words": [sorted(words(t)) for t in b["text"]]})
+
+    rows = materialize(rows.mapInPandas(used, "id long, y double, words array<string>").dropDuplicates(["id"]), "labelled")
+    kind = lambda names: ((F.col("y") > 0) & F.arrays_overlap("words", F.array(*[F.lit(w) for w in names.split()]))).cast("double")
+    rows = rows.withColumns({"y0": kind(INSULTS), "y1": kind(CONTEMPT), "y2": F.col("y")})
+    vocabulary = _select(rows)
+
+    def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids = [np.array(sorted(vocabulary[f] for w in own for f in features(w) if f in vocabulary), np.int32).tobytes() for own in b["words"]]
+            yield b[["id", "y0", "y1", "y2"]].assign(ids=ids)
+
+    got = rows.mapInPandas(known, "id long, y0 double, y1 double, y2 double, ids binary").toPandas().sort_values("id")
+    ids = [np.frombuffer(i, np.int32) for i in got["ids"]]
+    return Chain(vocabulary, ids, got[["y0", "y1", "y2"]].to_numpy(float), got["id"].to_numpy(np.int64) * 2654435761 % 1_000_003 % FOLDS)
+
+
+def _select(rows: DataFrame) -> dict[str, int]:
+    """The features that tell a category apart best, by the lower end of their log odds; counted by Spark."""
+    kinds = ["y0", "y1", "y2"]
+    own = F.array_distinct(F.flatten(F.transform("words", lambda w: F.array_compact(F.array(w, *[F.when(F.length(w) > n, F.concat(F.left(w, F.lit(n)), F.lit("*"))) for n in (4, 5)])))))
+    total = rows.agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in kinds]).first()
+    counts = rows.select(F.explode(own).alias("feature"), *kinds).groupBy("feature").agg(F.count("*").alias("t"), *[F.sum(k).alias(k) for k in kinds]).where(F.col("t") >= LEAST)
+    scores = []
+    for k in kinds:
+        yes = float(total[k] or 0)
+        cells = [F.col(k) + 0.5, F.lit(yes) - F.col(k) + 0.5, F.col("t") - F.col(k) + 0.5, F.lit(total["n"] - yes) - F.col("t") + F.col(k) + 0.5]
+        odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+        scores.append(F.abs(odds) - SURE * F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3]) if 0 < yes < total["n"] else F.lit(0.0))
+    best = counts.select("feature", F.greatest(*scores).alias("score")).where(F.col("score") >= CLEAR).orderBy(F.desc("score"), "feature").limit(FEATURES)
+    return {f: i for i, f in enumerate(sorted(r["feature"] for r in best.select("feature").collect()))}
 
 
 def probabilities(chain: Chain, text: Column) -> Column:
