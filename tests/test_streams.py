@@ -43,7 +43,7 @@ def test_quota_equals_the_batch(spark, folder, tmp_path):
 def test_remembered_equals_the_batch(spark, folder, tmp_path):
     s = scan.remembered(scan.mail_stream(spark, folder, SCHEMA), 7200)
     got = {r.id: r.hit for r in scan.run_available(s, "seen", str(tmp_path / "c")).collect()}
-    want = {r.id: r.hit for r in scan.ttl_hits(batch(spark, folder), F.expr("INTERVAL 2 HOURS")).collect()}
+    want = {r.id: r.hit for r in scan.ttl_hits(batch(spark, folder), 7200).collect()}
     assert got == want and any(want.values()) and not all(want.values())
 
 

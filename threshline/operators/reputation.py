@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from threshline.functions import dims, urls
+from threshline.operators.ordered import fold_sorted
 
 PER_SCAN, TTL_HOURS = 30, 24
 #: Blocklist answer, threat type and category (fixed values).
@@ -81,20 +82,18 @@ def unexpired(cache: DataFrame, now: Column, hours: int = TTL_HOURS) -> DataFram
 
 
 def admit_quota(requests: DataFrame, limit: int, buffer: int) -> DataFrame:
-    """Adds admitted: all-or-nothing requests of size n against a daily budget, in order of ts and id.
+    """(day, id, admitted): all-or-nothing requests of size n against a daily budget, in order of ts and id.
 
-    A refused request leaves room for a smaller one, so each day is folded in order; a day's requests are one row's array.
+    A refused request leaves room for a smaller one, so no running sum decides; each day is folded in order.
     """
-    item = F.struct("ts", "id", "n")
-    days = requests.withColumn("day", F.to_date("ts")).groupBy("day").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:bigint,admitted:boolean>>").alias("out"))
+    most = limit - buffer
 
-    def step(acc: Column, r: Column) -> Column:
-        ok = acc["used"] + r["n"] <= limit - buffer
-        return F.struct(F.when(ok, acc["used"] + r["n"]).otherwise(acc["used"]).cast("long").alias("used"), F.concat(acc["out"], F.array(F.struct(r["id"].cast("long").alias("id"), ok.alias("admitted")))).alias("out"))
+    def step(used: int, row: tuple) -> tuple[int, bool]:
+        ok = used + row[3] <= most
+        return used + row[3] * ok, ok
 
-    out = days.select("day", F.explode(F.aggregate("items", zero, step)["out"]).alias("r"))
-    return out.select("day", "r.id", "r.admitted")
+    rows = requests.select(F.to_date("ts").alias("day"), "ts", F.col("id").cast("long").alias("id"), F.col("n").cast("long").alias("n"))
+    return fold_sorted(rows, "day", ["ts", "id"], int, step, "admitted", "boolean", ["day", "id"])
 
 
 def admit_units(requests: DataFrame, limit: int, buffer: int) -> DataFrame:

@@ -222,7 +222,7 @@ def quota_admission(spark, sf_dir):
 @query(f"""WITH RECURSIVE r AS ({REQUESTS}), o AS (SELECT id, key, ts, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS seq FROM r),
 w AS (SELECT key, id, seq, ts AS since, false AS hit FROM o WHERE seq = 1 UNION ALL SELECT o.key, o.id, o.seq, CASE WHEN o.ts < w.since + INTERVAL 24 HOUR THEN w.since ELSE o.ts END, o.ts < w.since + INTERVAL 24 HOUR FROM w JOIN o ON o.key = w.key AND o.seq = w.seq + 1) SELECT key, id, hit FROM w""")
 def ttl_cache(spark, sf_dir):
-    return scan.ttl_hits(frame(spark, sf_dir, REQUESTS), F.expr("INTERVAL 24 HOURS"))
+    return scan.ttl_hits(frame(spark, sf_dir, REQUESTS), 86_400)
 
 
 @query(f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id DESC) AS n FROM ({inputs.SCANS})) SELECT id, user_id, verdict FROM o WHERE n = 1")

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threshline.operators.ordered import fold_sorted
+
 PER_PASS = 10
 
 
@@ -76,20 +78,15 @@ def remembered(requests: DataFrame, ttl_seconds: Callable[[pd.DataFrame], pd.Ser
     return requests.groupBy("key").applyInPandasWithState(look, "id long, key string, hit boolean", "until double", "append", GroupStateTimeout.NoTimeout)
 
 
-def ttl_hits(requests: DataFrame, ttl: Column) -> DataFrame:
-    """The batch form: a request hits if one before it, that itself missed, is younger than the time to live.
-
-    Misses are at least the time to live apart, so each key's times are folded in order.
-    """
-    items = F.array_sort(F.collect_list(F.struct("ts", "id")))
-    zero = F.struct(F.lit(None).cast("timestamp").alias("since"), F.array().cast("array<struct<id:bigint,hit:boolean>>").alias("out"))
+def ttl_hits(requests: DataFrame, ttl_seconds: int) -> DataFrame:
+    """(key, id, hit), the batch form: a request hits if one before it, that itself missed, is younger than the time to live."""
 
-    def step(acc: Column, r: Column) -> Column:
-        hit = F.coalesce(r["ts"] < acc["since"] + ttl, F.lit(False))
-        return F.struct(F.when(hit, acc["since"]).otherwise(r["ts"]).alias("since"), F.concat(acc["out"], F.array(F.struct(r["id"].cast("bigint").alias("id"), hit.alias("hit")))).alias("out"))
+    def step(since: float | None, row: tuple) -> tuple[float, bool]:
+        hit = since is not None and row[1] < since + ttl_seconds * 1_000_000
+        return (since if hit else row[1]), hit
 
-    d = requests.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("key").agg(items.alias("items"))
-    return d.select("key", F.explode(F.aggregate("items", zero, step)["out"]).alias("r")).select("key", "r.id", "r.hit")
+    rows = requests.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("id").cast("long").alias("id"))
+    return fold_sorted(rows, "key", ["at", "id"], lambda: None, step, "hit", "boolean", ["key", "id"])
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
