@@ -65,9 +65,10 @@ def test_equal_windows_have_equal_anchors():
     assert keys[0] == keys[1] and len(keys[0]) == len(shared) - 399
 
 
-@pytest.mark.parametrize("hot", [2048, 1])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "stripe"), [(2048, 32), (1, 32), (1, 5)])
+def test_against_brute_force(spark, monkeypatch, hot, stripe):
     monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "STRIPE", stripe)
     monkeypatch.setattr(suffix, "PIECE", 700)
     texts = corpus()
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, h int")
@@ -82,3 +83,22 @@ def test_repeated_rows_nulls_and_empty(spark):
     alone = spark.createDataFrame([(1, "".join(chr(97 + i * i % 26) + str(i) for i in range(400)))], "doc_id long, text string")
     assert [r.n_removed for r in suffix.remove_repeats(alone).collect()] == [0]
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stripes_keep_equal_windows_together(monkeypatch):
+    """Windows at one distance to the anchor always share a stripe, wherever their segments begin and end."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix, "HOT", 0)
+    text = " ".join(f"w{i * i % 1009}" for i in range(500)).encode()
+    seen = {}
+    for cut in (0, 1, 7, 31, 32, 33, 64, 100, 150):
+        data = text[cut:]
+        packed = suffix.pack(data.decode())
+        for lo, hi, h, anchor in suffix.segments(data):
+            batch = pa.RecordBatch.from_arrays([pa.array([packed]), pa.array([[{"h": h, "sid": 1, "n": 1, "m": 9, "lo": lo, "hi": hi}]])], names=["packed", "wanted"])
+            rows = next(suffix._cut(iter([batch]))).to_pylist()
+            assert sum(len(r["part"]) - 399 for r in rows) == hi - lo + 1
+            for r in rows:
+                for p in range(lo + r["at"], lo + r["at"] + len(r["part"]) - 399):
+                    assert seen.setdefault((h, anchor - p), r["stripe"]) == r["stripe"]

@@ -355,10 +355,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((w["h"], 0, w["sid"], w["n"], 0, data[lo : hi + LENGTH]))
                     continue
                 h = rolling(np.frombuffer(data, np.uint8, hi + LENGTH - lo, lo), GRAM)
-                anchor = lo + int(np.flatnonzero(h.view(np.int64) == w["h"])[-1 if hi == lo else 0])
+                anchor = lo + int(np.flatnonzero(h.view(np.int64) == w["h"])[0])
                 edges = sorted({lo, hi + 1, *range(anchor - (anchor - lo) // STRIPE * STRIPE, hi + 1, STRIPE)})
                 for x, y in zip(edges[:-1], edges[1:], strict=True):
-                    rows.append((w["h"], (anchor - y + 1) // STRIPE, w["sid"], w["n"], x - lo, data[x : y - 1 + LENGTH]))
+                    rows.append((w["h"], (anchor - y) // STRIPE, w["sid"], w["n"], x - lo, data[x : y - 1 + LENGTH]))
         yield _rows(_SEGMENT, rows)
 
 
