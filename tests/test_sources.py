@@ -120,3 +120,49 @@ def test_stores(spark, tmp_path):
     (tmp_path / "feed.json").write_text(json.dumps([{"url": "https://X.example/a"}, {"url": "https://x.example/b"}]))
     u, h = stores.load_feed(spark, str(tmp_path / "feed.json"))
     assert u.count() == 2 and [r.host for r in h.collect()] == ["x.example"]
+
+
+def test_functions_in_sql(spark):
+    from threshline.functions import registry
+
+    registry.register(spark)
+    spark.createDataFrame([(_zip({"a.txt": b"x", "b/": b""}),)], "c binary").createOrReplaceTempView("zips")
+    got = spark.sql("SELECT e.name, e.is_dir FROM zips, LATERAL zip_entries(c) e ORDER BY 1").collect()
+    assert [tuple(r) for r in got] == [("a.txt", False), ("b/", True)]
+    assert spark.sql("SELECT html_text('<p>a</p><p>b</p>')").first()[0] == "a\nb"
+
+
+def test_office_files_under_other_names(spark):
+    raw = _zip({"word/document.xml": b"<d><t>Hi</t></d>", "word/vbaProject.bin": b""})
+    r = files.analyse(spark.createDataFrame([(1, "letter.zip", raw, None)], "id int, filename string, content binary, mime string")).first()
+    assert r.kind == "archive_zip" and "contains_macros" in r.notable_features and r.extracted_text == "Hi"
+
+
+def test_lookups_and_sizes(spark):
+    from threshline import engine
+    from threshline.operators import evaluation, reputation
+
+    d = spark.createDataFrame([("127.0.1.4",), ("127.0.1.77",), ("127.255.255.254",)], "c string").select(reputation.blocklist_verdict(F.col("c")).alias("v")).collect()
+    assert [r.v and (r.v.threat_type, r.v.category) for r in d] == [("SOCIAL_ENGINEERING", "phish"), ("SUSPICIOUS", "listed_unknown_code"), None]
+    j = '{"events":[{"eventAction":"last changed","eventDate":"2020-01-01"},{"eventAction":"registration","eventDate":"1999-05-06T01:02:03Z"}]}'
+    assert str(spark.createDataFrame([(j,)], "j string").select(evaluation.registration_date(F.col("j"))).first()[0]) == "1999-05-06"
+    kept, refused = engine.within_size(spark.createDataFrame([("ab",), ("abcdef",), (None,)], "b string"), "b", 3)
+    assert kept.count() == 1 and {r.reason for r in refused.collect()} == {"too large", "unsized"}
+
+
+def test_words_that_styles_make():
+    page = "<style>.a::before{content:'Pay'} .b:after{content:'x';display:none}</style><p class=a>now</p><p class=b>y</p>"
+    assert html.to_text(page) == "Pay now\ny"
+
+
+def test_reports_are_stored_redacted_until_full(spark, tmp_path):
+    from threshline.operators import insights
+
+    d = spark.createDataFrame([("r1", "2024-03-01", "bug", "mail me at a.b@c.example", "safe", 0.1), ("r2", "2024-04-01", "nonsense", "x", "safe", 0.1), ("r3", "2024-04-01", "bug", "x", "safe", 1.5)], "reference string, received string, kind string, text string, verdict string, fused_score double").withColumn("received", F.to_date("received"))
+    good, bad = insights.valid_reports(d)
+    assert {r.reference: r.reason for r in bad.collect()} == {"r2": "kind", "r3": "fused_score"}
+    path = str(tmp_path / "reports")
+    assert insights.store_reports(good, path) and not insights.store_reports(good, path, 1)
+    back = spark.read.json(path)
+    assert [(r.month, r.text) for r in back.select("month", "text").collect()] == [("2024-03", "mail me at <EMAIL>")]
+    assert insights.without_reports(back, good.select("reference")).count() == 0

@@ -20,6 +20,12 @@ def resolve(requests: DataFrame) -> DataFrame:
     return requests.withColumn("body", F.coalesce(F.nullif(F.col("body"), F.lit("")), F.col("raw_text"), F.lit(""))).withColumn("from_header", F.coalesce(F.nullif(F.col("from_header"), F.lit("")), made, F.lit("")))
 
 
+def within_size(requests: DataFrame, column: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Requests to judge, and those refused because the column is missing or too large."""
+    ok = F.coalesce(F.octet_length(column) <= most, F.lit(False))
+    return requests.where(ok), requests.where(~ok).withColumn("reason", F.when(F.col(column).isNull(), "unsized").otherwise("too large"))
+
+
 def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None = None, trusted: DataFrame | None = None, scores: DataFrame | None = None, blocklist: DataFrame | None = None) -> DataFrame:
     """A verdict row for each mail.
 

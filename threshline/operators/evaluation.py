@@ -105,6 +105,13 @@ def enrich(run: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     return d.withColumn(column, F.coalesce(F.col(column), F.col("_new")) if has else F.col("_new")).drop("_new")
 
 
+def registration_date(answer: Column) -> Column:
+    """The first registration event of a registry's JSON answer, as a date."""
+    events = F.from_json(answer, "events array<struct<eventAction:string,eventDate:string>>")["events"]
+    first = F.try_element_at(F.filter(events, lambda e: e["eventAction"] == "registration"), F.lit(1))["eventDate"]
+    return F.to_date(F.left(first, F.lit(10)))
+
+
 def domain_age_days(registered: Column, sent: Column) -> Column:
     return F.greatest(F.lit(0), F.datediff(sent, registered))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshline.functions.text import csv_cell
+from threshline.functions.text import csv_cell, redact
+from threshline.sources.stores import folder_bytes
 
 MOST = 500
 SOURCES = "gmail gmail-attachment gmail-auto outlook file attachment paste unknown".split()
@@ -80,9 +81,13 @@ def valid_reports(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("reason IS NULL").drop("reason"), d.where("reason IS NOT NULL")
 
 
-def store_reports(reports: DataFrame, path: str) -> None:
-    """Append to monthly JSON folders."""
-    reports.withColumn("month", F.date_format("received", "yyyy-MM")).write.mode("append").partitionBy("month").json(path)
+def store_reports(reports: DataFrame, path: str, most_bytes: int | None = None) -> bool:
+    """Append redacted reports to monthly JSON folders; refused once the store has reached its size."""
+    if most_bytes is not None and folder_bytes(reports.sparkSession, path) >= most_bytes:
+        return False
+    d = reports.withColumn("text", redact(F.col("text"))).withColumn("month", F.date_format("received", "yyyy-MM"))
+    d.write.mode("append").partitionBy("month").json(path)
+    return True
 
 
 def without_reports(reports: DataFrame, references: DataFrame) -> DataFrame:

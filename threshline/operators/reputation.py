@@ -18,6 +18,14 @@ PER_SCAN, TTL_HOURS = 30, 24
 DBL_CODES = {"127.0.1.2": ("SPAM", "spam"), "127.0.1.4": ("SOCIAL_ENGINEERING", "phish"), "127.0.1.5": ("MALWARE", "malware"), "127.0.1.6": ("BOTNET_CC", "botnet_cc"), "127.0.1.102": ("SPAM", "abused_legit_spam"), "127.0.1.103": ("SUSPICIOUS", "abused_legit_redirector"), "127.0.1.104": ("SOCIAL_ENGINEERING", "abused_legit_phish"), "127.0.1.105": ("MALWARE", "abused_legit_malware"), "127.0.1.106": ("BOTNET_CC", "abused_legit_botnet_cc")}
 
 
+def blocklist_verdict(code: Column) -> Column:
+    """(threat_type, category, code) of a blocklist's answer; null for refusals and answers that are none."""
+    known = F.create_map(*[x for k, (t, c) in DBL_CODES.items() for x in (F.lit(k), F.struct(F.lit(t).alias("threat_type"), F.lit(c).alias("category")))])
+    other = F.struct(F.lit("SUSPICIOUS").alias("threat_type"), F.lit("listed_unknown_code").alias("category"))
+    v = F.coalesce(F.try_element_at(known, code), other)
+    return F.when(code.startswith("127.0.1."), F.struct(v["threat_type"].alias("threat_type"), v["category"].alias("category"), code.alias("code")))
+
+
 def phish_lookup(links: DataFrame, phish_urls: DataFrame, phish_hosts: DataFrame) -> DataFrame:
     """Adds match: "url" for a listed address, "domain" for a listed host that is no shared one, else null."""
     host = urls.link_host(F.col("url"))

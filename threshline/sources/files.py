@@ -347,19 +347,20 @@ def analyse(files: DataFrame) -> DataFrame:
     d = d.withColumn("kind", kind)
     own = lambda *k: F.when(F.col("kind").isin(*k), F.col("content"))
     # one pass: each reader gets the content of its own kind and null for all others
-    d = d.withColumns({"_office": ooxml_facts(own("office")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_mime": mime_facts(own("mime")), "_page": unzipped(own("page"))})
+    d = d.withColumns({"_office": ooxml_facts(own("office", "archive_zip")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_mime": mime_facts(own("mime")), "_page": unzipped(own("page"))})
     d = d.withColumn("_page", F.decode("_page", "UTF-8")).withColumn("_plain", F.decode(own("text"), "UTF-8"))
     d = d.withColumns({"_flags": html.page_flags("_page"), "_text": html.html_text("_page"), "_links": html.html_links("_page"), "_ics": F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()])})
     is_kind = lambda *k: F.col("kind").isin(*k)
     names = F.transform(F.filter("_zip.entries", lambda e: ~e["is_dir"]), lambda e: e["plain"])
+    package = is_kind("archive_zip") & F.col("_office.kind").isNotNull()  # an Office file under another name is both
     features = (
         F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("pdf"), pdf_markers(F.col("content"))).when(is_kind("office"), F.col("_office.notable_features"))
-        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags")))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags"))
+        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags"), F.when(package, F.col("_office.notable_features")).otherwise(none)))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags"))
         .when(is_kind("mime"), F.array_distinct(F.concat(text.classify_names(F.col("_mime.names"), True), F.col("_mime.notable_features")))).otherwise(none)
     )
-    body = F.when(is_kind("office"), F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("mime"), F.col("_mime.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
+    body = F.when(is_kind("office") | package, F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("mime"), F.col("_mime.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
     found = (
-        F.when(is_kind("pdf"), pdf_links(F.col("content"))).when(is_kind("office"), F.col("_office.extracted_urls")).when(is_kind("office_legacy"), F.col("_ole.extracted_urls")).when(is_kind("calendar"), F.col("_ics.extracted_urls"))
+        F.when(is_kind("pdf"), pdf_links(F.col("content"))).when(is_kind("office") | package, F.col("_office.extracted_urls")).when(is_kind("office_legacy"), F.col("_ole.extracted_urls")).when(is_kind("calendar"), F.col("_ics.extracted_urls"))
         .when(is_kind("page"), F.col("_links.visible")).when(is_kind("mime"), F.col("_mime.extracted_urls")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(none)
     )
     return d.select(*files.columns, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"))

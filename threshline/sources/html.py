@@ -136,6 +136,7 @@ class _Page(HTMLParser):
         self.count = 0
         self.style: list[str] | None = None
         self.nested: list[str] = []
+        self.made: list[tuple[str, str]] = []
         self.scripts: list[str] = []
         self.base = ""
 
@@ -166,6 +167,9 @@ class _Page(HTMLParser):
             self.links[hidden].append(a["href"])
         if tag in BLOCKS:
             (self.unseen if hidden else self.shown).append("\n")
+        for selector, words in self.made:
+            if self._matches(selector, tag, a):
+                (self.unseen if hidden else self.shown).append(f" {words} ")
         if tag not in VOID and self.count < ELEMENTS:
             self.stack.append((tag, hidden, skip))
 
@@ -185,6 +189,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "style" and self.style is not None:
             for selectors, style in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", "".join(self.style), flags=re.S)):
+                words = re.search(r"content\s*:\s*[\"']([^\"']{1,500})[\"']", style)
+                if words and not hidden_style(style):
+                    self.made += [(x.strip().lower().split()[-1].split(":")[0], words[1]) for x in selectors.split(",") if re.search(r":(?:before|after)\s*$", x.strip().lower())]
                 if hidden_style(style):
                     self.rules += [(s.strip().lower().split()[-1], style) for s in selectors.split(",") if s.strip()]
             self.style = None

@@ -35,3 +35,10 @@ def upsert(cache: DataFrame, fresh: DataFrame, key: str = "url", order: str = "s
 def answer_key(*fields: Column) -> Column:
     """A request's key: the hash of its fields as canonical JSON."""
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder, through Spark's own file systems; 0 where it does not exist."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0
