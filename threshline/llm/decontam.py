@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import materialize
+from threshline.llm.common import materialize, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -117,7 +117,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     schema = pa.schema([("item", pa.int64()), ("version", pa.int64()), ("ipos", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("ivalues", pa.list_(pa.int64())), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for item, version, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 codes, slots, values = template(text or "")
@@ -143,7 +143,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 codes, slots, values = template(text or "")
