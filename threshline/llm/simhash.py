@@ -264,7 +264,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     rooted = fps.join(nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
     place = F.struct(F.col("k1").isNull().alias("none"), "k1", "k2")
     texts = materialize(rooted.groupBy("root", "th").agg(F.min(place).alias("first"), F.count("*").alias("rows")), "texts")
-    many = texts.groupBy("root").agg(F.count("*").alias("m")).where("m > 1")
+    # counts are written before they are joined: between two plain shuffles, a hot component is split
+    many = materialize(texts.groupBy("root").agg(F.count("*").alias("m")).where("m > 1"), "components")
     open_texts = texts.join(many.select("root"), "root").select("root", "th", "first")
     wanted = open_texts.select(F.col("first.k1").alias("w1"), F.col("first.k2").alias("w2"), "root", F.col("th").alias("wh"), "first")
     met = keyed.join(wanted, F.col("k1").eqNullSafe(F.col("w1")) & (F.col("k2") == F.col("w2"))).dropDuplicates(["root", "wh"])
@@ -275,7 +276,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     first_type = "struct<none:boolean,k1:bigint,k2:bigint>"
     known = materialize(met.select("root", "wh", "first", "text").mapInArrow(sets, f"root long, th long, first {first_type}, own binary"), "shingles")
-    weight = known.groupBy("root").agg(F.sum(F.length("own") + 64).alias("bytes"))
+    weight = materialize(known.groupBy("root").agg(F.sum(F.length("own") + 64).alias("bytes")), "weights")
     known = known.join(weight, "root")
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
