@@ -190,7 +190,7 @@ def _select(rows: DataFrame) -> dict[str, int]:
         yes = float(total[k] or 0)
         cells = [F.col(k) + 0.5, F.lit(yes) - F.col(k) + 0.5, F.col("t") - F.col(k) + 0.5, F.lit(total["n"] - yes) - F.col("t") + F.col(k) + 0.5]
         odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
-        scores.append(F.abs(odds) - SURE * F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3]) if 0 < yes < total["n"] else F.lit(0.0))
+        scores.append(odds - SURE * F.sqrt(1 / cells[0] + 1 / cells[1] + 1 / cells[2] + 1 / cells[3]) if 0 < yes < total["n"] else F.lit(0.0))
     best = counts.select("feature", F.greatest(*scores).alias("score")).where(F.col("score") >= CLEAR).orderBy(F.desc("score"), "feature").limit(FEATURES)
     return {f: i for i, f in enumerate(sorted(r["feature"] for r in best.select("feature").collect()))}
 
