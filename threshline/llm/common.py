@@ -8,6 +8,8 @@ The tables are deleted when the driver ends.
 from __future__ import annotations
 
 import atexit
+import re
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -37,9 +39,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def _at_end(spark: SparkSession, path: str) -> None:
+    if re.match(r"(?:file:)?/", path):
+        shutil.rmtree(re.sub("^file:/*", "/", path), ignore_errors=True)
+        return
     try:
         drop_path(spark, path)
-    except Exception:  # the gateway is gone: the session ended first
+    except Exception:  # the session, and with it the way to that store, ended first
         pass
 
 

@@ -431,8 +431,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = once.mapInArrow(_cut, "h long, stripe int, sid long, copies long, at long, part binary").dropDuplicates(["h", "stripe", "sid", "at"])
     runs = "array<struct<a:bigint,b:bigint>>"
     mixed_runs = parts.repartition("h", "stripe").sortWithinPartitions("h", "stripe").mapInArrow(_sorted_shards, f"h long, sid long, runs {runs}")
-    found = materialize(whole.union(mixed_runs), "repeats")
-    found = found.groupBy("h", "sid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # written before the join: between two plain shuffles, a segment that very many documents share is split
+    found = materialize(whole.union(mixed_runs).groupBy("h", "sid").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
     back = anchors.join(found, ["h", "sid"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "runs")).alias("found"))
     out = packed.join(back.toDF("b1", "b2", "found"), same("b"), "left").select("k1", "packed", "found")
     return out.mapInArrow(_result, f"id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans {runs}")
