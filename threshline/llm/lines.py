@@ -102,9 +102,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = repeated.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.at").alias("ats"))
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text LIKE '%\n%'").select(*_key("id", "text"), "text").mapInArrow(_packed, "k1 long, k2 long, packed binary")
     held = packed.alias("d").join(firsts.hint("merge").alias("f"), F.col("d.k1").eqNullSafe(F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))).select("packed", "ats")
-    bytes_of = materialize(held.mapInArrow(_bytes, "h1 long, h2 long, chunk binary"), "chunk-bytes").dropDuplicates(["h1", "h2"])
-    later = found.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("k1", "k2", "at", "h1", "h2").distinct()
-    marks = later.join(bytes_of, ["h1", "h2"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "chunk")).alias("marks"))
+    bytes_of = held.mapInArrow(_bytes, "h1 long, h2 long, chunk binary").dropDuplicates(["h1", "h2"])
+    # one row a chunk hash, written before the join: between two plain shuffles, a chunk that very many documents share is split
+    first = materialize(repeated.join(bytes_of, ["h1", "h2"]), "chunk-bytes")
+    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    marks = later.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "chunk")).alias("marks"))
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = (docs.columns.index(c) for c in (id_col, text_col))
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
@@ -150,7 +152,8 @@ def _removed(text: str | None, marks: list[dict] | None) -> tuple[str | None, tu
     if not marks:
         return text, (text.count("\n") + 1, len(chunks(text)), 0, 0)
     lines, parts = text.split("\n"), _pieces(text)
-    drop = [parts[m["at"]][:2] for m in marks if parts[m["at"]][2] == m["chunk"]]
+    # rows that repeat id and text mark a place more than once
+    drop = {parts[m["at"]][:2] for m in marks if parts[m["at"]][2] == m["chunk"]}
     gone = np.zeros(len(lines), bool)
     for a, b in drop:
         gone[a:b] = True
