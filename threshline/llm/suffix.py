@@ -420,10 +420,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = anchors.groupBy("h", "sid").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "lo", "hi")).alias("place"))
     total = anchors.groupBy("h").agg(F.count("*").alias("total")).where("total > 1").drop("total")
     kinds = materialize(kinds.join(total, "h"), "segments")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("m"))
-    kinds = kinds.join(mixed, "h")
-    whole = kinds.where("m = 1").select("h", "sid", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("place.hi") - F.col("place.lo")).alias("b"))).alias("runs"))
-    wanted = kinds.where("m > 1").select("place.k1", "place.k2", F.struct("h", "sid", "n", "m", "place.lo", "place.hi").alias("w"))
+    mixed = materialize(kinds.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
+    whole = kinds.join(mixed, "h", "left_anti").select("h", "sid", F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("place.hi") - F.col("place.lo")).alias("b"))).alias("runs"))
+    wanted = kinds.join(mixed, "h").select("place.k1", "place.k2", F.struct("h", "sid", "n", "m", "place.lo", "place.hi").alias("w"))
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list("w").alias("wanted"))
     packed = d.mapInArrow(_pack, "k1 long, k2 long, packed binary")
     same = lambda other: F.col("k1").eqNullSafe(F.col(f"{other}1")) & (F.col("k2") == F.col(f"{other}2"))
