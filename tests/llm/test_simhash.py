@@ -105,7 +105,7 @@ def near_corpus():
 
 def test_one_of_each_group_stays(spark, monkeypatch):
     rows = near_corpus()
-    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, root double")
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, _k1 double")
     for limit in (32 << 20, 100):
         monkeypatch.setattr(simhash, "COMPONENT", limit)
         kept = simhash.drop_near_duplicates(docs)

@@ -32,7 +32,7 @@ def test_held_out_accuracy_and_chain(spark):
 
 def test_the_filter_and_edge_cases(spark):
     rows = corpus(300, 3)
-    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, None, 1.0), (7000, "", 1.0), (7001, "Fine words " * 20000, 1.0)], "doc_id long, text string, p double")
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t, _ in rows] + [(None, None, 1.0), (7000, "", 1.0), (7001, "Fine words " * 20000, 1.0)], "doc_id long, text string, _p double")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (5, None), (99999, 1)], "doc_id long, toxic int")
     kept = toxicity.reject_toxic(docs, labels)
     assert kept.columns == docs.columns

@@ -68,6 +68,13 @@ def release(df: DataFrame) -> None:
         drop_path(df.sparkSession, folder)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 _SMALLER, _LARGER = zstandard.ZstdCompressor(level=5), zstandard.ZstdDecompressor()
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import materialize, slices
+from threshline.llm.common import fresh, materialize, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -171,9 +171,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold an item."""
-    bad = materialize(leaks(docs, items, id_col, text_col).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct(), "contaminated")
+    k1, k2 = fresh(docs, "_k1"), fresh(docs, "_k2")
+    bad = materialize(leaks(docs, items, id_col, text_col).select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "contaminated")
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_k1")) & (key == F.col("_k2")), "left_anti")
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(k1)) & (key == F.col(k2)), "left_anti")
 
 
 def op10_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import components, materialize, slices
+from threshline.llm.common import components, fresh, materialize, slices
 
 #: Fingerprints that one group compares with each other at most, about.
 BUCKET = 4096
@@ -304,11 +304,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     bad = materialize(lost[0], "lost").withColumn("gone", F.lit(True))
     state = rooted.select("k1", "k2", "root", "th").join(texts, ["root", "th"]).join(bad, ["root", "th"], "left")
     state = state.where("gone OR rows > 1").withColumn("gone", F.coalesce("gone", F.lit(False)) | ~((F.col("k1").eqNullSafe(F.col("first.k1"))) & (F.col("k2") == F.col("first.k2"))))
-    state = materialize(state.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.first("gone").alias("_gone"), F.count("*").alias("_n")).where("_gone OR _n > 1"), "dropped")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_k1")) & (F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col("_k2"))
-    kept = docs.join(state.select("_k1", "_k2"), same, "left_anti")
+    k1, k2, gone, n = (fresh(docs, x) for x in ("_k1", "_k2", "_gone", "_n"))
+    state = state.groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.first("gone").alias(gone), F.count("*").alias(n))
+    state = materialize(state.where(F.col(gone) | (F.col(n) > 1)), "dropped")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(k1)) & (F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)) == F.col(k2))
+    kept = docs.join(state.select(k1, k2), same, "left_anti")
     # rows that repeat id and text: one of them stays
-    twice = docs.join(state.where("NOT _gone"), same).dropDuplicates(["_k1", "_k2"]).select(*[docs[c] for c in docs.columns])
+    twice = docs.join(state.where(~F.col(gone)), same).dropDuplicates([k1, k2]).select(*[docs[c] for c in docs.columns])
     return kept.union(twice)
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshline.llm.common import materialize
+from threshline.llm.common import fresh, materialize
 
 #: Labelled rows that the chain is fitted on, at most.
 SAMPLE = 12_000
@@ -209,7 +209,8 @@ def probabilities(chain: Chain, text: Column) -> Column:
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those whose toxic probability reaches the chain's threshold."""
     chain = fit(docs, labels, id_col, text_col)
-    return docs.withColumn("_p", probabilities(chain, F.col(text_col))).where(F.col("_p.toxic") < chain.threshold).drop("_p")
+    p = fresh(docs, "_p")
+    return docs.withColumn(p, probabilities(chain, F.col(text_col))).where(F.col(f"{p}.toxic") < chain.threshold).drop(p)
 
 
 def op5_toxicity_chain(spark, sf_dir: str) -> DataFrame:
