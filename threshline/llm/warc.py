@@ -29,13 +29,17 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from threshline.llm.common import materialize, new_path, release
+from threshline.llm.common import materialize, new_path, pack, release, slices, unpack_bytes
 
 ARCHIVE_BYTES = 2 << 20
 REVISIT_BYTES = 100
+#: Gzip level of archives, raw and normalised.
+LEVEL = 4
 VERSION = b"WARC/1.1"
 
 
@@ -95,55 +99,64 @@ def _digest() -> Column:
     return F.unhex(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
 
 
+def _key() -> Column:
+    """The page_id, with a value for none."""
+    return F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).cast("long")
+
+
 def classify(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first) of every page whose payload another page holds too; first is the smallest page_id."""
+    """(k, digest, first) of every page whose payload another row holds too; first is the smallest page_id."""
     size = F.octet_length(F.coalesce("html", F.lit("")))
-    meta = pages.select("page_id", _digest().alias("digest"), size.alias("size")).where(F.col("size") >= REVISIT_BYTES).select("page_id", "digest")
-    meta = materialize(meta, "payloads")
-    shared = meta.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return meta.join(shared, "digest").select("page_id", "digest", "first").distinct()
+    meta = pages.select("page_id", _digest().alias("digest"), size.alias("size")).where(F.col("size") >= REVISIT_BYTES)
+    pairs = materialize(meta.groupBy("page_id", "digest").agg(F.count("*").alias("n")), "payloads")
+    shared = pairs.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("n").alias("total")).where("total > 1").drop("total")
+    return pairs.join(shared, "digest").select(_key().alias("k"), "digest", "first")
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
     """A written table (archive, content) of gzip streams with a record for each page."""
-    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), _digest().alias("digest"))
-    shared = classify(pages).select(F.col("page_id").alias("p"), F.col("digest").alias("g"), "first", F.lit(True).alias("shared"))
-    rows = rows.join(shared, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("g")), "left").drop("p", "g")
-    rows = rows.repartition("page_id").sortWithinPartitions("page_id", "digest")
+    rows = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"), _digest().alias("digest"))
+    rows = rows.mapInArrow(_packed, "page_id long, url string, html binary, digest binary")  # pages travel compressed
+    shared = classify(pages).withColumn("shared", F.lit(True))
+    rows = rows.withColumn("k", _key()).join(shared.hint("merge"), ["k", "digest"], "left")
+    # of rows that repeat both page_id and payload one comes first; they meet in the join already
+    turn = F.row_number().over(W.partitionBy("k", "digest").orderBy("url"))
+    rows = rows.withColumn("turn", turn).select(F.col("page_id").cast("string"), "url", "html", "digest", F.col("first").cast("string"), "shared", "turn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        z, out, size = zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
-        before = None
+        z, out, size = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), [], 0
         for b in batches:
-            for page, url, html, digest, first, shared in b[["page_id", "url", "html", "digest", "first", "shared"]].itertuples(index=False):
-                page, first = (None if pd.isna(x) else int(x) for x in (page, first))
-                payload, digest = html.encode("utf-8", "surrogatepass"), digest.hex()
-                is_first = page == first and (page, digest) != before
-                before = (page, digest)
-                revisit = shared is True and not is_first
+            for page, url, html, digest, first, shared, turn in b.itertuples(index=False):
+                payload, digest = unpack_bytes(html), digest.hex()
+                revisit = shared is True and not (page == first and turn == 1)
                 head = {
                     "WARC-Type": "revisit" if revisit else "response",
                     "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url} {digest}')}>",
                     "WARC-Target-URI": " ".join(url.split()),
                     "WARC-Date": "1970-01-01T00:00:00Z",
                     "WARC-Payload-Digest": f"sha256:{digest}",
-                    "X-Page-Id": "" if page is None else str(page),
+                    "X-Page-Id": page or "",
                     "X-Payload-Length": str(len(payload)),
                 }
                 if revisit:
-                    head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": "" if first is None else str(first)}
+                    head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": first or ""}
                 raw = record(head, b"" if revisit else payload)
                 out.append(z.compress(raw))
                 size += len(raw)
                 if size >= ARCHIVE_BYTES:
                     yield _archive(out, z)
-                    z, out, size = zlib.compressobj(6, zlib.DEFLATED, 31), [], 0
+                    z, out, size = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), [], 0
         if size:
             yield _archive(out, z)
 
     return materialize(rows.mapInPandas(run, "archive string, content binary"), "archives")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary()), b.column(3)], names=["page_id", "url", "html", "digest"])
+
+
 def _archive(out: list[bytes], z) -> pd.DataFrame:
     data = b"".join(out) + z.flush()
     return pd.DataFrame({"archive": [f"{hashlib.sha256(data).hexdigest()[:32]}.warc.gz"], "content": [data]})
@@ -160,7 +173,7 @@ def normalise(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
             for name, content in b[["archive", "content"]].itertuples(index=False):
                 members, index, at = [], [], 0
                 for head, raw in split_stream(inflate(content)):
-                    member = gzip.compress(raw, 6, mtime=0)
+                    member = gzip.compress(raw, LEVEL, mtime=0)
                     members.append(member)
                     index.append(("index", name, at, len(member), head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), None))
                     at += len(member)
