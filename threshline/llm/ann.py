@@ -122,7 +122,7 @@ def _stack(col: pd.Series) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
+    v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = v.where(finite & F.exists("vec", lambda x: x != 0))
     size = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -160,7 +160,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
             if len(b):
                 yield b.assign(leaf=tree.assign(_stack(b["vec"])))
 
-    data = materialize(data.mapInPandas(assign, "vec array<float>, ids array<long>, leaf int"), "leaves")
+    data = materialize(data.mapInPandas(assign, "vec array<double>, ids array<long>, leaf int"), "leaves")
     margin, found = _calibrate(data, asked, tree, k, recall)
     once = asked.groupBy("vec").agg(F.min("id").alias("q"))
     # neighbouring leaves share a bin of about BLOCK vectors; a larger leaf has bins of its own. The tree bounds both.
@@ -186,7 +186,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
                 rows += [(q, raw, x, own) for x, own in bins.items()]
             yield pd.DataFrame(rows, columns=["q", "qvec", "bin", "leaves"])
 
-    walked = materialize(once.mapInPandas(walk, "q long, qvec array<float>, bin int, leaves array<int>"), "visits")
+    walked = materialize(once.mapInPandas(walk, "q long, qvec array<double>, bin int, leaves array<int>"), "visits")
     plan = F.broadcast(walked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")))  # one row a bin
     spread = F.element_at(ints(first), F.col("leaf") + 1) + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.element_at(ints(parts), F.col("leaf") + 1)).cast("int")
     x = data.withColumn("bin", spread).join(plan, "bin").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
