@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,7 +27,9 @@ def nfkc(text: pd.Series) -> pd.Series:
 def without_invisible(text: Column) -> Column:
     """Without characters that take no room; a joiner stays between letters of Arabic and Indic scripts (past up to eight marks)."""
     joins = rf"(?<={_LETTER}{_MARK}{{0,8}})[\x{{200C}}\x{{200D}}](?={_LETTER})"
-    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?!{joins})[{INVISIBLE}]", "")
+    t = F.coalesce(text, F.lit(""))
+    # most texts hold none: one plain search instead of a look-around at each character
+    return F.when(t.rlike(rf"[{INVISIBLE}]"), F.regexp_replace(t, rf"(?!{joins})[{INVISIBLE}]", "")).otherwise(t)
 
 
 def collapse_invisible(text: Column) -> Column:
@@ -62,34 +65,55 @@ def normalize_text(text: Column, ascii_only: bool = False) -> Column:
 SCRIPTS = [("ko", r"\p{IsHangul}"), ("ja", r"\p{IsHiragana}\p{IsKatakana}"), ("zh", r"\p{IsHan}"), ("ru", r"\p{IsCyrillic}"), ("ar", r"\p{IsArabic}"), ("hi", r"\p{IsDevanagari}"), ("th", r"\p{IsThai}"), ("he", r"\p{IsHebrew}"), ("el", r"\p{IsGreek}")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def detect_language(text: Column) -> Column:
     """(code, confidence): the script's language, else that whose function words are most frequent; "und" on too little text."""
     words = F.filter(F.split(F.left(F.coalesce(text, F.lit("")), F.lit(20_000)), r"\s+"), lambda w: ~w.contains("@") & ~F.lower(w).contains("http://") & ~F.lower(w).contains("https://"))
-    t = F.regexp_replace(F.array_join(words, " "), "<[A-Z]+>", " ")
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    counts = [(code, F.length(F.regexp_replace(t, rf"[^{cls}]|[^\p{{L}}]", ""))) for code, cls in SCRIPTS]
-    other = F.lit(0)
-    for _, n in counts:
-        other = other + n
-    ranked = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, (code, n) in enumerate([("latin", letters - other), *counts])])
-    top = F.array_max(ranked)
-    japanese = dict(counts)["ja"] > 0
-    code = F.when((top["code"] == "zh") & japanese, "ja").when((top["code"] == "ru") & t.rlike("[іїєґІЇЄҐ]"), "uk").otherwise(top["code"])
-    tokens = F.transform(F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
+    return let(F.regexp_replace(F.array_join(words, " "), "<[A-Z]+>", " "), _of_text)
+
+
+def _und() -> Column:
+    return F.struct(F.lit("und").alias("code"), F.lit(0.0).alias("confidence"))
+
+
+def _of_text(t: Column) -> Column:
+    own = [F.length(F.regexp_replace(t, rf"[^{cls}]|[^\p{{L}}]", "")) for _, cls in SCRIPTS]
+    return let(F.array(F.length(F.regexp_replace(t, r"[^\p{L}]", "")), *own), lambda n: _of_counts(t, n))
+
+
+def _of_counts(t: Column, n: Column) -> Column:
+    """n: letters, then letters of each script."""
+    letters, codes = F.element_at(n, 1), ["latin", *[c for c, _ in SCRIPTS]]
+    other = F.aggregate(F.slice(n, 2, len(SCRIPTS)), F.lit(0), lambda a, x: a + x)
+    ranked = F.array(*[F.struct((letters - other if i == 0 else F.element_at(n, i + 1)).alias("n"), F.lit(-i).alias("o"), F.lit(c).alias("code")) for i, c in enumerate(codes)])
+    japanese = F.element_at(n, codes.index("ja") + 1) > 0
+
+    def decide(top: Column) -> Column:
+        code = F.when((top["code"] == "zh") & japanese, "ja").when((top["code"] == "ru") & t.rlike("[іїєґІЇЄҐ]"), "uk").otherwise(top["code"])
+        few = (letters == 0) | (letters < F.when(top["code"].isin("zh", "ja", "ko"), 8).otherwise(20))
+        script = F.struct(code.alias("code"), F.round(F.least(F.lit(1.0), top["n"] / letters), 2).alias("confidence"))
+        tokens = F.transform(F.regexp_extract_all(t, F.lit(r"\p{L}+"), F.lit(0)), lambda w: F.lower(w))
+        return F.when(few, _und()).when((top["code"] != "latin") & (top["n"] / letters >= 0.3), script).otherwise(let(tokens, _of_tokens))
+
+    return let(F.array_max(ranked), decide)
+
+
+def _of_tokens(tokens: Column) -> Column:
     vocab = dims.keyed(dims.FUNCTION_WORDS)
     hits = F.array(*[F.struct(_hits(tokens, own).alias("n"), F.lit(-i).alias("o"), F.lit(lang).alias("code")) for i, (lang, own) in enumerate(vocab.items())])
-    order = F.sort_array(F.transform(hits, lambda h: h["n"]), asc=False)
-    first, second, best = F.element_at(order, 1), F.element_at(order, 2), F.array_max(hits)
-    density = F.least(F.lit(1.0), first / (0.15 * F.size(tokens)))
-    guess = F.round(0.5 * (first - second) / first + 0.5 * density, 2)
-    und = F.struct(F.lit("und").alias("code"), F.lit(0.0).alias("confidence"))
-    few = (letters == 0) | (letters < F.when(top["code"].isin("zh", "ja", "ko"), 8).otherwise(20))
-    return (
-        F.when(few, und)
-        .when((top["code"] != "latin") & (top["n"] / letters >= 0.3), F.struct(code.alias("code"), F.round(F.least(F.lit(1.0), top["n"] / letters), 2).alias("confidence")))
-        .when((F.size(tokens) < 6) | (first < 3), und)
-        .otherwise(F.struct(best["code"].alias("code"), guess.alias("confidence")))
-    )
+
+    def decide(h: Column) -> Column:
+        order = F.sort_array(F.transform(h, lambda x: x["n"]), asc=False)
+        first, second, best = F.element_at(order, 1), F.element_at(order, 2), F.array_max(h)
+        density = F.least(F.lit(1.0), first / (0.15 * F.size(tokens)))
+        guess = F.round(0.5 * (first - second) / first + 0.5 * density, 2)
+        return F.when((F.size(tokens) < 6) | (first < 3), _und()).otherwise(F.struct(best["code"].alias("code"), guess.alias("confidence")))
+
+    return let(hits, decide)
 
 
 def _hits(tokens: Column, words: list[str]) -> Column:
@@ -129,7 +153,7 @@ def redact(text: Column, terms: Column | None = None, ascii_only: bool = False)
     t = F.regexp_replace(t, r"(?<!\p{L})(?<![0-9])[0-9](?:[ .-]?[0-9]){5,}(?![0-9])(?!\p{L})", "<NUMBER>")
     t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_<])@[\p{{L}}\p{{N}}_.]{{2,}}", "<NAME>")
     for lead in (rf"(?:{TITLE})\s+", rf"(?:{GREETING}),?\s+"):
-        t = _mask_after(t, lead)
+        t = let(t, lambda x, lead=lead: _mask_after(x, lead))
     term_list = F.transform(terms, lambda x: F.lower(x)) if terms is not None else None
 
     def word(w: Column) -> Column:
@@ -141,7 +165,8 @@ def redact(text: Column, terms: Column | None = None, ascii_only: bool = False)
             out = out.otherwise(masked)
         else:
             out = out.otherwise(w)
-        return F.when(w.rlike("<(?:NAME|EMAIL|NUMBER|PHONE|URL)") | w.rlike(r"^\s*$"), w).otherwise(out)
+        out = F.when(w.rlike("<(?:NAME|EMAIL|NUMBER|PHONE|URL)") | w.rlike(r"^\s*$"), w).otherwise(out)
+        return out if term_list is not None else F.when(w.rlike("[0-9_]"), out).otherwise(w)  # no user name is without these
 
     t = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\S+|\s+"), F.lit(0)), word), "")
     return F.trim(F.regexp_replace(t, "[ \t]{2,}", " "))

@@ -181,10 +181,12 @@ def lookup_form(url: Column) -> Column:
 
 def shared_service(url: Column) -> Column:
     """The first file or form service whose host and path match, else null."""
-    host = link_host(url)
-    path = browser_path(F.regexp_extract(split_url(url)["tail"], "^[^?#]*", 0))
-    tests = [F.when(any_suffix(host, hosts.split()) & path.startswith(prefix), name) for hosts, prefix, name in dims.SHARE_SERVICES]
-    return F.coalesce(*tests)
+    facts = F.struct(host_suffixes(link_host(url)).alias("hosts"), browser_path(F.regexp_extract(split_url(url)["tail"], "^[^?#]*", 0)).alias("path"))
+
+    def first(f: Column) -> Column:
+        return F.coalesce(*[F.when(F.arrays_overlap(f["hosts"], dims.words(hosts.split())) & f["path"].startswith(prefix), name) for hosts, prefix, name in dims.SHARE_SERVICES])
+
+    return F.element_at(F.transform(F.array(facts), lambda f: first(f)), 1)
 
 
 def payload_url(payload: Column) -> Column:

@@ -81,7 +81,7 @@ def calendar_facts(content: Column) -> dict[str, Column]:
     """Organizer, read text, links and flags of a calendar invite."""
     t = F.regexp_replace(text.without_invisible(F.decode(content, "UTF-8")), r"\r?\n[ \t]", "")
     lines = F.filter(F.split(t, r"\r?\n|\r"), lambda x: x.contains(":"))
-    plain = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\;"), F.lit(";"))
+    plain = lambda v: F.replace(F.replace(F.replace(v, F.lit("\\n"), F.lit("\n")), F.lit("\\,"), F.lit(",")), F.lit("\\;"), F.lit(";"))
     pairs = F.transform(lines, lambda x: F.struct(F.upper(F.regexp_extract(x, "^([^:;]*)", 1)).alias("k"), plain(F.regexp_replace(x, "^[^:]*:", "")).alias("v")))
     keep = ["SUMMARY", "DESCRIPTION", "LOCATION", "URL", "ATTACH", "X-ALT-DESC"]
     strip = lambda p: F.when(p["k"] == "X-ALT-DESC", F.regexp_replace(F.regexp_replace(p["v"], "<[^>]*>", " "), "<[^>]*$", "")).otherwise(p["v"])
