@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from threshline.llm import lines
 
@@ -68,3 +69,35 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(docs).collect())
     assert got[:2] == [(1, text)] * 2 and len(got[2][1]) < len(text)
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_runs(rows):
+    """Lines of every run, two lines or longer and without two blank neighbours, that began at an earlier place as well."""
+    first, out = {}, []
+    for row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ls = row[2].split("\n")
+        gone = set()
+        for a in range(len(ls)):
+            for b in range(a + 2, len(ls) + 1):
+                if not (ls[b - 2].strip() or ls[b - 1].strip()):
+                    break
+                if first.setdefault(tuple(ls[a:b]), (row[:2], a)) != (row[:2], a):
+                    gone |= set(range(a, b))
+        out.append((row[0], "\n".join(x for i, x in enumerate(ls) if i not in gone)))
+    return sorted(out, key=str)
+
+
+def test_whole_repeated_runs_go(spark):
+    rng = random.Random(3)
+    passages = ["\n".join(f"passage {p} line {i}" for i in range(n)) for p, n in enumerate([2, 3, 5, 9])]
+    texts = [f"before {k}\n{passages[k % 4]}\nbetween {k}\n{passages[rng.randrange(4)]}\nafter {k}" for k in range(12)]
+    texts += ["a\n\n\nb\n\nc", "x\n\n\ny\n\nc", "same\nsame\nsame\nsame", passages[3], passages[3], "passage 3 line 2", "lone\npassage 3 line 2\nlone too", ""]
+    texts += ["\n".join(rng.choice(["p", "q", "r", ""]) for _ in range(12)) for _ in range(12)]
+    docs = spark.createDataFrame([(i if i != 5 else None, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    keyed = [tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text)", "text").collect()]
+    got = lines.dedup_runs(docs, facts=True).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == brute_runs(keyed)
+    assert all(r.n_chars == len(r.text) for r in got)
+    out = {r.doc_id: r for r in got}
+    assert out[4].text == "before 4\nbetween 4\nafter 4"
+    assert (out[16].text, out[16].removed_lines, out[16].removed_chunks) == ("", 9, out[16].n_chunks)

@@ -1,15 +1,26 @@
-"""Line dedup by content-defined chunks of lines.
-
-A rolling hash over the hashes of the last ``WINDOW`` lines chooses chunk ends,
-so an insertion shifts boundaries only near itself. A chunk of at least two
-lines whose 128-bit hash occurs more than once in the corpus is a candidate;
-all its occurrences but the first (by id, then text hash, then position) are
+"""Line dedup by repeated runs of lines.
+
+``dedup_runs`` removes every run of two or more lines that occurred before (by
+id, then text hash, then position). Such a run is made of pairs of adjacent
+lines that all occurred before, so every pair is hashed, wherever the run
+begins and ends; a pair of two blank lines counts for nothing. The first
+occurrence of a line is never in such a pair and stays. A line that repeats
+between differing neighbours stays too: it is no run.
+
+``dedup_lines`` removes whole content-defined chunks only: a rolling hash over
+the hashes of the last ``WINDOW`` lines chooses their ends, so an insertion
+shifts boundaries only near itself, but what a passage shares with the chunks
+at its ends stays. All that it removes, blank lines apart, ``dedup_runs``
+removes as well.
+
+A piece (pair, or chunk of at least two lines) whose 128-bit hash occurs more
+than once in the corpus is a candidate; all its occurrences but the first are
 removed after their bytes are compared with the first's.
 
 Only hashes are shuffled for the whole corpus; texts travel compressed, and
-chunk bytes only for repeated chunks. Joins of texts are always merge joins, as
+bytes only for repeated pieces. Joins of texts are always merge joins, as
 the other side grows with the corpus. The hot side of each join holds one row
-per chunk hash, so a chunk that a third of all documents share is a skewed
+per hash, so a piece that a third of all documents share is a skewed
 probe side that adaptive execution splits.
 
 Cases: a null text stays null and has no lines; an empty text has one empty
@@ -22,7 +33,8 @@ names, and ``n_chars`` follows the new text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +49,8 @@ WINDOW = 3
 #: A chunk ends where the rolling hash is a multiple of this, or after MOST lines.
 EVERY = 4
 MOST = 64
+#: (first line, line after the last, bytes or none) of every piece of a text.
+Pieces = Callable[[str], list[tuple[int, int, bytes]]]
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
 
 
@@ -65,16 +79,24 @@ def _cut(hashes: list[int]) -> list[tuple[int, int]]:
 
 
 def _pieces(text: str) -> list[tuple[int, int, bytes]]:
+    """Chunks of at least two lines with their bytes; shorter ones with none."""
     lines = text.split("\n")
-    return [(a, b, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")) for a, b in chunks(text)]
+    return [(a, b, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass") if b - a > 1 else b"") for a, b in chunks(text)]
+
+
+def _pairs(text: str) -> list[tuple[int, int, bytes]]:
+    """Every two adjacent lines with their bytes; two blank lines with none."""
+    lines = [x.encode("utf-8", "surrogatepass") for x in text.split("\n")]
+    blank = [not x.strip() for x in lines]
+    return [(i, i + 2, b"" if blank[i] and blank[i + 1] else lines[i] + b"\n" + lines[i + 1]) for i in range(len(lines) - 1)]
 
 
 def _key(id_col: str, text_col: str) -> list:
     return [F.col(id_col).alias("k1"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k2")]
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k1, k2, at, h1, h2) of each multi-line chunk; at is its number in the document."""
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces = _pieces) -> DataFrame:
+    """(k1, k2, at, h1, h2) of each multi-line piece; at is its number in the document."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +104,8 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             rows = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 if text and "\n" in text:
-                    for at, (x, y, data) in enumerate(_pieces(text)):
-                        if y - x > 1:
+                    for at, (_, _, data) in enumerate(pieces(text)):
+                        if data:
                             d = hashlib.blake2b(data, digest_size=16).digest()
                             rows.append((k1, k2, at, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -93,16 +115,21 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return d.select(*_key("id", "text"), "text").mapInArrow(run, "k1 long, k2 long, at int, h1 long, h2 long")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False) -> DataFrame:
-    """``docs`` without globally repeated multi-line chunks; with ``facts``, also n_lines, n_chunks, removed_chunks and removed_lines."""
-    found = materialize(occurrences(docs, id_col, text_col), "chunks")
+def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False) -> DataFrame:
+    """``docs`` without the runs of two or more lines that occurred before; facts as in ``dedup_lines``."""
+    return dedup_lines(docs, id_col, text_col, facts, _pairs)
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False, pieces: Pieces = _pieces) -> DataFrame:
+    """``docs`` without globally repeated multi-line chunks; with ``facts``, also n_lines, n_chunks, removed_chunks (whole ones) and removed_lines."""
+    found = materialize(occurrences(docs, id_col, text_col, pieces), "chunks")
     place = F.struct("k1", "k2", "at")
     repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     repeated = materialize(repeated, "repeated")
     firsts = repeated.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.at").alias("ats"))
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text LIKE '%\n%'").select(*_key("id", "text"), "text").mapInArrow(_packed, "k1 long, k2 long, packed binary")
     held = packed.alias("d").join(firsts.hint("merge").alias("f"), F.col("d.k1").eqNullSafe(F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))).select("packed", "ats")
-    bytes_of = held.mapInArrow(_bytes, "h1 long, h2 long, chunk binary").dropDuplicates(["h1", "h2"])
+    bytes_of = held.mapInArrow(partial(_bytes, pieces), "h1 long, h2 long, chunk binary").dropDuplicates(["h1", "h2"])
     # one row a chunk hash, written before the join: between two plain shuffles, a chunk that very many documents share is split
     first = materialize(repeated.join(bytes_of, ["h1", "h2"]), "chunk-bytes")
     later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
@@ -131,10 +158,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             new, facts, changed = [], [], []
             for data, m in zip(b.column(text_at), b.column(len(names)), strict=True):
                 text = None if not data.is_valid else unpack(data.as_py())
-                kept, fact = _removed(text, m.as_py())
+                kept, fact = _removed(text, m.as_py(), pieces)
                 new.append(kept)
                 facts.append(fact)
-                changed.append(fact[2] > 0)
+                changed.append(fact[3] > 0)
             cols = [b.column(i) for i in range(len(names))]
             cols[text_at] = pa.array(new, pa.string())
             if chars_at is not None:
@@ -146,18 +173,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.select(*renamed, *(more if facts else []))
 
 
-def _removed(text: str | None, marks: list[dict] | None) -> tuple[str | None, tuple[int, int, int, int]]:
+def _removed(text: str | None, marks: list[dict] | None, pieces: Pieces) -> tuple[str | None, tuple[int, int, int, int]]:
     if text is None:
         return None, (0, 0, 0, 0)
     if not marks:
         return text, (text.count("\n") + 1, len(chunks(text)), 0, 0)
-    lines, parts = text.split("\n"), _pieces(text)
-    # rows that repeat id and text mark a place more than once
-    drop = {parts[m["at"]][:2] for m in marks if parts[m["at"]][2] == m["chunk"]}
+    lines, parts, cut = text.split("\n"), pieces(text), chunks(text)
     gone = np.zeros(len(lines), bool)
-    for a, b in drop:
-        gone[a:b] = True
-    return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), (len(lines), len(parts), len(drop), int(gone.sum()))
+    for m in marks:  # rows that repeat id and text mark a place more than once
+        a, b, data = parts[m["at"]]
+        if data == m["chunk"]:
+            gone[a:b] = True
+    return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), (len(lines), len(cut), sum(bool(gone[a:b].all()) for a, b in cut), int(gone.sum()))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +192,11 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], names=["k1", "k2", "packed"])
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         rows = []
         for data, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            parts = _pieces(unpack(data))
+            parts = pieces(unpack(data))
             for at in ats:
                 d = hashlib.blake2b(parts[at][2], digest_size=16).digest()
                 rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), parts[at][2]))
@@ -178,5 +205,5 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), facts=True)
+    kept = dedup_runs(spark.read.parquet(f"{sf_dir}/documents.parquet"), facts=True)
     return kept.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
