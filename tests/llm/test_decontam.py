@@ -43,3 +43,26 @@ def test_the_filter_keeps_clean_documents_and_columns(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.decontaminate(d, empty).count() == 4
     assert decontam.decontaminate(d.limit(0), b).count() == 0
+
+
+STORY = "Natalia sold clips to 48 of her friends in the spring. Natalia then sold half as many clips in the month of May. How many clips did Natalia sell in both months together?"
+PAGES = "James writes 3 pages to each of 2 different friends. James does it twice a week. How many pages does he write in a year?"
+MARBLES = "Tom has 5 red marbles. Anna has 3 more marbles than he has. Peter has twice as many as they have together. How many marbles do all of them have?"
+POINTS = "The points A and B lie on a line with a distance of 12 km. Find how far A is from the middle of the line."
+
+
+def test_names_that_begin_sentences(spark):
+    docs = [(1, "Some words first.\n" + STORY.replace("Natalia", "Kofi").replace("48", "31"), 0), (2, PAGES.replace("James", "Mary Ann").replace("3", "9"), 0), (3, "Question: " + MARBLES.replace("Tom", "Li").replace("Anna", "Eva").replace("Peter", "Omar"), 0), (4, POINTS.replace("A ", "P ").replace("B ", "Q "), 0), (5, "Yesterday " + STORY, 0)]
+    docs += [(6, STORY.replace("Natalia then", "Peter then").replace("Natalia", "Kofi"), 0), (7, "Anna walks home. Peter has twice as much work. How many people are in all of them?", 0)]
+    items = [(1, STORY), (2, PAGES), (3, MARBLES), (4, POINTS)]
+    assert hits(spark, docs, items) == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, False), (5, 1, True)]
+
+
+def test_short_items_after_a_colon(spark):
+    docs = [(1, "Answer: The red fox", 0), (2, "The answer is: Where did they go then", 0), (3, "Answer: The red dog", 0)]
+    assert hits(spark, docs, [(1, "The red fox"), (2, "Where did they go")]) == [(1, 1, True), (2, 2, True)]
+
+
+def test_a_changed_first_word_costs_its_windows_only(spark):
+    item = "This long train goes to the coast each day with many people who like to see the water and the hills. This slow train stops at each small place on its way."
+    assert hits(spark, [(1, item.replace("This long", "That long"), 0)], [(1, item)]) == [(1, 1, True)]
