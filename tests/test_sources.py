@@ -166,3 +166,12 @@ def test_reports_are_stored_redacted_until_full(spark, tmp_path):
     back = spark.read.json(path)
     assert [(r.month, r.text) for r in back.select("month", "text").collect()] == [("2024-03", "mail me at <EMAIL>")]
     assert insights.without_reports(back, good.select("reference")).count() == 0
+
+
+def test_mail_is_parsed_whole():
+    part = b"--b\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\n" + (b"QUJD" * 18 + b"\r\n") * 30_000
+    late = b"Subject: s\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n" + part + b"--b\r\nContent-Type: text/html\r\n\r\n<p>late words</p><a href='https://late.example/x'>x</a>\r\n--b--\r\n"
+    got = mail.parse(late)
+    assert len(late) > 2 << 20 and got["body"].startswith("late words") and got["visible_urls"] == ["https://late.example/x"]
+    long = mail.parse(b"Content-Type: text/plain\r\n\r\n" + b"word " * 300_000 + b"https://end.example/y")
+    assert long["text_urls"] == ["https://end.example/y"] and len(long["body"]) > 1_400_000

@@ -23,7 +23,8 @@ from threshline.functions.text import mail_id
 from threshline.sources import html
 
 PARSED = "body string, headers array<struct<name:string,value:string>>, visible_urls array<string>, hidden_urls array<string>, text_urls array<string>, from_unproven boolean"
-MOST = 1 << 20
+#: Bytes read as text of a mail that no parser takes.
+MOST = 1_000_000
 _WORD, _WORDS = pa.string(), pa.list_(pa.string())
 
 
@@ -91,9 +92,9 @@ def _text(part: Message) -> str:
 
 
 def parse(raw: bytes) -> dict:
-    """Body, headers as written and link groups of one mail; never fails."""
+    """Body, headers as written and link groups of one mail, read whole; never fails."""
     try:
-        m = email.message_from_bytes(raw[:MOST], policy=policy.compat32)
+        m = email.message_from_bytes(raw, policy=policy.compat32)
         parts = [p for p in m.walk() if not p.is_multipart()]
         pages = [_text(p) for p in parts if p.get_content_type() == "text/html"]
         plain = [_text(p) for p in parts if p.get_content_type() == "text/plain"]
