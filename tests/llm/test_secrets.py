@@ -48,3 +48,11 @@ def test_candidates_and_verdicts(spark, model):
 
 def test_empty(spark, model):
     assert secrets.scan(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_key_words_inside_names(spark):
+    forms = [("DB_PASSWORD=", "correcthorsebattery"), ("client_secret=", "CorrectHorseBattery"), ("AWS_SECRET_ACCESS_KEY=", "wJalrXUtnFEMIK7MDENGbPxRfiCYzzzz"), ("access_token=", HEX), ("/etc/app.d/my_api_key: ", "abc123xyz789"), ("sum ", "QUJDREVGR0hJSktMTU5PUA==")]
+    docs = spark.createDataFrame([(i, f"export {k}{v} end") for i, (k, v) in enumerate(forms)], "doc_id long, text string")
+    got = {r.id: r for r in secrets.candidates(docs).collect()}
+    for i, (key, value) in enumerate(forms):
+        assert (got[i].value, got[i].start, got[i].before) == (value, len("export " + key), "export " + key)

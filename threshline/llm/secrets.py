@@ -1,6 +1,6 @@
 """Secret scan with a random forest that removes false positives.
 
-Candidates are values after a key word and an assignment, and long runs of
+Candidates are values after a name that ends in a key word and an assignment, and long runs of
 token characters that hold a digit. The forest judges each by its length, its
 character transitions, how much of it dictionary words cover, whether it is
 part of a path, and the words beside it. It is trained on labelled findings: a
@@ -29,9 +29,9 @@ FINDINGS = 4000
 
 #: Key words (fixed values).
 KEYS = "password|passwd|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth[_-]?key|credential"
-_CHARS = r"A-Za-z0-9+/_=.~-"
-#: A candidate: a key word, an assignment and a value; or a run of token characters.
-CANDIDATE = rf"""(?i:{KEYS})["']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}["']?[^\s"'<>]{{6,}}+|[{_CHARS}]{{16,}}+"""
+_CHARS = r"A-Za-z0-9+/_.~-"
+#: A candidate: a name that ends in a key word, an assignment and a value; or a run of token characters and its padding.
+CANDIDATE = rf"""[{_CHARS}]*(?i:{KEYS})["']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}["']?[^\s"'<>]{{6,}}+|[{_CHARS}]{{16,}}+=*+"""
 
 #: Words that make a value look like a name or a sentence (fixed values).
 DICTIONARY = "the and with from that this have which their will would about there other these first after under where every great house small again world still night light white black image style class button index script content header footer container wrapper module version release update service client server system config default example sample test user name path file data value list item page home main node module package source build debug info error event click data time date year month price count number order total change table field form input output text font color size width height margin border left right center http https www html json xml com org net".split()
@@ -136,8 +136,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     starts = F.aggregate(lens, zero, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")))["out"]
     d = d.select("id", F.explode(F.arrays_zip(F.col("found"), starts.alias("starts"), F.slice("gaps", 1, F.size("found")).alias("left"), F.slice("gaps", 2, F.size("found")).alias("right"))).alias("c"))
     d = d.select("id", F.col("c.found").alias("raw"), F.col("c.starts").alias("at"), F.right(F.col("c.left"), F.lit(48)).alias("left"), F.left(F.col("c.right"), F.lit(32)).alias("after"))
-    # a candidate that begins with its key word: the value is what follows the assignment
-    key = F.regexp_extract("raw", rf"""^(?i:{KEYS})["']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}["']?(?=[^\s"'<>]{{6,}}$)""", 0)
+    # a candidate that begins with a name: the value is what follows the assignment
+    key = F.regexp_extract("raw", rf"""^[{_CHARS}]*(?i:{KEYS})["']?\s{{0,3}}(?:=|:|:=|=>)\s{{0,3}}["']?(?=[^\s"'<>]{{6,}}$)""", 0)
     value = F.regexp_replace(F.substr(F.col("raw"), F.length(key) + 1), r"[.,;:)\]}]+$", "")
     d = d.select("id", (F.col("at") + F.length(key)).alias("start"), value.alias("value"), F.concat("left", key).alias("before"), "after", (F.length(key) > 0).alias("keyed"))
     return d.where((F.col("keyed") & (F.length("value") >= 6)) | ((F.length("value") >= 16) & F.col("value").rlike("[0-9]"))).drop("keyed")
