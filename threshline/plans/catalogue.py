@@ -618,16 +618,18 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, "SELECT d.doc_id, d.text, l.toxic AS label FROM @documents d JOIN @labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frame(spark, sf_dir, "SELECT doc_id, coalesce(text, '') AS text FROM @documents")
+
+
 @query()
 def text_agent(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return model.text_agent(rows, model.fit_text(rows), 1.5).select("doc_id", F.round("p_text", 4).alias("p_text"))
+    return model.text_agent(_texts(spark, sf_dir), model.fit_text(_labelled(spark, sf_dir)), 1.5).select("doc_id", F.round("p_text", 4).alias("p_text"))
 
 
 @query()
 def explanations(spark, sf_dir):
-    rows = _labelled(spark, sf_dir)
-    return engine.explain(rows, model.fit_text(rows), "doc_id")
+    return engine.explain(_texts(spark, sf_dir), model.fit_text(_labelled(spark, sf_dir)), "doc_id")
 
 
 @query()
