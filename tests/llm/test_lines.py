@@ -101,3 +101,21 @@ def test_whole_repeated_runs_go(spark):
     out = {r.doc_id: r for r in got}
     assert out[4].text == "before 4\nbetween 4\nafter 4"
     assert (out[16].text, out[16].removed_lines, out[16].removed_chunks) == ("", 9, out[16].n_chunks)
+
+
+def test_colliding_hashes_are_told_apart_by_their_bytes(spark, monkeypatch):
+    """Under a hash of too few bits different pieces meet; the comparison finds it and another key is tried."""
+    tried = []
+    whole = lines._marked
+    monkeypatch.setattr(lines, "_digest", lambda data, salt: hashlib.blake2b(data, digest_size=16).digest() if salt else bytes(15) + bytes([len(data) % 2]))
+    monkeypatch.setattr(lines, "_marked", lambda *a: tried.append(a[-1]) or whole(*a))
+    docs = spark.createDataFrame([(1, "a\nb\nc"), (2, "x\na\nb"), (3, "d\ne")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in lines.dedup_runs(docs).collect()) == [(1, "a\nb\nc"), (2, "x"), (3, "d\ne")]
+    assert tried == [0, 1]
+
+
+def test_very_long_texts(spark):
+    long = "\n".join(f"line {i % 40_000}" for i in range(120_000))
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "line 7\nline 8")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_runs(docs).collect()}
+    assert got == {1: "\n".join(f"line {i}" for i in range(40_000)), 2: None, 3: ""}

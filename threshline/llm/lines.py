@@ -15,13 +15,16 @@ removes as well.
 
 A piece (pair, or chunk of at least two lines) whose 128-bit hash occurs more
 than once in the corpus is a candidate; all its occurrences but the first are
-removed after their bytes are compared with the first's.
+removed. Before anything is removed, the bytes of all occurrences are compared:
+within a task against a bounded table of pieces it has met, and what that does
+not settle in a shuffle by hash, one row a task and piece at most. Should two
+different pieces share a hash, all is hashed anew under another key.
 
-Only hashes are shuffled for the whole corpus; texts travel compressed, and
-bytes only for repeated pieces. Joins of texts are always merge joins, as
-the other side grows with the corpus. The hot side of each join holds one row
-per hash, so a piece that a third of all documents share is a skewed
-probe side that adaptive execution splits.
+Only hashes and piece numbers are shuffled for the whole corpus; texts travel
+once, compressed, and bytes only for repeated pieces. The join of texts is
+a merge join, as the other side grows with the corpus. The hot side of each
+join holds one row per hash, so a piece that a third of all documents share is
+a skewed probe side that adaptive execution splits.
 
 Cases: a null text stays null and has no lines; an empty text has one empty
 line and stays; rows that repeat id and text are one document and are treated
@@ -33,8 +36,8 @@ names, and ``n_chars`` follows the new text.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +46,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threshline.llm.common import materialize, pack, slices, unpack
+from threshline.llm.common import materialize, pack, release, slices, unpack
 
 WINDOW = 3
 #: A chunk ends where the rolling hash is a multiple of this, or after MOST lines.
 EVERY = 4
 MOST = 64
+#: Bytes of pieces that a task keeps to compare further ones with.
+MET = 16 << 20
 #: (first line, line after the last, bytes or none) of every piece of a text.
 Pieces = Callable[[str], list[tuple[int, int, bytes]]]
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
@@ -95,7 +100,11 @@ def _key(id_col: str, text_col: str) -> list:
     return [F.col(id_col).alias("k1"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("k2")]
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces = _pieces) -> DataFrame:
+def _digest(data: bytes, salt: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, salt=salt.to_bytes(16, "big")).digest()
+
+
+def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces = _pieces, salt: int = 0) -> DataFrame:
     """(k1, k2, at, h1, h2) of each multi-line piece; at is its number in the document."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
@@ -103,15 +112,13 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in slices(batches):
             rows = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if text and "\n" in text:
-                    for at, (_, _, data) in enumerate(pieces(text)):
-                        if data:
-                            d = hashlib.blake2b(data, digest_size=16).digest()
-                            rows.append((k1, k2, at, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)))
+                for at, (_, _, data) in enumerate(pieces(text)):
+                    if data:
+                        rows.append((k1, k2, at, *struct.unpack(">qq", _digest(data, salt))))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.contains("text", F.lit("\n")))
     return d.select(*_key("id", "text"), "text").mapInArrow(run, "k1 long, k2 long, at int, h1 long, h2 long")
 
 
@@ -122,86 +129,106 @@ def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False, pieces: Pieces = _pieces) -> DataFrame:
     """``docs`` without globally repeated multi-line chunks; with ``facts``, also n_lines, n_chunks, removed_chunks (whole ones) and removed_lines."""
-    found = materialize(occurrences(docs, id_col, text_col, pieces), "chunks")
-    place = F.struct("k1", "k2", "at")
-    repeated = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
-    repeated = materialize(repeated, "repeated")
-    firsts = repeated.groupBy(F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2")).agg(F.collect_list("first.at").alias("ats"))
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text LIKE '%\n%'").select(*_key("id", "text"), "text").mapInArrow(_packed, "k1 long, k2 long, packed binary")
-    held = packed.alias("d").join(firsts.hint("merge").alias("f"), F.col("d.k1").eqNullSafe(F.col("f.k1")) & (F.col("d.k2") == F.col("f.k2"))).select("packed", "ats")
-    bytes_of = held.mapInArrow(partial(_bytes, pieces), "h1 long, h2 long, chunk binary").dropDuplicates(["h1", "h2"])
-    # one row a chunk hash, written before the join: between two plain shuffles, a chunk that very many documents share is split
-    first = materialize(repeated.join(bytes_of, ["h1", "h2"]), "chunk-bytes")
-    later = found.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    marks = later.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "chunk")).alias("marks"))
+    salt = 0
+    while True:
+        marked = _marked(docs, id_col, text_col, pieces, salt)
+        if not _collide(marked, pieces, salt):
+            break
+        release(marked)
+        salt += 1
     names = [f"c{i}" for i in range(len(docs.columns))]
-    id_at, text_at = (docs.columns.index(c) for c in (id_col, text_col))
+    text_at = docs.columns.index(text_col)
     chars_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    types = [f.dataType for f in docs.schema]
-    plain = T.StructType([T.StructField(n, t) for n, t in zip(names, types, strict=True)])
-    small = T.StructType([T.StructField(n, T.BinaryType() if i == text_at else t) for i, (n, t) in enumerate(zip(names, types, strict=True))] + [T.StructField("k2", T.LongType())])
-
-    def pack_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            cols = list(b.columns)
-            cols[text_at] = pa.array([t if t is None else pack(t) for t in cols[text_at].to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, "k2"])
-
-    d = docs.toDF(*names)
-    d = d.withColumn("k2", F.xxhash64(F.col(f"c{id_at}").cast("long"), F.col(f"c{text_at}"))).mapInArrow(pack_column, small)
-    d = d.alias("d").join(marks.hint("merge").alias("m"), F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("m.k1")) & (F.col("d.k2") == F.col("m.k2")), "left").select(*names, "marks")
-    more = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    out = T.StructType([*plain, *[T.StructField(m, T.LongType()) for m in more]])
+    more = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"] if facts else []
+    out = T.StructType([*[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)], *[T.StructField(m, T.LongType()) for m in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            new, facts, changed = [], [], []
-            for data, m in zip(b.column(text_at), b.column(len(names)), strict=True):
-                text = None if not data.is_valid else unpack(data.as_py())
-                kept, fact = _removed(text, m.as_py(), pieces)
+            new, told, changed = [], [], []
+            for data, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = None if data is None else unpack(data)
+                kept = _without(text, gone, pieces) if gone else text
                 new.append(kept)
-                facts.append(fact)
-                changed.append(fact[3] > 0)
-            cols = [b.column(i) for i in range(len(names))]
+                changed.append(bool(gone))
+                if facts:
+                    told.append(_facts(text, gone or [], pieces))
+            cols = b.columns[3:]
             cols[text_at] = pa.array(new, pa.string())
             if chars_at is not None:
                 cols[chars_at] = pa.array([len(t) if x else c for c, t, x in zip(cols[chars_at].to_pylist(), new, changed, strict=True)], cols[chars_at].type)
-            yield pa.RecordBatch.from_arrays(cols + [pa.array([f[i] for f in facts], pa.int64()) for i in range(4)], names=names + more)
+            yield pa.RecordBatch.from_arrays(cols + [pa.array([f[i] for f in told], pa.int64()) for i in range(len(more))], names=names + more)
 
-    done = d.mapInArrow(run, out)
-    renamed = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
-    return done.select(*renamed, *(more if facts else []))
+    done = marked.mapInArrow(run, out)
+    return done.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], *more)
 
 
-def _removed(text: str | None, marks: list[dict] | None, pieces: Pieces) -> tuple[str | None, tuple[int, int, int, int]]:
+def _marked(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces, salt: int) -> DataFrame:
+    """A written table of (packed text, gone, seen, c0, c1, ...): the numbers of a row's pieces that go, and of all that repeat; the text's own column is null."""
+    found = materialize(occurrences(docs, id_col, text_col, pieces, salt), "pieces")
+    place = F.struct("k1", "k2", "at")
+    # one row a hash, written before the join: between two plain shuffles, a piece that very many documents share is split
+    repeated = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"), "repeated")
+    hits = found.join(repeated, ["h1", "h2"]).select("k1", "k2", "at", F.when(~place.eqNullSafe(F.col("first")), F.col("at")).alias("later"))
+    marks = hits.groupBy("k1", "k2").agg(F.collect_set("later").alias("gone"), F.collect_set("at").alias("seen"))  # rows that repeat id and text have one list
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, text_at = (docs.columns.index(c) for c in (id_col, text_col))
+    small = T.StructType([T.StructField("packed", T.BinaryType()), *[T.StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)], T.StructField("d2", T.LongType())])
+
+    def pack_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            cols = list(b.columns)
+            packed = pa.array([t if t is None else pack(t) for t in cols[text_at].to_pylist()], pa.binary())
+            cols[text_at] = pa.nulls(b.num_rows, cols[text_at].type)
+            yield pa.RecordBatch.from_arrays([packed, *cols], names=["packed", *names, "d2"])
+
+    d = docs.toDF(*names)
+    d = d.withColumn("d2", F.xxhash64(F.col(f"c{id_at}").cast("long"), F.col(f"c{text_at}"))).mapInArrow(pack_column, small)
+    d = d.join(marks.hint("merge"), F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("k1")) & (F.col("d2") == F.col("k2")), "left")
+    marked = materialize(d.select("packed", "gone", "seen", *names), "marked")
+    release(found)
+    release(repeated)
+    return marked
+
+
+def _collide(marked: DataFrame, pieces: Pieces, salt: int) -> bool:
+    """Whether two pieces of one hash differ in their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[bytes, bytes] = {}
+        size = 0
+        for b in slices(batches):
+            rows = []
+            for data, seen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts = pieces(unpack(data))
+                for at in seen:
+                    data = parts[at][2]
+                    d = _digest(data, salt)
+                    if met.get(d) != data:
+                        rows.append((*struct.unpack(">qq", d), data))
+                        if d not in met and size < MET:
+                            met[d] = data
+                            size += len(data) + 160
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h1", "h2", "piece"])
+
+    bytes_of = marked.where(F.size("seen") > 0).select("packed", "seen").mapInArrow(run, "h1 long, h2 long, piece binary")
+    both = bytes_of.groupBy("h1", "h2").agg(F.min("piece").alias("a"), F.max("piece").alias("b"))
+    return not both.where("a != b").isEmpty()
+
+
+def _without(text: str, gone: list[int], pieces: Pieces) -> str:
+    """The text without the lines of its pieces of these numbers."""
+    lines, parts = text.split("\n"), pieces(text)
+    dead = {i for at in gone for i in range(*parts[at][:2])}
+    return "\n".join(x for i, x in enumerate(lines) if i not in dead)
+
+
+def _facts(text: str | None, gone: list[int], pieces: Pieces) -> tuple[int, int, int, int]:
     if text is None:
-        return None, (0, 0, 0, 0)
-    if not marks:
-        return text, (text.count("\n") + 1, len(chunks(text)), 0, 0)
-    lines, parts, cut = text.split("\n"), pieces(text), chunks(text)
-    gone = np.zeros(len(lines), bool)
-    for m in marks:  # rows that repeat id and text mark a place more than once
-        a, b, data = parts[m["at"]]
-        if data == m["chunk"]:
-            gone[a:b] = True
-    return "\n".join(x for x, g in zip(lines, gone, strict=True) if not g), (len(lines), len(cut), sum(bool(gone[a:b].all()) for a, b in cut), int(gone.sum()))
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(t) for t in b.column(2).to_pylist()], pa.binary())], names=["k1", "k2", "packed"])
-
-
-def _bytes(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        rows = []
-        for data, ats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            parts = pieces(unpack(data))
-            for at in ats:
-                d = hashlib.blake2b(parts[at][2], digest_size=16).digest()
-                rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), parts[at][2]))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h1", "h2", "chunk"])
+        return 0, 0, 0, 0
+    parts, cut = pieces(text) if gone else [], chunks(text)
+    dead = {i for at in gone for i in range(*parts[at][:2])}
+    return text.count("\n") + 1, len(cut), sum(dead.issuperset(range(a, b)) for a, b in cut) if dead else 0, len(dead)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
