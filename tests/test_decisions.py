@@ -106,6 +106,19 @@ def test_analyse_end_to_end(spark):
     assert got[3].verdict == "safe" and got[3].trust_path == "default"
 
 
+def test_analyse_reads_lookalikes_and_parents(spark):
+    """Look-alike letters and accents show a brand; a trusted domain's subdomain is trusted; the model's score comes in."""
+    ok = "mx; dkim=pass header.d=mail.paypal.com; spf=pass smtp.mailfrom=mail.paypal.com; dmarc=pass header.from=mail.paypal.com"
+    mail = [(1, '"РayPal" <x@evil.tk>', None), (2, "Paypál <x@evil.tk>", None), (3, "Service <a@mail.paypal.com>", ok), (4, None, None), (5, "Bank of America <x@evil.tk>", None)]
+    m = spark.createDataFrame([(i, "verify your account now", f, "", a, "s") for i, f, a in mail], "mail_id int, body string, from_header string, reply_to string, auth_header string, subject string").withColumns({"inbox_soft": F.lit(False), "outlook_internal": F.lit(False)})
+    l = spark.createDataFrame([], "mail_id int, grp int, pos int, url string")
+    fitted = model.fit_text(spark.createDataFrame([(i, "verify account now" if i % 2 else "lunch on friday", i % 2) for i in range(40)], "id int, text string, label int"))
+    got = {r.mail_id: r for r in engine.analyse(m, l, text_model=fitted).collect()}
+    assert [got[i].brand for i in (1, 2, 3, 4)] == ["paypal", "paypal", None, None]
+    assert got[3].trust_path == "trusted_sender" and got[1].trust_path == "default"
+    assert all(got[i].p_text > 0.5 and got[i].p_url == 0.05 for i in got)
+
+
 def test_text_model_and_explanations(spark):
     rows = [(i, "verify account now urgent refund" if i % 2 else "meeting notes lunch friday team", i % 2) for i in range(80)]
     d = spark.createDataFrame(rows, "id int, text string, label int")

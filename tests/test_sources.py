@@ -36,8 +36,34 @@ HIDDEN = {
 }
 
 
+#: Styles that other readers of the same mail agree on: hidden or not on a white page.
+SHARED = {
+    "color:#333": False, "display:none": True, "visibility:hidden": True, "opacity:0": True, "opacity:0.9": False, "font-size:0": True, "font-size:1px": True, "font-size:0.01em": True, "font-size:1em": False, "color:transparent": True, "color:rgba(0,0,0,0)": True, "color:#ffffff;background-color:#ffffff": True,
+    "color:#ffffff;background-color:#0b57d0": False, "overflow:hidden;max-height:0": True, "overflow-y:hidden;max-height:0": True, "overflow:hidden;height:20px": False, "position:absolute;left:-9999px": True, "position:relative;left:-20px": False, "text-indent:-9999px": True, "transform:scale(0)": True, "transform:scaleY(0)": True,
+    "transform:scaleX(0)": True, "transform:scale(1.2)": False, "position:absolute;clip:rect(0px, 0px, 0px, 0px)": True, "clip-path:inset(100%)": True, "clip-path:inset(10%)": False, "color:#fefefe": True, "color:#d0d0d0": False, "background-color:rgba(0,0,0,0.06);color:#000000": False, "background-color:rgba(0,0,0,0.06);color:#ffffff": True,
+    "color:hsl(0, 0%, 100%)": True, "color:rgb(100%, 100%, 100%)": True, "background-color:#0b57d0;color:#ffffff": False, "color:#999999": False, "background: no-repeat center #0b57d0; color: #ffffff": False, "background: rgb(11, 87, 208) no-repeat; color: #ffffff": False, "display:/*x*/none": True, "background: linear-gradient(#0b57d0, #003399); color: #ffffff": False,
+    "display: none !important; display: block": True, "color:whitesmoke": True, "color:rebeccapurple": False,
+}
+
+
 def test_hidden_styles():
     assert {s: html.hidden_style(s) for s in HIDDEN} == HIDDEN
+    assert {s: html.hidden_style(s) for s in SHARED} == SHARED
+    assert html.hidden_style("color:#ffffff", (255, 255, 255)) and not html.hidden_style("color:#ffffff", (20, 20, 20))
+
+
+def test_hidden_text_of_pages():
+    """Backgrounds, ink and sizes are handed down; rules for print do not count."""
+    cases = {
+        "<div style='background:#141414'><p style='color:#fff'>light</p></div>": "light",
+        "<body style='color:#fff'><p>white <b style='color:#000'>black</b></p></body>": "black\nwhite",
+        "<table bgcolor=0b57d0><tr><td style='color:white'>cell</td></tr></table>": "cell",
+        "<p style='font-size:1px'>tiny <span style='font-size:100%'>still</span><span style='font-size:14px'> big</span></p>": "big\ntiny still",
+        "<div style='visibility:hidden'>gone <i style='visibility:visible'>back</i></div>": "back\ngone",
+        "<style>@media print{.a{display:none}} @media screen{.b{display:none}} .c{color:#fff}</style><p class=a>a</p><p class=b>b</p><p class=c>c</p>": "a\nb\nc",
+        "<p hidden>h</p><font color=white>f</font>x": "x\nh\nf",
+    }
+    assert {p: html.to_text(p) for p in cases} == cases
 
 
 def test_pages(spark):

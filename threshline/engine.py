@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threshline.functions import dims, headers, text
+from threshline.functions import dims, headers, text, urls
 from threshline.operators import fusion, links, model, reputation
 from threshline.sources import files
 
@@ -26,31 +26,41 @@ def within_size(requests: DataFrame, column: str, most: int) -> tuple[DataFrame,
     return requests.where(ok), requests.where(~ok).withColumn("reason", F.when(F.col(column).isNull(), "unsized").otherwise("too large"))
 
 
-def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None = None, trusted: DataFrame | None = None, scores: DataFrame | None = None, blocklist: DataFrame | None = None) -> DataFrame:
+def text_scores(mail: DataFrame, fitted: PipelineModel, temperature: float = 1.0, key: str = "mail_id") -> DataFrame:
+    """(key, p_text) of the text model over subject and body, normalised as in training."""
+    d = mail.select(key, text.raw_text(F.col("body"), F.col("subject")).alias("raw"), "subject")
+    d = d.select(key, text.normalize_text(text.model_text(F.col("subject"), F.col("raw"))).alias("text"))
+    return model.text_agent(d, fitted, temperature).select(key, "p_text")
+
+
+def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None = None, trusted: DataFrame | None = None, scores: DataFrame | None = None, blocklist: DataFrame | None = None, text_model: PipelineModel | None = None) -> DataFrame:
     """A verdict row for each mail.
 
     ``mail`` has mail_id, body, from_header, reply_to, auth_header, subject, inbox_soft, outlook_internal;
     ``link_rows`` mail_id, grp, pos, url; ``verdicts`` url, malicious, score, sources, threat_types;
-    ``scores`` mail_id, p_text (0 where missing).
+    ``scores`` mail_id, p_text (0 where missing), or ``text_model`` a model of ``operators.model.fit_text`` that scores the mail here.
     """
     key = "mail_id"
     spark = mail.sparkSession
     ranked = links.rank_links(link_rows)
     auth = headers.auth_delta(headers.auth_verdict(mail), blocklist)
-    brand = headers.impersonations(mail, dims.brands(spark), native=True)
+    brand = headers.impersonations(mail, dims.brands(spark))
     fwd = headers.forward_parts(F.col("body"), F.col("subject"))
-    profile = links.link_profile(ranked, auth.select(key, "from_domain"))
-    signs = ranked.join(links.url_facts(ranked).select("url", "strong"), "url").groupBy(key).agg(F.bool_or("strong").alias("strong_link"))
     none = F.array().cast("array<string>")
-    d = mail.join(auth.drop("aligned"), key).join(brand, key, "left").join(links.url_agent(ranked, mail), key).join(signs, key, "left").join(profile, key, "left")
+    d = mail.join(auth.drop("aligned"), key).join(brand, key, "left").join(links.judged_links(ranked), key, "left")
+    own = F.coalesce("links", F.array().cast("array<struct<rank:int,url:string,host:string,org:string,cloud:boolean,well_known:boolean,rule_score:double,strong:boolean>>"))
+    d = d.withColumn("links", own).withColumn("own", urls.org_domain(F.coalesce("from_domain", F.lit(""))))
+    d = d.withColumns(links.link_signs(F.col("links"), F.coalesce("body", F.lit("")), F.col("own"))).drop("links", "own")
     if verdicts is not None:
         rep = fusion.summarize_reputation(ranked.join(verdicts, "url"), key)
         d = d.join(rep, key, "left")
     else:
         d = d.withColumns({"rep_max": F.lit(0.0), "rep_sources": none})
+    if scores is None and text_model is not None:
+        scores = text_scores(mail, text_model)
     d = d.join(scores.select(key, "p_text"), key, "left") if scores is not None else d.withColumn("p_text", F.lit(0.0))
-    allow = (trusted.select("domain") if trusted is not None else dims.table(spark, "domain", dims.TRUSTED_SEED)).withColumn("allowed", F.lit(True))
-    d = d.withColumn("org", F.explode_outer(F.array_distinct(F.array(F.col("from_domain"))))).join(allow.withColumnRenamed("domain", "org"), "org", "left")
+    allow = trusted.select("domain") if trusted is not None else dims.table(spark, "domain", dims.TRUSTED_SEED)
+    d = d.join(links.listed_hosts(auth, allow, "from_domain").withColumn("allowed", F.lit(True)), "from_domain", "left")
     fake = F.col("brand").isNotNull()
     plain = ~fwd["detected"] & ~fake
     meta = headers.metadata_score(F.col("from_header"), F.col("reply_to"), F.col("auth_header"), fake) + F.col("score_delta")
@@ -59,8 +69,8 @@ def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None =
     trusted_sender = F.col("crypto_verified") & plain & F.coalesce("allowed", F.lit(False))
     d = d.withColumns({
         "trusted_sender": trusted_sender, "crypto_verified": F.col("crypto_verified") & plain, "inbox_soft": F.coalesce("inbox_soft", F.lit(False)) & plain, "outlook_internal": F.coalesce("outlook_internal", F.lit(False)),
-        "text_used": F.size(F.filter(F.split(F.trim("body"), r"\s+"), lambda w: w != "")) >= 3, "p_text": F.coalesce("p_text", F.lit(0.0)), "strong_link": F.coalesce("strong_link", F.lit(False)),
-        "links_elsewhere": F.coalesce(links.links_elsewhere(F.col("cloud"), F.col("aligned"), F.col("other")), F.lit(False)), "rep_max": F.coalesce("rep_max", F.lit(0.0)), "rep_sources": F.coalesce("rep_sources", none),
+        "text_used": F.size(F.filter(F.split(F.trim("body"), r"\s+"), lambda w: w != "")) >= 3, "p_text": F.coalesce("p_text", F.lit(0.0)),
+        "links_elsewhere": links.links_elsewhere(F.col("cloud"), F.col("aligned"), F.col("other")), "rep_max": F.coalesce("rep_max", F.lit(0.0)), "rep_sources": F.coalesce("rep_sources", none),
         "p_meta": F.when(trusted_sender, F.least(meta, F.lit(fusion.TRUSTED_META))).otherwise(meta),
     })
     out = fusion.decide_email(d, repute=True)

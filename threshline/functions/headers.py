@@ -133,22 +133,38 @@ def brand_owns(owners: Column, domain: Column) -> Column:
     return (org != "") & (F.array_contains(owners, org) | (F.array_contains(owners, label) & ~rest.isin(dims.SHARED_SUFFIXES) & usual))
 
 
+def ordinary(header: Column) -> Column:
+    """A header that patterns read as well as an address parser: ASCII, one address at most, no comment, no encoded word."""
+    return header.rlike(r"^[\x00-\x7F]*$") & ~header.rlike(r"@[\s\S]*@|[(\\]|=\?")
+
+
 def impersonations(mail: DataFrame, brands: DataFrame, id_col: str = "mail_id", from_col: str = "from_header", native: bool = False) -> DataFrame:
     """(id, brand): the first brand a From shows whose addresses are not the brand's, null where none.
 
-    With ``native``, ordinary ASCII headers are read without Python.
+    Ordinary headers are read by patterns, the others by the address parser;
+    with ``native`` all are read by patterns, without Python, and look-alike
+    letters are not folded. Brands are found by an equi-join on the names'
+    word sequences, so the brand table may have any size.
     """
-    h = F.col(from_col)
-    if native:
-        words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(h, r"<[^<>]*>", " "), r"[^A-Za-z0-9.]+", " ")), F.lit(" "))
-        m = mail.select(F.col(id_col), F.lower(words).alias("w"), words.alias("u"), F.array(simple_sender_domain(h)).alias("ds"))
-    else:
-        m = mail.select(F.col(id_col), display_names(h).alias("n"), sender_domains(h).alias("ds")).select(id_col, plain_words(F.col("n")).alias("w"), plain_words(F.col("n"), False).alias("u"), F.when(F.size("ds") == 0, F.array(F.lit(""))).otherwise(F.col("ds")).alias("ds"))
-    shown = F.when(F.length("brand") <= 3, F.contains("u", F.concat(F.lit(" "), F.upper("brand"), F.lit(" ")))).otherwise(F.contains("w", F.concat(F.lit(" "), F.col("brand"), F.lit(" "))))
-    # the brand table is a fixed list of names: each mail meets each brand once
-    b = F.broadcast(brands.select("ord", "brand", "owners"))
-    hit = m.join(b, shown & ~F.forall("ds", lambda d: brand_owns(F.col("owners"), d)), "left")
-    return hit.groupBy(id_col).agg(F.min_by("brand", "ord").alias("brand"))
+    h = F.coalesce(F.col(from_col), F.lit(""))
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(h, r"<[^<>]*>", " "), r"[^A-Za-z0-9.]+", " ")), F.lit(" "))
+    m = mail.select(F.col(id_col).alias("id"), plain.alias("u"), F.array(simple_sender_domain(h)).alias("ds"), F.when(~ordinary(h), h).alias("odd"))
+    if not native:  # ordinary headers are null to the parser
+        m = m.select("id", F.when(F.col("odd").isNull(), F.col("u")).otherwise(plain_words(display_names("odd"), False)).alias("u"), F.when(F.col("odd").isNull(), F.col("ds")).otherwise(sender_domains("odd")).alias("ds"))
+        m = m.withColumn("ds", F.when(F.size("ds") == 0, F.array(F.lit(""))).otherwise(F.col("ds")))
+    b = brands.select("ord", "brand", "owners", F.size(F.split("brand", " ")).alias("n"))
+    sizes = [r["n"] for r in b.select("n").distinct().collect()]  # lengths of names, a handful
+    words = F.filter(F.split("u", " "), lambda w: w != "")
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("ws") >= n, F.sequence(F.lit(1), F.size("ws") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("ws", i, n), " "))
+
+    grams = F.flatten(F.array(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    shown = m.withColumn("ws", words).where(F.size("ws") > 0).select("id", "ds", F.explode(F.array_distinct(grams)).alias("g")).withColumn("brand", F.lower("g"))
+    hit = shown.join(b, "brand").where(((F.length("brand") > 3) | (F.col("g") == F.upper("brand"))) & ~F.forall("ds", lambda d: brand_owns(F.col("owners"), d)))
+    first = hit.groupBy("id").agg(F.min_by("brand", "ord").alias("brand"))
+    return mail.select(F.col(id_col).alias("id")).distinct().join(first, "id", "left").select(F.col("id").alias(id_col), "brand")
 
 
 def forward_parts(body: Column, subject: Column) -> dict[str, Column]:

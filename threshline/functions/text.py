@@ -122,23 +122,33 @@ def _hits(tokens: Column, words: list[str]) -> Column:
 
 #: Words that end a greeting or title and are no names (fixed values).
 NOT_NAMES = "nous je we i you your we're we've it its this that the a le la les un une vous votre vos pour en merci thank thanks please suite if for today user users customer customers client cliente member membre team équipe there all everyone friend friends madame monsieur madam sir mate esteemed valued student bonjour hello hi obrigado todos tous and et y o e peer meet mr mrs ms dr m mme mlle sr sra herr frau".split()
+#: Words that greet, and titles (fixed values).
 GREETING = "Hi|Hello|Hey|Dear|Bonjour|Bonsoir|Salut|Cher|Chère|Olá|Ola|Oi|Hola|Estimado|Estimada|Hallo|Liebe|Lieber|Ciao|Caro|Cara|Gentile|Beste|Querida|Querido|Prezado|Prezada|Sannu|Barka"
 TITLE = r"M\.|Mr\.?|Mrs\.?|Ms\.?|Mme\.?|Mlle\.?|Dr\.?|Madame|Monsieur|Mister|Miss|Sr\.|Sra\.|Herr|Frau|Signor|Signora|Alhaji|Malam"
 _NAME = r"[A-ZÀ-Ý][\p{L}]*(?:['’-][\p{L}]+)*"
 _W = r"[\p{L}\p{N}_]"
 
 
+def _each(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """The text with each match of a pattern changed."""
+
+    def apply(t: Column) -> Column:
+        gaps, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(change(m)))), "")
+
+    return let(text, lambda t: F.when(t.rlike(pattern), apply(t)).otherwise(t))
+
+
 def _mask_after(text: Column, lead: str) -> Column:
     """Up to three capitalised words after a lead become <NAME>, but for words that are no names."""
-    pattern = rf"(?<!{_W})(?:{lead})(?:{_NAME}(?:\s+{_NAME}){{0,2}})"
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def mask(m: Column) -> Column:
         head = F.regexp_extract(m, rf"^(?:{lead})", 0)
         names = F.split(F.substr(m, F.length(head) + 1), r"\s+")
         return F.concat(head, F.array_join(F.transform(names, lambda w: F.when(F.lower(F.btrim(w, F.lit(".,!"))).isin(NOT_NAMES), w).otherwise("<NAME>")), " "))
 
-    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").otherwise(mask(m)))), "")
+    # every lead begins with a capital: most places are done after one character
+    return _each(text, rf"(?=[A-Z])(?<!{_W})(?:{lead})(?:{_NAME}(?:\s+{_NAME}){{0,2}})", mask)
 
 
 def redact(text: Column, terms: Column | None = None, ascii_only: bool = False) -> Column:
@@ -146,29 +156,28 @@ def redact(text: Column, terms: Column | None = None, ascii_only: bool = False)
     t = F.coalesce(text, F.lit(""))
     t = t if ascii_only else F.when(t.rlike(r"[^\x00-\x7F]"), nfkc(t)).otherwise(t)
     t = F.regexp_replace(t, rf"[{INVISIBLE}]", "")
-    t = F.regexp_replace(t, rf"[\p{{L}}\p{{N}}._%+-]+@[\p{{L}}\p{{N}}_.-]+\.\p{{L}}{{2,}}", "<EMAIL>")
-    t = F.regexp_replace(t, rf"""(?i)(?<!{_W})(?:https?://|www\.)(?:www\.)?([^\s/?#<>"']*[^\s/?#<>"'.,;:!?)])(?:[/?#][^\s<>"']*[^\s<>"'.,;:!?)])?""", "<URL:$1>")
-    t = F.regexp_replace(t, rf"(?<!{_W})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_W})", "<NUMBER>")
-    t = F.regexp_replace(t, rf"(?<!{_W})\+[0-9][0-9 ().-]{{6,}}[0-9]", "<PHONE>")
-    t = F.regexp_replace(t, r"(?<!\p{L})(?<![0-9])[0-9](?:[ .-]?[0-9]){5,}(?![0-9])(?!\p{L})", "<NUMBER>")
-    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_<])@[\p{{L}}\p{{N}}_.]{{2,}}", "<NAME>")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}_.-]+\.\p{L}{2,}", "<EMAIL>")
+    # hosts stand between control characters, which no text has left, until they are lowered
+    t = F.regexp_replace(t, rf"""(?i)(?=[hw])(?<!{_W})(?:https?://|www\.)(?:www\.)?([^\s/?#<>"']*[^\s/?#<>"'.,;:!?)])(?:[/?#][^\s<>"']*[^\s<>"'.,;:!?)])?""", "\x01$1\x01")
+    t = let(t, lambda x: F.when(F.contains(x, F.lit("\x01")), F.array_join(F.transform(F.split(x, "\x01"), lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("<URL:"), F.lower(p), F.lit(">"))).otherwise(p)), "")).otherwise(x))
+    t = F.regexp_replace(t, rf"(?=[A-Z])(?<!{_W})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_W})", "<NUMBER>")
+    t = F.regexp_replace(t, rf"(?=\+)(?<!{_W})\+[0-9][0-9 ().-]{{6,}}[0-9]", "<PHONE>")
+    t = F.regexp_replace(t, r"(?=[0-9])(?<!\p{L})(?<![0-9])[0-9](?:[ .-]?[0-9]){5,}(?![0-9])(?!\p{L})", "<NUMBER>")
+    t = F.regexp_replace(t, r"(?=@)(?<![\p{L}\p{N}_<])(?<!<NAME>)@[\p{L}\p{N}_.]{2,}", "<NAME>")
     for lead in (rf"(?:{TITLE})\s+", rf"(?:{GREETING}),?\s+"):
-        t = let(t, lambda x, lead=lead: _mask_after(x, lead))
+        t = _mask_after(t, lead)
     term_list = F.transform(terms, lambda x: F.lower(x)) if terms is not None else None
 
     def word(w: Column) -> Column:
         core = F.regexp_extract(w, rf"{_W}(?:.*{_W})?", 0)
         user = (F.length(core) >= 6) & ((core.contains("_") & core.rlike(r"\p{L}")) | (core.rlike("[a-zà-ÿ]") & core.rlike("[0-9]") & core.rlike(r"\p{L}{3}")))
-        out = F.when(user, F.concat(F.regexp_extract(w, rf"^[^\p{{L}}\p{{N}}_]*", 0), F.lit("<NAME>"), F.regexp_extract(w, rf"^[^\p{{L}}\p{{N}}_]*{_W}+(.*)$", 1)))
+        out = F.when(user, F.concat(F.regexp_extract(w, r"^[^\p{L}\p{N}_]*", 0), F.lit("<NAME>"), F.regexp_extract(w, rf"^[^\p{{L}}\p{{N}}_]*{_W}+(.*)$", 1)))
         if term_list is not None:
-            masked = F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda p: F.when(F.array_contains(term_list, F.lower(p)), "<NAME>").otherwise(p)), "")
-            out = out.otherwise(masked)
-        else:
-            out = out.otherwise(w)
-        out = F.when(w.rlike("<(?:NAME|EMAIL|NUMBER|PHONE|URL)") | w.rlike(r"^\s*$"), w).otherwise(out)
-        return out if term_list is not None else F.when(w.rlike("[0-9_]"), out).otherwise(w)  # no user name is without these
-
-    t = F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"\S+|\s+"), F.lit(0)), word), "")
+            out = out.otherwise(F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda p: F.when(F.array_contains(term_list, F.lower(p)), "<NAME>").otherwise(p)), ""))
+        return F.when(w.rlike("<(?:NAME|EMAIL|NUMBER|PHONE|URL)"), w).otherwise(out.otherwise(w) if term_list is None else out)
+
+    # no user name is without a digit or a line below
+    t = _each(t, r"\S+" if term_list is not None else r"(?<!\S)[^\s0-9_]*+[0-9_]\S*+", word)
     return F.trim(F.regexp_replace(t, "[ \t]{2,}", " "))
 
 

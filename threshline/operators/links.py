@@ -75,6 +75,30 @@ def url_agent(links: DataFrame, bodies: DataFrame, key: str = "mail_id") -> Data
     return bodies.select(key).join(s, key, "left").select(key, F.coalesce(score, F.lit(0.05)).alias("p_url"))
 
 
+def judged_links(ranked: DataFrame, key: str = "mail_id") -> DataFrame:
+    """(key, links): each mail's ranked links with their facts, one array a mail (``rank_links`` bounds it); every distinct address is judged once."""
+    facts = url_facts(ranked).select("url", "host", "org", "cloud", "well_known", "rule_score", "strong")
+    each = F.struct("rank", "url", "host", "org", "cloud", "well_known", "rule_score", "strong")
+    return ranked.join(facts, "url").groupBy(key).agg(F.sort_array(F.collect_list(each)).alias("links"))
+
+
+def link_signs(links: Column, body: Column, own: Column) -> dict[str, Column]:
+    """Within a mail's row: p_url as of ``url_agent``, strong_link, and the counts of ``link_profile``; ``own`` is the sender's organisation."""
+    pages = F.filter(links, lambda x: (x["host"] != "") & ~x["host"].isin(dims.ASSET_HOSTS))
+    kind = lambda x: F.when((own != "") & (x["org"] == own), "aligned").when(x["org"].isin(dims.TRACKING), "tracking").when(x["cloud"], "cloud").when(x["well_known"], "well_known").otherwise("other")
+    found = urls.urls_in_text(body)
+
+    def agent(said: Column) -> Column:
+        written = lambda x: F.array_contains(said, x["url"]) | F.contains(body, x["url"])
+        worst = lambda xs: F.array_max(F.transform(xs, lambda x: x["rule_score"]))
+        return F.greatest(F.coalesce(worst(F.filter(links, written)), F.lit(0.05)), F.coalesce(worst(F.filter(links, lambda x: ~written(x))), F.lit(0.0)))
+
+    p_url = F.when(F.size(links) > 0, F.element_at(F.transform(F.array(found), agent), 1)).otherwise(F.lit(0.05))
+    count = lambda k: F.size(F.filter(pages, lambda x: kind(x) == k))
+    kinds = {k: count(k) for k in ("aligned", "cloud", "other")}
+    return {"p_url": p_url, "strong_link": F.exists(links, lambda x: x["strong"]), **kinds}
+
+
 def shared_links(links: DataFrame, key: str = "mail_id") -> DataFrame:
     """(key, count, services, urls): links to file and form services; services in order of appearance, the first ten links."""
     hits = links.withColumn("service", urls.shared_service(F.col("url"))).where("service IS NOT NULL")
@@ -85,5 +109,10 @@ def shared_links(links: DataFrame, key: str = "mail_id") -> DataFrame:
 
 def trusted_hosts(hosts: DataFrame, trusted: DataFrame, host_col: str = "host") -> DataFrame:
     """Rows whose host or one of its parents is listed: an equi-join on exploded suffixes, for lists of any size."""
+    return hosts.join(listed_hosts(hosts, trusted, host_col), host_col, "left_semi")
+
+
+def listed_hosts(hosts: DataFrame, listed: DataFrame, host_col: str = "host") -> DataFrame:
+    """The distinct hosts that are listed, or have a parent that is; ``listed`` has a column domain."""
     d = hosts.select(host_col).distinct().withColumn("domain", F.explode(urls.host_suffixes(F.col(host_col))))
-    return hosts.join(d.join(trusted, "domain", "left_semi").select(host_col).distinct(), host_col, "left_semi")
+    return d.join(listed, "domain", "left_semi").select(host_col).distinct()

@@ -10,6 +10,7 @@ import base64
 import re
 from html import unescape
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import unquote, urljoin
 
 import pandas as pd
@@ -22,9 +23,25 @@ BLOCKS = frozenset("p div tr li blockquote h1 h2 h3 h4 h5 h6 table pre br".split
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIP = frozenset("script style head title template noscript".split())
 ELEMENTS = 20_000
-
-#: Colour names that text is hidden in most (fixed values).
-NAMED = {"white": (255, 255, 255), "black": (0, 0, 0), "red": (255, 0, 0), "green": (0, 128, 0), "blue": (0, 0, 255), "yellow": (255, 255, 0), "gray": (128, 128, 128), "grey": (128, 128, 128), "silver": (192, 192, 192), "navy": (0, 0, 128), "maroon": (128, 0, 0), "lime": (0, 255, 0), "aqua": (0, 255, 255), "cyan": (0, 255, 255), "fuchsia": (255, 0, 255), "magenta": (255, 0, 255), "olive": (128, 128, 0), "purple": (128, 0, 128), "teal": (0, 128, 128), "orange": (255, 165, 0), "snow": (255, 250, 250), "ivory": (255, 255, 240), "whitesmoke": (245, 245, 245), "ghostwhite": (248, 248, 255)}
+#: Properties by which text can be hidden (fixed values).
+RELEVANT = frozenset("display visibility opacity font-size color background background-color background-image overflow overflow-x overflow-y height width max-height max-width clip clip-path position left top right bottom text-indent transform mso-hide content-visibility -webkit-text-fill-color".split())
+
+#: The colour names of CSS and their values (fixed values).
+COLOURS = """
+aliceblue f0f8ff antiquewhite faebd7 aqua 00ffff aquamarine 7fffd4 azure f0ffff beige f5f5dc bisque ffe4c4 black 000000 blanchedalmond ffebcd blue 0000ff blueviolet 8a2be2 brown a52a2a burlywood deb887
+cadetblue 5f9ea0 chartreuse 7fff00 chocolate d2691e coral ff7f50 cornflowerblue 6495ed cornsilk fff8dc crimson dc143c cyan 00ffff darkblue 00008b darkcyan 008b8b darkgoldenrod b8860b darkgray a9a9a9 darkgreen 006400 darkgrey a9a9a9 darkkhaki bdb76b
+darkmagenta 8b008b darkolivegreen 556b2f darkorange ff8c00 darkorchid 9932cc darkred 8b0000 darksalmon e9967a darkseagreen 8fbc8f darkslateblue 483d8b darkslategray 2f4f4f darkslategrey 2f4f4f darkturquoise 00ced1 darkviolet 9400d3 deeppink ff1493 deepskyblue 00bfff dimgray 696969 dimgrey 696969 dodgerblue 1e90ff
+firebrick b22222 floralwhite fffaf0 forestgreen 228b22 fuchsia ff00ff gainsboro dcdcdc ghostwhite f8f8ff gold ffd700 goldenrod daa520 gray 808080 green 008000 greenyellow adff2f grey 808080 honeydew f0fff0 hotpink ff69b4 indianred cd5c5c indigo 4b0082 ivory fffff0 khaki f0e68c
+lavender e6e6fa lavenderblush fff0f5 lawngreen 7cfc00 lemonchiffon fffacd lightblue add8e6 lightcoral f08080 lightcyan e0ffff lightgoldenrodyellow fafad2 lightgray d3d3d3 lightgreen 90ee90 lightgrey d3d3d3 lightpink ffb6c1 lightsalmon ffa07a lightseagreen 20b2aa lightskyblue 87cefa lightslategray 778899 lightslategrey 778899 lightsteelblue b0c4de lightyellow ffffe0 lime 00ff00 limegreen 32cd32 linen faf0e6
+magenta ff00ff maroon 800000 mediumaquamarine 66cdaa mediumblue 0000cd mediumorchid ba55d3 mediumpurple 9370db mediumseagreen 3cb371 mediumslateblue 7b68ee mediumspringgreen 00fa9a mediumturquoise 48d1cc mediumvioletred c71585 midnightblue 191970 mintcream f5fffa mistyrose ffe4e1 moccasin ffe4b5 navajowhite ffdead navy 000080 oldlace fdf5e6 olive 808000 olivedrab 6b8e23 orange ffa500 orangered ff4500 orchid da70d6
+palegoldenrod eee8aa palegreen 98fb98 paleturquoise afeeee palevioletred db7093 papayawhip ffefd5 peachpuff ffdab9 peru cd853f pink ffc0cb plum dda0dd powderblue b0e0e6 purple 800080 rebeccapurple 663399 red ff0000 rosybrown bc8f8f royalblue 4169e1 saddlebrown 8b4513 salmon fa8072 sandybrown f4a460 seagreen 2e8b57 seashell fff5ee sienna a0522d silver c0c0c0 skyblue 87ceeb slateblue 6a5acd slategray 708090 slategrey 708090 snow fffafa springgreen 00ff7f steelblue 4682b4
+tan d2b48c teal 008080 thistle d8bfd8 tomato ff6347 turquoise 40e0d0 violet ee82ee wheat f5deb3 white ffffff whitesmoke f5f5f5 yellow ffff00 yellowgreen 9acd32
+""".split()
+NAMED = {name: tuple(bytes.fromhex(code)) for name, code in zip(COLOURS[::2], COLOURS[1::2], strict=True)}
+#: Sizes from which a font can be read, by unit (fixed values); of other units, any.
+READABLE = {"px": 2.0, "pt": 2.0, "em": 0.2, "rem": 0.2, "%": 20.0, "": 2.0}
+#: Words of a background that are no colour (fixed values).
+BACKGROUND_WORDS = frozenset("no-repeat repeat repeat-x repeat-y space round center top bottom left right scroll fixed local cover contain auto border-box padding-box content-box none inherit initial unset transparent".split())
 
 
 def declarations(style: str) -> dict[str, str]:
@@ -37,6 +54,7 @@ def declarations(style: str) -> dict[str, str]:
             strong = bool(re.search(r"!\s*important$", value))
             name = name.strip().lower()
             if strong or not out.get(name, (False, ""))[0]:
+                out.pop(name, None)  # a later one comes last
                 out[name] = (strong, re.sub(r"\s*!\s*important$", "", value))
     return {k: v for k, (_, v) in out.items()}
 
@@ -74,52 +92,121 @@ def colour(value: str) -> tuple[float, float, float, float] | None:
 
 
 def _luminance(rgb: tuple[float, ...]) -> float:
-    lin = [n / 12.92 if n <= 0.03928 else ((n + 0.055) / 1.055) ** 2.4 for n in (c / 255 for c in rgb[:3])]
+    lin = [n / 12.92 if n <= 0.04045 else ((n + 0.055) / 1.055) ** 2.4 for n in (c / 255 for c in rgb[:3])]
     return 0.2126 * lin[0] + 0.7152 * lin[1] + 0.0722 * lin[2]
 
 
+def laid_over(top: tuple, back: tuple) -> tuple:
+    """A colour with opacity drawn over an opaque one."""
+    return tuple(round(t * top[3] + b * (1 - top[3])) for t, b in zip(top[:3], back[:3], strict=True))
+
+
 def same_colour(ink: tuple, back: tuple) -> bool:
     """Contrast below 1.2 once the ink lies over the background."""
-    mixed = tuple(i * ink[3] + b * (1 - ink[3]) for i, b in zip(ink[:3], back[:3], strict=True))
-    a, b = sorted((_luminance(mixed), _luminance(back)))
+    a, b = sorted((_luminance(laid_over(ink, back)), _luminance(back)))
     return (b + 0.05) / (a + 0.05) < 1.2
 
 
-def _px(value: str | None) -> float | None:
-    m = re.fullmatch(r"(-?\d*\.?\d+)\s*(px|pt|em|rem|vw|vh|%)?", (value or "").strip())
-    return float(m[1]) * {"pt": 4 / 3, "em": 16, "rem": 16}.get(m[2] or "px", 1) if m else None
-
-
-def hidden_style(style: str) -> bool:
-    """Whether an inline style hides its text: not displayed, invisible, clear, tiny, out of sight, or in the background's colour."""
-    d = declarations(style)
-    if d.get("display") == "none" or d.get("visibility") in ("hidden", "collapse") or d.get("content-visibility") == "hidden" or d.get("mso-hide") == "all":
+def _size(value: str | None) -> tuple[float, str] | None:
+    """Number and unit of a length."""
+    m = re.match(r"\s*([-+]?(?:\d+\.?\d*|\.\d+))([a-z%]*)", value or "")
+    return (float(m[1]), m[2]) if m else None
+
+
+def _below(value: str | None, least: float, missing: float) -> bool:
+    n = _size(value)
+    return (n[0] if n else missing) < least
+
+
+class Look(NamedTuple):
+    """What an element hands down: the colour behind its text (None: unknown), its ink, and whether text is too small or invisible."""
+
+    back: tuple | None = (255, 255, 255)
+    ink: tuple = (0, 0, 0, 1.0)
+    tiny: bool = False
+    unseen: bool = False
+
+    def unreadable(self) -> bool:
+        return self.tiny or self.unseen or self.ink[3] <= 0.05 or (self.back is not None and same_colour(self.ink, self.back))
+
+    def inside(self, d: dict[str, str], attrs: dict[str, str] | None = None) -> Look:
+        """The look of an element with these declarations and attributes within one of this look."""
+        a = attrs or {}
+        own = _background(d, a)
+        back = self.back
+        if own == "image":
+            back = None
+        elif own is not None:
+            back = laid_over(own, back) if back is not None else tuple(own[:3]) if own[3] >= 1 else None
+        ink = colour(d.get("-webkit-text-fill-color") or d.get("color") or a.get("color", "")) or self.ink
+        font, tiny = _size(d.get("font-size")), self.tiny
+        if font:
+            tiny = font[0] <= 0 or font[0] < READABLE.get(font[1], 0) or (tiny and font[1] in ("em", "%"))
+        seen = d.get("visibility")
+        return Look(back, ink, tiny, seen in ("hidden", "collapse") if seen else self.unseen)
+
+
+def _background(d: dict[str, str], attrs: dict[str, str]) -> tuple | str | None:
+    """The colour an element paints, "image" where it is not known, or none."""
+    if d.get("background-image", "none") != "none":
+        return "image"
+    value = next((d[k] for k in reversed(d) if k in ("background", "background-color") and d[k]), None)
+    if value is None:
+        if attrs.get("background"):
+            return "image"
+        value = attrs.get("bgcolor", "").strip().lower()
+        value = f"#{value}" if re.fullmatch("[0-9a-f]{6}", value) else value
+    if re.search(r"(?:url|gradient|image)\(", value):
+        return "image"
+    fn = re.search(r"(?:rgb|hsl)a?\([^()]{0,80}\)", value)
+    found = next((c for c in map(colour, [fn[0]] if fn else value.split()) if c), None)
+    if found:
+        return found if found[3] > 0 else None
+    return "image" if set(value.split()) - BACKGROUND_WORDS else None
+
+
+def hides_box(d: dict[str, str]) -> bool:
+    """The element and all in it is out of view: not displayed, clear, clipped, far off the page, or scaled to nothing."""
+    if d.get("display") == "none" or d.get("mso-hide") == "all" or d.get("content-visibility") == "hidden":
         return True
-    opacity = _px(d.get("opacity"))
-    if opacity is not None and (opacity / 100 if d["opacity"].endswith("%") else opacity) < 0.1:
+    opacity = _size(d.get("opacity"))
+    if opacity and (opacity[0] / 100 if opacity[1] == "%" else opacity[0]) <= 0.05:
         return True
-    font = _px(d.get("font-size"))
-    if font is not None and font < 2:
+    if any(d.get(k) in ("hidden", "clip") for k in ("overflow", "overflow-x", "overflow-y")) and any(_below(d.get(k), 1, 1) for k in ("max-height", "height", "max-width", "width")):
         return True
-    clipped = d.get("overflow", d.get("overflow-y", "")) in ("hidden", "clip")
-    for side in ("width", "height", "max-width", "max-height"):
-        n = _px(d.get(side))
-        if n is not None and n <= 1 and clipped:
-            return True
-    for side in ("left", "top", "text-indent", "margin-left", "margin-top"):
-        n = _px(d.get(side))
-        if n is not None and n <= -500 and (side not in ("left", "top") or d.get("position") in ("absolute", "fixed", "relative")):
-            return True
-    if re.search(r"scale[xy]?\(\s*0*\.?0*\s*[,)]", d.get("transform", "")) or re.search(r"rect\(\s*0[^)]*0[^)]*\)|inset\(\s*(?:50|100)%", d.get("clip", "") + d.get("clip-path", "")):
+    clip, path = (re.sub(r"\s", "", d.get(k, "")) for k in ("clip", "clip-path"))
+    if path.startswith("circle(0") or (path.startswith("inset(") and not _below(path[6:], 50, 0)) or clip.replace("px", "") in ("rect(0,0,0,0)", "rect(0000)"):
         return True
-    ink = colour(d.get("-webkit-text-fill-color", d.get("color", "")))
-    if ink is not None:
-        if ink[3] < 0.1:
-            return True
-        back = next((c for c in map(colour, re.findall(r"#[0-9a-f]+|(?:rgb|hsl)a?\([^)]*\)|[a-z]+", d.get("background-color", d.get("background", "")))) if c), None)
-        if back is not None and back[3] > 0.9 and same_colour(ink, back):
-            return True
-    return False
+    if d.get("position") in ("absolute", "fixed") and any(_below(d.get(k), -499.999, 0) for k in ("left", "top", "right", "bottom")):
+        return True
+    if _below(d.get("text-indent"), -499.999, 0):
+        return True
+    return any((_size(x) or (1,))[0] == 0 for args in re.findall(r"scale(?:x|y|3d)?\(([^()]{0,100})\)", d.get("transform", "")) for x in args.split(","))
+
+
+def hidden_style(style: str, background: tuple = (255, 255, 255)) -> bool:
+    """Whether an inline style hides its element's text on a page of this background."""
+    d = declarations(style)
+    return hides_box(d) or Look(tuple(background[:3])).inside(d).unreadable()
+
+
+def style_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selector, declarations) of a style sheet's rules for screens, in order; rules for other media are left out."""
+    out, at, text = [], 0, re.sub(r"/\*.*?(?:\*/|$)", "", sheet, flags=re.S)
+    while (start := text.find("{", at)) >= 0:
+        head, depth, end = text[at:start].rpartition(";")[2].strip(), 1, start + 1
+        for m in re.finditer("[{}]", text[end:]):
+            depth += 1 if m[0] == "{" else -1
+            if not depth:
+                break
+        stop = end + m.start() if not depth else len(text)
+        if head.startswith("@"):
+            if head.lower().startswith("@media") and set(head.lower().replace(",", " ").split()[1:]) <= {"screen", "all", "only"}:
+                out += style_rules(text[end:stop])
+        else:
+            out.append((head, text[end:stop]))
+        at = stop + 1
+    return out
 
 
 class _Page(HTMLParser):
@@ -127,12 +214,12 @@ class _Page(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, bool, bool, Look, bool]] = []  # tag, text hidden, text skipped, look, box hidden
         self.shown: list[str] = []
         self.unseen: list[str] = []
         self.links: tuple[list[str], list[str]] = ([], [])
         self.facts: set[str] = set()
-        self.rules: list[tuple[str, str]] = []
+        self.rules: list[tuple[str, dict[str, str]]] = []
         self.count = 0
         self.style: list[str] | None = None
         self.nested: list[str] = []
@@ -143,8 +230,17 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.count += 1
         a = {k: v or "" for k, v in attrs}
-        hidden, skip = self.stack[-1][1:] if self.stack else (False, False)
-        hidden = hidden or "hidden" in a or hidden_style(a.get("style", "")) or any(self._matches(s, tag, a) for s, _ in self.rules)
+        _, hidden, skip, look, boxed = self.stack[-1] if self.stack else ("", False, False, Look(), False)
+        style: dict[str, str] = {}
+        for selector, own in self.rules:
+            if self._matches(selector, tag, a):
+                style |= own
+        if a.get("style"):
+            style |= declarations(a["style"])
+        if style or {"bgcolor", "background", "color", "hidden"} & a.keys():
+            look = look.inside(style, {k: a.get(k, "") for k in ("bgcolor", "background")} | ({"color": a.get("color", "")} if tag == "font" else {}))
+            boxed = boxed or "hidden" in a or hides_box(style)
+            hidden = boxed or look.unreadable()
         skip = skip or tag in SKIP
         if tag == "style":
             self.style = []
@@ -171,7 +267,7 @@ class _Page(HTMLParser):
             if self._matches(selector, tag, a):
                 (self.unseen if hidden else self.shown).append(f" {words} ")
         if tag not in VOID and self.count < ELEMENTS:
-            self.stack.append((tag, hidden, skip))
+            self.stack.append((tag, hidden, skip, look, boxed))
 
     def _inside(self, address: str) -> None:
         page = data_page(address)
@@ -188,23 +284,26 @@ class _Page(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "style" and self.style is not None:
-            for selectors, style in re.findall(r"([^{}]+)\{([^{}]*)\}", re.sub(r"/\*.*?\*/", "", "".join(self.style), flags=re.S)):
+            for selectors, style in style_rules("".join(self.style)):
+                own = declarations(style)
                 words = re.search(r"content\s*:\s*[\"']([^\"']{1,500})[\"']", style)
+                each = [x.strip().lower().split()[-1] for x in selectors.split(",") if x.strip()]
                 if words and not hidden_style(style):
-                    self.made += [(x.strip().lower().split()[-1].split(":")[0], words[1]) for x in selectors.split(",") if re.search(r":(?:before|after)\s*$", x.strip().lower())]
-                if hidden_style(style):
-                    self.rules += [(s.strip().lower().split()[-1], style) for s in selectors.split(",") if s.strip()]
+                    self.made += [(x.split(":")[0], words[1]) for x in each if re.search(r":(?:before|after)$", x)]
+                if RELEVANT & own.keys():
+                    self.rules += [(x, own) for x in each]
             self.style = None
-        if any(t == tag for t, _, _ in self.stack):
+        if any(x[0] == tag for x in self.stack):
             while self.stack and self.stack.pop()[0] != tag:
                 pass
         if tag in BLOCKS:
             self.shown.append("\n")
+            self.unseen.append("\n")
 
     def handle_data(self, data: str) -> None:
         if self.style is not None:
             self.style.append(data)
-        hidden, skip = self.stack[-1][1:] if self.stack else (False, False)
+        hidden, skip = self.stack[-1][1:3] if self.stack else (False, False)
         if self.stack and self.stack[-1][0] == "script":
             self.scripts.append(data[:200_000])
             if re.search(r"(?i)createObjectURL|msSave(?:OrOpen)?Blob|new\s+(?:Blob|File)\s*\(|\.download\s*=", data):
@@ -299,23 +398,34 @@ def _tidy(parts: list[str]) -> str:
 
 def to_text(page: str) -> str:
     """Visible text with a line for each block, hidden text after it."""
-    p = read(page)
-    return "\n".join(t for t in (_tidy(p.shown), _tidy(p.unseen)) if t)
+    return _told(read(page))[0]
 
 
 def link_groups(page: str) -> tuple[list[str], list[str]]:
     """Link targets of visible and of hidden elements."""
-    p = read(page)
-    clean = lambda xs: list(dict.fromkeys(u for u in (unescape(x).strip() for x in xs) if re.match(r"\s*(?:https?:|//)", u, re.I)))
-    return clean(p.links[0]), clean(p.links[1])
+    return _told(read(page))[1:3]
 
 
 FLAGS = [("form", "contains_form"), ("password", "contains_password_field"), ("script", "contains_javascript"), ("iframe", "contains_iframe"), ("refresh", "meta_refresh_redirect"), ("smuggle", "embeds_another_file")]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+def _told(p: _Page) -> tuple[str, list[str], list[str], list[str]]:
+    clean = lambda xs: list(dict.fromkeys(u for u in (unescape(x).strip() for x in xs) if re.match(r"\s*(?:https?:|//)", u, re.I)))
+    return "\n".join(t for t in (_tidy(p.shown), _tidy(p.unseen)) if t), clean(p.links[0]), clean(p.links[1]), [flag for fact, flag in FLAGS if fact in p.facts]
+
+
+_STRINGS = T.ArrayType(T.StringType())
+
+
+@F.pandas_udf(T.StructType().add("text", "string").add("visible", _STRINGS).add("hidden", _STRINGS).add("flags", _STRINGS))
+def page_facts(pages: pd.Series) -> pd.DataFrame:
+    """Text, links and flags from a single reading of each page."""
+    return pd.DataFrame([_told(read(p or "")) for p in pages], columns=["text", "visible", "hidden", "flags"])
+
+
+@F.pandas_udf(_STRINGS)
 def page_flags(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: [flag for fact, flag in FLAGS if fact in read(p or "").facts])
+    return pages.map(lambda p: _told(read(p or ""))[3])
 
 
 @F.pandas_udf(T.StringType())
@@ -323,7 +433,7 @@ def html_text(pages: pd.Series) -> pd.Series:
     return pages.map(lambda p: to_text(p or ""))
 
 
-@F.pandas_udf(T.StructType().add("visible", T.ArrayType(T.StringType())).add("hidden", T.ArrayType(T.StringType())))
+@F.pandas_udf(T.StructType().add("visible", _STRINGS).add("hidden", _STRINGS))
 def html_links(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([link_groups(p or "") for p in pages], columns=["visible", "hidden"])
 
