@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from threshline.llm import secrets
@@ -56,3 +58,13 @@ def test_key_words_inside_names(spark):
     got = {r.id: r for r in secrets.candidates(docs).collect()}
     for i, (key, value) in enumerate(forms):
         assert (got[i].value, got[i].start, got[i].before) == (value, len("export " + key), "export " + key)
+
+
+def test_very_many_candidates_in_one_text(spark):
+    """The place of each candidate comes from blocked sums: cost does not grow with the square of their number."""
+    n = 60_000
+    docs = spark.createDataFrame([(1, "é abc1def2ghi3jkl4mno" * 1 + " abc1def2ghi3jkl4mno" * n)], "doc_id long, text string")
+    began = time.time()
+    r = secrets.candidates(docs).selectExpr("count(*) AS n", "min(start) AS lo", "max(start) AS hi", "count(DISTINCT start) AS places").first()
+    assert (r.n, r.lo, r.hi, r.places) == (n + 1, 2, 2 + 20 * n, n + 1)
+    assert time.time() - began < 120

@@ -11,11 +11,11 @@ import atexit
 import re
 import shutil
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the contracts: everything but ASCII white space.
@@ -23,8 +23,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set."""
+    """The cluster's shared folder; one of our own only in local mode, where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -98,6 +100,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
+def blocks(xs: Column) -> Column:
+    """An array cut into about as many blocks as each has elements."""
+
+    def cut(own: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own))).cast("int"))
+        starts = F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own), width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.slice(own, at, width))
+
+    return let(xs, cut)
+
+
+def running_sums(xs: Column) -> Column:
+    """For each of the longs the sum of those before it; by blocks, so that cost grows with m times the root of m."""
+    total = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of(parts: Column) -> Column:
+        def within(totals: Column) -> Column:
+            def each(block: Column, k: Column) -> Column:
+                return let(total(F.slice(totals, 1, k)), lambda before: F.transform(block, lambda _, i: before + total(F.slice(block, 1, i))))
+
+            return F.flatten(F.transform(parts, each))
+
+        return let(F.transform(parts, total), within)
+
+    return let(blocks(xs), of)
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

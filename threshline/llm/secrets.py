@@ -18,12 +18,16 @@ gives an empty result; columns beyond id and text are not read.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threshline.llm.common import running_sums
+
 #: Labelled findings that ``labelled_findings`` makes.
 FINDINGS = 4000
 
@@ -40,10 +44,16 @@ GOOD_BEFORE = rf"(?i)(?:{KEYS}|bearer|authorization)\W{{0,6}}$"
 BAD_BEFORE = r"(?i)(?:commit|sha-?\d*|md5|checksum|hash|digest|uuid|guid|etag|integrity|revision|rev|build|image|layer|object|tree|parent)\W{0,6}$"
 ASSIGNED = r"[=:]\s{0,3}[\"']?$"
 
-FEATURES = ("length", "digits", "uppers", "hex", "transitions", "distinct", "consonants", "dictionary", "placeholder", "repeats", "slashes", "dots", "dashes", "extension", "in_path", "uuid", "numeric", "good_before", "bad_before", "assigned", "quoted", "known_prefix")
+FEATURES = ("length", "digits", "uppers", "hex", "transitions", "bigrams", "distinct", "consonants", "dictionary", "placeholder", "repeats", "slashes", "dots", "dashes", "extension", "in_path", "uuid", "numeric", "good_before", "bad_before", "assigned", "quoted", "known_prefix")
 KNOWN = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|xox[baprs]-|sk-|sk_live_|rk_live_|AIza|glpat-|npm_|eyJ)"
 
 
+def common_pairs(words: list[str] = DICTIONARY, least: int = 3) -> list[str]:
+    """Pairs of letters that follow each other in several dictionary words: the transitions of wording."""
+    pairs = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    return sorted(p for p, n in pairs.items() if n >= least)
+
+
 def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
     n = F.greatest(F.length(value), F.lit(1))
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
@@ -55,6 +65,7 @@ def features(value: Column, before: Column, after: Column) -> dict[str, Column]:
         "uppers": share("[A-Z]"),
         "hex": flag(value.rlike("^(?i)[0-9a-f]+$")),
         "transitions": share(r"[a-z](?=[0-9A-Z])|[0-9](?=[A-Za-z])|[A-Z](?=[a-z0-9])"),
+        "bigrams": F.regexp_count(F.lower(value), F.lit(f"(?=(?:{'|'.join(common_pairs())}))")) / F.greatest(n - 1, F.lit(1)),
         "distinct": F.size(F.array_distinct(F.split(F.left(value, F.lit(64)), ""))) / F.least(n, F.lit(64)),
         "consonants": share("(?i)[bcdfghjklmnpqrstvwxz]{4}"),
         "dictionary": 1 - F.length(F.regexp_replace(F.lower(value), words, "")) / n,
@@ -89,7 +100,9 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, seed: int = 17) ->
     pick = lambda k, options: F.element_at(F.array(*[F.lit(o) for o in options]), (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), i), F.lit(len(options))) + 1).cast("int"))
     b64 = F.regexp_replace(F.base64(F.unhex(h(1))), "[\r\n=]", "")
     word = pick(3, DICTIONARY)
-    long_words = F.concat(*[pick(k, [*DICTIONARY, "ertion", "thenan", "oulyand", "eaux", "ción", "heit"]) for k in range(4, 9)])
+    # wording that no dictionary has: letters by a rule, half of them vowels
+    coined = F.translate(F.left(h(6), F.lit(7)), "0123456789abcdef", "taneliroseumidoa")
+    long_words = F.concat(*[F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.lit("coined"), i), F.lit(4)) == 0, coined).otherwise(pick(k, DICTIONARY)) for k in range(4, 9)])
     keys = ["token", "api_key", "apiKey", "secret", "password", "client_secret", "ACCESS_KEY", "auth_key"]
     assign = F.concat(pick(10, ["", "the ", "les ", "export ", "const ", "de "]), pick(11, keys), pick(12, [' = "', '="', ": ", "=", ': "', " := '"]))
     prose = F.concat(pick(13, DICTIONARY), F.lit(" "), pick(14, DICTIONARY), pick(15, [" ", ", ", ". ", " ("]))
@@ -131,9 +144,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("found", F.regexp_extract_all("text", pattern, F.lit(0))).where(F.size("found") > 0)
     d = d.select("id", "found", F.split("text", CANDIDATE, -1).alias("gaps"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    lens = F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
-    starts = F.aggregate(lens, zero, lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")))["out"]
+    lens = F.zip_with(F.slice("gaps", 1, F.size("found")), "found", lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+    starts = F.zip_with(running_sums(lens), F.slice("gaps", 1, F.size("found")), lambda at, g: (at + F.length(g)).cast("int"))
     d = d.select("id", F.explode(F.arrays_zip(F.col("found"), starts.alias("starts"), F.slice("gaps", 1, F.size("found")).alias("left"), F.slice("gaps", 2, F.size("found")).alias("right"))).alias("c"))
     d = d.select("id", F.col("c.found").alias("raw"), F.col("c.starts").alias("at"), F.right(F.col("c.left"), F.lit(48)).alias("left"), F.left(F.col("c.right"), F.lit(32)).alias("after"))
     # a candidate that begins with a name: the value is what follows the assignment
