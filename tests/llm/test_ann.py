@@ -64,3 +64,12 @@ def test_traversal_reaches_every_leaf_once():
     assert depth == sorted(depth)
     for margin in (0.0, 0.3, 1.0):
         assert tree.visit(q, margin)[0] == [x for x, d in zip(order, depth, strict=True) if d <= margin]
+
+
+def test_walks_go_on_until_there_are_enough_candidates():
+    rng = np.random.default_rng(8)
+    tree = ann.Tree(rng.normal(size=(400, 5)), 40)
+    sizes, q = np.full(tree.leaves, 3), rng.normal(size=5)
+    assert len(tree.visit(q, 0.0, 1)[0]) == 1
+    assert len(tree.visit(q, 0.0, 1, sizes, 21)[0]) == 7
+    assert len(tree.visit(q, np.inf, np.inf, sizes, 21)[0]) == tree.leaves

@@ -2,12 +2,16 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` vectors by hash order), so
 its centres are a bounded broadcast; every vector is then assigned to a leaf.
-A query walks the tree through a priority queue, best centre first, and goes on
-visiting leaves until the best bin left is a margin below its first leaf. The
-margin is calibrated: on ``CALIBRATE`` queries, brute force over all vectors
-gives the true neighbours, and visits widen until their mean recall reaches the
-target (all leaves, and so exact, if nothing less does). A query in a dense
-cluster so visits few leaves, one far from all centres many.
+A query walks the tree through a priority queue, best bin first: a bin's
+promise is its centre's product with the query and ``SPREADS`` standard
+deviations of its vectors along it. The query goes on visiting leaves until the best
+bin left is a margin below its first leaf or a number of leaves is met, but never
+before k + 1 candidates are counted. Margin and number are calibrated: on
+``CALIBRATE`` queries, brute force over all vectors gives the true neighbours,
+and of the pairs whose mean recall reaches the target the one with the fewest
+visits is taken (all leaves, and so exact, if nothing less does). A query in a
+dense cluster so visits few leaves, one far from all centres many. A leaf's
+vectors are compared with the queries that visit it only.
 
 Equal vectors are one entry with their k + 1 smallest ids, among candidates and
 among queries: exact, as no query can use more. Leaves are packed into, or cut into,
@@ -37,6 +41,8 @@ from threshline.llm.common import materialize
 SAMPLE = 20_000
 #: Queries that recall is calibrated on, at most.
 CALIBRATE = 128
+#: Standard deviations of a bin's vectors by which its promise lies above its centre's.
+SPREADS = 2.0
 #: Vectors, and queries, that one task compares at once.
 BLOCK = 4096
 
@@ -47,6 +53,8 @@ class Tree:
     def __init__(self, sample: np.ndarray, leaves: int, branch: int = 8, seed: int = 3) -> None:
         self.centres: list[np.ndarray] = [sample.mean(0)]
         self.children: list[list[int]] = [[]]
+        spread = lambda own: float(np.sqrt(((own - own.mean(0)) ** 2).mean()))
+        spreads = [spread(sample)]
         rng, size = np.random.default_rng(seed), max(1, len(sample) // max(1, leaves))
         todo = [(0, sample)]
         while todo:
@@ -60,11 +68,13 @@ class Tree:
                 mine = own[part == k]
                 if len(mine):
                     self.centres.append(mine.mean(0))
+                    spreads.append(spread(mine))
                     self.children.append([])
                     self.children[node].append(len(self.centres) - 1)
                     todo.append((self.children[node][-1], mine))
         self.points = np.array(self.centres)
         self.half = (self.points**2).sum(1) / 2
+        self.spreads = np.array(spreads)
         self.leaf = {n: i for i, n in enumerate(n for n, c in enumerate(self.children) if not c)}
         self.leaves = len(self.leaf)
 
@@ -80,26 +90,28 @@ class Tree:
             todo += [(kid, rows[near == k]) for k, kid in enumerate(kids) if (near == k).any()]
         return out
 
-    def visit(self, q: np.ndarray, margin: float) -> tuple[list[int], list[float]]:
+    def visit(self, q: np.ndarray, margin: float, most: float = np.inf, sizes: np.ndarray | None = None, least: int = 0) -> tuple[list[int], list[float]]:
         """Leaves in best-bin-first order, and for each how far below the first leaf the traversal had come.
 
-        The traversal ends when the best bin left is more than the margin below the first leaf.
+        The traversal ends when the best bin left is more than the margin below the first leaf, or ``most``
+        leaves are met, once leaves of these sizes hold ``least`` vectors.
         """
-        score = self.points @ q
-        queue, out, depth = [(-score[0], 0)], [], []
+        score = (self.points @ q + SPREADS * np.sqrt(q @ q) * self.spreads).tolist()
+        queue, out, depth, held = [(-score[0], 0)], [], [], 0
         low = best = np.inf
         while queue:
             top, node = heapq.heappop(queue)
             kids = self.children[node]
             if out:
                 low = min(low, -top)
-                if best - low > margin:
+                if (best - low > margin or len(out) >= most) and (sizes is None or held >= least):
                     break
             if not kids:
                 if not out:
                     best = low = -top
                 out.append(self.leaf[node])
                 depth.append(best - low)
+                held += 0 if sizes is None else int(sizes[self.leaf[node]])
             for k in kids:
                 heapq.heappush(queue, (-score[k], k))
         return out, depth
@@ -144,7 +156,7 @@ def _top(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero((scores >= edge[:, None]) & (scores > -np.inf))
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", leaf_rows: int = 256) -> tuple[DataFrame, dict]:
+def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", leaf_rows: int = 32) -> tuple[DataFrame, dict]:
     """(query_id, rank, id, score) of each query's k nearest found, and what calibration found.
 
     ``queries`` are rows of the same form; a query's own id is no candidate for it.
@@ -153,7 +165,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     asked = materialize(valid_vectors(queries, id_col, vec_col).distinct(), "queries")
     n = data.count()
     sample = _stack(data.orderBy(F.xxhash64("vec"), F.element_at("ids", 1)).limit(SAMPLE).select("vec").toPandas()["vec"])
-    tree = Tree(sample, min(max(1, n // leaf_rows), max(1, len(sample) // 16))) if n else Tree(np.zeros((1, 1)), 1)
+    tree = Tree(sample, min(max(1, n // leaf_rows), max(1, len(sample) // 8))) if n else Tree(np.zeros((1, 1)), 1)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -161,10 +173,11 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
                 yield b.assign(leaf=tree.assign(_stack(b["vec"])))
 
     data = materialize(data.mapInPandas(assign, "vec array<double>, ids array<long>, leaf int"), "leaves")
-    margin, found = _calibrate(data, asked, tree, k, recall)
+    margin, most, found = _calibrate(data, asked, tree, k, recall)
     once = asked.groupBy("vec").agg(F.min("id").alias("q"))
     # neighbouring leaves share a bin of about BLOCK vectors; a larger leaf has bins of its own. The tree bounds both.
     sizes = {r["leaf"]: r["count"] for r in data.groupBy("leaf").count().collect()}
+    held = np.array([sizes.get(leaf, 0) for leaf in range(tree.leaves)])
     first, parts, at, full = [], [], 0, 0
     for leaf in range(tree.leaves):
         n_leaf = sizes.get(leaf, 0)
@@ -180,35 +193,46 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
             rows = []
             for q, vec, raw in zip(b["q"], _stack(b["vec"]), b["vec"], strict=True):
                 bins: dict[int, list[int]] = {}
-                for leaf in tree.visit(vec, margin)[0]:
+                for leaf in tree.visit(vec, margin, most, held, k + 1)[0]:
                     for x in range(first[leaf], first[leaf] + parts[leaf]):
                         bins.setdefault(x, []).append(leaf)
                 rows += [(q, raw, x, own) for x, own in bins.items()]
             yield pd.DataFrame(rows, columns=["q", "qvec", "bin", "leaves"])
 
     walked = materialize(once.mapInPandas(walk, "q long, qvec array<double>, bin int, leaves array<int>"), "visits")
-    plan = F.broadcast(walked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs")))  # one row a bin
+    plan = walked.groupBy("bin").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("qs"))  # one row a bin
     spread = F.element_at(ints(first), F.col("leaf") + 1) + F.pmod(F.xxhash64(F.element_at("ids", 1)), F.element_at(ints(parts), F.col("leaf") + 1)).cast("int")
     x = data.withColumn("bin", spread).join(plan, "bin").withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
     q = walked.join(plan, "bin").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("qs")).cast("int"))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "near": []})
+            return pd.DataFrame({"q": [], "bin": [], "near": []})
+        left = left.sort_values("leaf", kind="stable")
         vecs, ids, out = _stack(left["vec"]), left["ids"].tolist(), []
-        leaves, where = np.unique(left["leaf"], return_inverse=True)
+        leaves, starts = np.unique(left["leaf"], return_index=True)
+        spans = list(zip(leaves.tolist(), starts.tolist(), [*starts[1:].tolist(), len(left)], strict=True))
         for at in range(0, len(right), 256):
             part = right.iloc[at : at + 256]
-            open_leaf = np.array([np.isin(leaves, own, assume_unique=True) for own in part["leaves"]])
-            scores = np.where(open_leaf[:, where], _stack(part["qvec"]) @ vecs.T, -np.inf)
+            qs, scores = _stack(part["qvec"]), np.full((len(part), len(vecs)), -np.inf)
+            own = np.concatenate([np.asarray(o) for o in part["leaves"]])
+            who = np.repeat(np.arange(len(part)), [len(o) for o in part["leaves"]])
+            by = np.argsort(own, kind="stable")
+            own, who = own[by], who[by]
+            for leaf, a, b in spans:
+                rows = who[np.searchsorted(own, leaf) : np.searchsorted(own, leaf, "right")]
+                if len(rows):
+                    scores[rows, a:b] = qs[rows] @ vecs[a:b].T
             near: list[list[tuple]] = [[] for _ in range(len(part))]
             for r, c in zip(*(i.tolist() for i in _top(scores, k)), strict=True):
                 near[r] += [(-scores[r, c], int(i)) for i in ids[c]]
             out += [(row, [{"low": s, "id": i} for s, i in sorted(m)[: k + 1]]) for row, m in zip(part["q"], near, strict=True) if m]
-        return pd.DataFrame(out, columns=["q", "near"])
+        return pd.DataFrame([(q, int(left["bin"].iloc[0]), m) for q, m in out], columns=["q", "bin", "near"])
 
     keys = ["bin", "qb"]
-    near = x.select(*keys, "leaf", "vec", "ids").groupBy(*keys).cogroup(q.select(*keys, "q", "qvec", "leaves").groupBy(*keys)).applyInPandas(compare, "q long, near array<struct<low:double,id:long>>")
+    near = x.select(*keys, "leaf", "vec", "ids").groupBy(*keys).cogroup(q.select(*keys, "q", "qvec", "leaves").groupBy(*keys)).applyInPandas(compare, "q long, bin int, near array<struct<low:double,id:long>>")
+    few = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near")
+    near = near.groupBy("q", F.pmod("bin", F.lit(64)).alias("part")).agg(few)  # in two steps, so that no row holds the answers of all bins
     best = near.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     every = asked.join(once, "vec").select("id", "q").join(best, "q")
     own = F.slice(F.filter("near", lambda m: m["id"] != F.col("id")), 1, k)
@@ -216,11 +240,12 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("m.id").alias("id"), (-F.col("m.low")).alias("score")), found
 
 
-def _calibrate(data: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> tuple[float, dict]:
-    """The margin whose leaf visits reach the recall on sampled queries, judged by brute force over all vectors."""
+def _calibrate(data: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: float) -> tuple[float, float, dict]:
+    """The margin and number of leaves whose visits reach the recall on sampled queries, judged by brute force over all vectors."""
     sample = asked.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(CALIBRATE).toPandas()
+    nothing = {"margin": 0.0, "most": 0, "leaves": tree.leaves, "mean_visits": 0.0, "recall": None}
     if not len(sample):
-        return 0.0, {"margin": 0.0, "leaves": tree.leaves, "recall": None}
+        return 0.0, 0.0, nothing
     qs, own = _stack(sample["vec"]), sample["id"].tolist()
 
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,15 +260,30 @@ def _calibrate(data: DataFrame, asked: DataFrame, tree: Tree, k: int, recall: fl
 
     near = data.mapInPandas(exact, "r int, low double, id long, leaf int")
     near = near.withColumn("rank", F.row_number().over(W.partitionBy("r").orderBy("low", "id"))).where(F.col("rank") <= k).select("r", "leaf").toPandas()
-    at = [dict(zip(*tree.visit(q, np.inf), strict=True)) for q in qs]
-    need = np.array([at[r][leaf] for r, leaf in zip(near["r"], near["leaf"], strict=True)])
-    weight = 1 / near.groupby("r")["leaf"].transform("size").to_numpy() / max(1, near["r"].nunique())
-    by = np.argsort(need, kind="stable")
-    reached = np.cumsum(weight[by])
-    i = min(int(np.searchsorted(reached, recall)), len(by) - 1) if len(by) else -1
-    margin = float(need[by[i]]) + 1e-9 if i >= 0 else 0.0
-    leaves = float(np.mean([len(tree.visit(q, margin)[0]) for q in qs]))
-    return margin, {"margin": margin, "leaves": tree.leaves, "mean_visits": leaves, "recall": float(reached[i]) if i >= 0 else None}
+    if not len(near):
+        return 0.0, 0.0, nothing
+    walks = [tree.visit(q, np.inf) for q in qs]
+    at = [{leaf: (i, d) for i, (leaf, d) in enumerate(zip(*w, strict=True))} for w in walks]
+    rank, depth = np.array([at[r][leaf] for r, leaf in zip(near["r"], near["leaf"], strict=True)]).T
+    weight = 1 / near.groupby("r")["leaf"].transform("size").to_numpy() / near["r"].nunique()
+    depths = np.array([w[1] for w in walks])  # never falling along a walk
+    best = None
+    for margin in np.unique(np.quantile(depth, np.linspace(recall, 1, 24))) + 1e-9:
+        reach = (depths <= margin).sum(1)
+        inside = depth <= margin
+        by = np.argsort(rank[inside], kind="stable")
+        got = np.cumsum(weight[inside][by])
+        i = int(np.searchsorted(got, recall - 1e-12))
+        if i < len(got):
+            most = rank[inside][by][i] + 1
+            got = weight[inside][rank[inside] < most].sum()
+            visits = np.minimum(reach, most).mean()
+            if best is None or visits < best[0]:
+                best = (visits, margin, most, got)
+    if best is None:
+        best = (tree.leaves, np.inf, tree.leaves, 1.0)
+    visits, margin, most, got = best
+    return float(margin), float(most), {"margin": float(margin), "most": int(most), "leaves": tree.leaves, "mean_visits": float(visits), "recall": float(got)}
 
 
 def op9_approximate_neighbours(spark, sf_dir: str) -> DataFrame:
