@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from threshline.llm import suffix
+from threshline.llm import induce, suffix
 
 
 def brute(texts, length):
@@ -29,7 +29,7 @@ def corpus(seed=4):
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
     shared, base = prose(90), prose(600)
-    texts = [None, "", "short", "a" * 3000, "ab" * 900, "b" + "a" * 450, base, base, base[:1500] + "X" + base[1501:], base[200:900]]
+    texts = [None, "", "short", "a" * 3000, "x" + "ab" * 215 + "y", "z" + "ab" * 201, "-=" * 900 + prose(80), "abc" * 130 + "ab" + prose(60), "ab" * 900, "b" + "a" * 450, base, base, base[:1500] + "X" + base[1501:], base[200:900]]
     texts += [prose(40) + shared + prose(40) for _ in range(12)] + [prose(300) for _ in range(10)]
     for _ in range(6):
         w = base.split()
@@ -39,20 +39,76 @@ def corpus(seed=4):
     return texts + [shared + shared, shared[:399], shared[1:401]]
 
 
-def test_suffix_array_of_random_strings():
-    rng = np.random.default_rng(0)
-    for _ in range(300):
-        t = np.append(rng.integers(1, int(rng.integers(2, 6)), int(rng.integers(1, 80))), 0)
-        assert suffix.suffix_array(t, 6, suffix._Files()).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+def naive(t, cap):
+    """Suffixes from the largest down without the last symbol's, and the common prefix of each with the one before."""
+    order = sorted(range(len(t)), key=lambda i: t[i:].tolist())[1:][::-1]
+
+    def shared(a, b):
+        k = 0
+        while k < cap and max(a, b) + k < len(t) and t[a + k] == t[b + k]:
+            k += 1
+        return k
 
+    return order, [0] + [shared(a, b) for a, b in zip(order, order[1:])]
 
-def test_files_hold_what_memory_does_not(monkeypatch):
-    monkeypatch.setattr(suffix, "IN_MEMORY", 100)
-    files = suffix._Files()
-    t = np.append(np.random.default_rng(1).integers(1, 4, 500), 0)
-    assert suffix.suffix_array(t, 4, files).tolist() == sorted(range(501), key=lambda i: t[i:].tolist())
-    assert files.folder is not None
-    files.close()
+
+def test_order_and_common_prefixes_of_random_strings(monkeypatch):
+    rng = np.random.default_rng(0)
+    for trial in range(500):
+        monkeypatch.setattr(induce, "BLOCK", int(rng.choice([2, 3, 7, 1 << 16])))
+        n, sigma, cap = int(rng.integers(1, 60)), int(rng.integers(2, 6)), int(rng.integers(1, 20))
+        t = np.append(rng.integers(1, sigma, n), 0)
+        if trial % 5 == 0:
+            t = np.append(np.tile(t[: max(1, n // 4)], 4), 0)
+        blocks = list(induce.ordered(t, sigma, cap, induce.Files(int(rng.choice([16, 1 << 30])))))
+        assert (np.concatenate([b[0] for b in blocks]).tolist(), np.concatenate([b[1] for b in blocks]).tolist()) == naive(t, cap)
+
+
+def test_a_shard_far_larger_than_its_memory(monkeypatch):
+    """With a limit of 64 KB for arrays and blocks of 2,048 records, 2 MB are sorted through files, to the same marks."""
+    rng = random.Random(7)
+    text = " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 6))) for _ in range(250_000)).encode()
+    text += text[5_000:9_000] + text[100_000:100_600]
+    parts = [np.frombuffer(text[:900_000], np.uint8), np.frombuffer(text[900_000:], np.uint8)]
+    whole = suffix.repeated_windows(parts, 400, induce.Files(1 << 30))
+    monkeypatch.setattr(induce, "BLOCK", 2048)
+    files = induce.Files(64 << 10)
+    small = suffix.repeated_windows(parts, 400, files)
+    assert files.made > 20
+    assert [w.tolist() for w in small] == [w.tolist() for w in whole]
+    assert [len(w) for w in whole] == [3601 + 201, 3601 + 201]
+
+
+def test_queues_keep_the_order_of_equal_keys(monkeypatch):
+    monkeypatch.setattr(induce, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    queue, all_, n = induce.Queue(induce.Files(64)), [], 0
+    for _ in range(60):
+        k = np.sort(rng.integers(0, 9, int(rng.integers(1, 40))))
+        queue.push(k, np.arange(n, n + len(k)))
+        all_ += zip(k.tolist(), range(n, n + len(k)), strict=True)
+        n += len(k)
+    got = []
+    for key in range(9):
+        if key % 2:
+            a, b = queue.peek(key + 1)
+            queue.drop(key + 1)
+            got += zip(a.tolist(), b.tolist(), strict=True)
+        else:
+            while queue.least() == key:
+                a, b = queue.take_equal(key, 11)
+                got += zip(a.tolist(), b.tolist(), strict=True)
+    assert got == sorted(all_) and queue.least() is None
+
+
+@pytest.mark.parametrize("unit", ["a", "-=", "abcabd", "x" * 63 + "y", "0123456789" * 8])
+def test_texts_that_repeat_themselves(unit):
+    """A text of one unit has at most a segment for each few windows; of a very short one few, and its stretch covers every window."""
+    data, local = (unit * (100_000 // len(unit))).encode(), []
+    found = list(suffix.segments(data, local))
+    assert len(found) <= len(data) // suffix.DENSE
+    if len(unit) < suffix.DENSE:
+        assert len(found) <= 100 and any(a == 0 and b == len(data) - 400 for a, b in local)
 
 
 def test_equal_windows_have_equal_anchors():
@@ -65,8 +121,9 @@ def test_equal_windows_have_equal_anchors():
     assert keys[0] == keys[1] and len(keys[0]) == len(shared) - 399
 
 
-@pytest.mark.parametrize(("hot", "stripe"), [(2048, 32), (1, 32), (1, 5)])
-def test_against_brute_force(spark, monkeypatch, hot, stripe):
+@pytest.mark.parametrize(("hot", "stripe", "passes"), [(2048, 32, 1 << 23), (1, 32, 900), (1, 5, 1 << 23)])
+def test_against_brute_force(spark, monkeypatch, hot, stripe, passes):
+    monkeypatch.setattr(suffix, "WINDOWS", passes)
     monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "STRIPE", stripe)
     monkeypatch.setattr(suffix, "PIECE", 700)
