@@ -41,7 +41,7 @@ ORACLES = {
         q AS (SELECT s.doc_id, run, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY run), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.doc_id ORDER BY run), 0))) AS piece FROM s JOIN d ON s.doc_id = d.doc_id),
         c AS (SELECT doc_id, string_agg(piece, '' ORDER BY run) AS pieces FROM q GROUP BY 1)
         SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-          sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE pieces || substr(h, 2 * last + 1) END)) AS kept_sha256
+          sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE pieces || substr(h, 2 * last + 1) END)) AS kept_sha256, t.doc_id IS NOT NULL AS repeats
         FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN c ON d.doc_id = c.doc_id""",
     "op7_warc_normalise": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
