@@ -77,15 +77,33 @@ def analyse(mail: DataFrame, link_rows: DataFrame, verdicts: DataFrame | None =
     return out.select(key, "p_text", "p_url", "p_meta", "fused", "threshold", "trust_path", "forced_by", "is_phishing", F.when(F.col("is_phishing"), "phishing").otherwise("safe").alias("verdict"), "brand", "reasons", "rep_sources")
 
 
-def analyse_attachments(attachments: DataFrame, p_text: Column | None = None) -> DataFrame:
-    """A verdict row for each attachment (id, filename, content, mime, parent_trusted)."""
-    d = files.analyse(attachments).withColumn("flags", F.col("notable_features"))
-    hosts = F.transform("extracted_urls", lambda u: F.struct(u.alias("url"), links.urls.link_host(u).alias("host")))
-    known = F.transform(hosts, lambda u: F.struct(u["url"].alias("url"), u["host"].alias("host"), links.urls.well_known_link(u["url"], u["host"]).alias("known")))
-    d = d.withColumn("worst", F.coalesce(F.array_max(F.transform(known, lambda u: links.urls.rule_score(u["url"], u["host"], u["known"]))), F.lit(0.0)))
-    worst = F.col("worst")
-    d = d.withColumns({"p_text": p_text if p_text is not None else F.lit(0.0), "p_url": worst, "url_rule_score": worst, "rep_max": F.lit(0.0), "rep_sources": F.array().cast("array<string>")})
-    return fusion.decide_attachment(d).drop("content", "flags", "worst")
+def analyse_attachments(attachments: DataFrame, verdicts: DataFrame | None = None, text_model: PipelineModel | None = None) -> DataFrame:
+    """A verdict row for each attachment (id, filename, content, mime, parent_trusted), with the members of archives that explain it.
+
+    ``verdicts`` are reputation answers for addresses, as in ``analyse``; ``text_model`` scores the extracted text.
+    Every distinct address is judged once.
+    """
+    key = "id"
+    d = files.analyse(attachments)
+    found = d.select(key, F.explode("extracted_urls").alias("url")).distinct()
+    worst = found.join(links.url_facts(found).select("url", "rule_score"), "url").groupBy(key).agg(F.max("rule_score").alias("url_rule_score"))
+    none = F.array().cast("array<string>")
+    d = d.join(worst, key, "left").withColumn("url_rule_score", F.coalesce("url_rule_score", F.lit(0.0)))
+    d = d.withColumn("p_url", F.greatest(F.lit(0.05), F.col("url_rule_score")))
+    if verdicts is not None:
+        met = found.join(verdicts, "url")
+        bad = met.where("malicious").groupBy(key).agg(F.collect_set("url").alias("bad_urls"))
+        d = d.join(fusion.summarize_reputation(met, key), key, "left").join(bad, key, "left")
+        d = d.withColumns({"rep_max": F.coalesce("rep_max", F.lit(0.0)), "rep_sources": F.coalesce("rep_sources", none), "bad_urls": F.coalesce("bad_urls", none)})
+    else:
+        d = d.withColumns({"rep_max": F.lit(0.0), "rep_sources": none, "bad_urls": none})
+    if text_model is not None:
+        scored = d.where(F.trim("extracted_text") != "").select(key, text.normalize_text(F.col("extracted_text")).alias("text"))
+        d = d.join(model.text_agent(scored, text_model).select(key, "p_text"), key, "left").withColumn("p_text", F.coalesce("p_text", F.lit(0.0)))
+    else:
+        d = d.withColumn("p_text", F.lit(0.0))
+    d = d.withColumns({"p_url": fusion.apply_reputation(F.col("p_url"), F.col("rep_max")), "flags": F.col("notable_features"), "suspicious_files": files.archive_report(F.col("names"), F.col("inner"), F.col("bad_urls"))})
+    return fusion.decide_attachment(d).drop("flags", "names", "inner", "bad_urls")
 
 
 def explain(rows: DataFrame, fitted: PipelineModel, key: str, text_col: str = "text") -> DataFrame:

@@ -41,9 +41,10 @@ _URL = r"""(?i)(?:https?://|www\.)[^\s<>"')\]]*[^\s<>"')\].,;:!?]"""
 _EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+"
 
 
-def normalize_text(text: Column, ascii_only: bool = False) -> Column:
-    """Links, addresses and phones as tags, compatibility form, long tokens dropped, spaces collapsed."""
-    t = F.left(F.coalesce(text, F.lit("")), F.lit(40_000))
+def normalize_text(text: Column, ascii_only: bool = False, most: int | None = None) -> Column:
+    """Links, addresses and phones as tags, compatibility form, long tokens dropped, spaces collapsed; of the first ``most`` characters, if given."""
+    t = F.coalesce(text, F.lit(""))
+    t = t if most is None else F.left(t, F.lit(most))
     t = t if ascii_only else F.when(t.rlike(r"[^\x00-\x7F]"), nfkc(t)).otherwise(t)
     for mark, tag in (("<|URL|>", "<URL>"), ("[URL]", "<URL>"), ("[EMAIL]", "<EMAIL>"), ("[PHONE]", "<PHONE>")):
         t = F.replace(t, F.lit(mark), F.lit(f" {tag} "))

@@ -6,8 +6,10 @@ import io
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from threshline import engine
 from threshline.functions import dims, headers, text, urls
@@ -164,11 +166,23 @@ def shared_links(spark, sf_dir):
     return hits.join(d.select("mail_id"), "mail_id", "left_semi").groupBy("mail_id", "service").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH l AS (SELECT DISTINCT mail_id, url FROM ({inputs.LINKS})), {FACTS}, s AS (SELECT l.mail_id, max(score) AS worst FROM l JOIN facts USING (url) GROUP BY 1) SELECT mail_id, round(greatest(worst, 0.05), 6) AS p_url FROM s""")
+BODIES = "SELECT page_id AS mail_id, CASE page_id % 3 WHEN 0 THEN 'see ' || url || ' or https://shop.acme.example/second/' || CAST(page_id % 7 AS STRING) || ', now' WHEN 1 THEN 'plain words' ELSE 'go to http://192.168.10.5/login or https://evil.tk/x' END AS body FROM @pages"
+
+
+@query(f"""WITH l AS (SELECT DISTINCT mail_id, url FROM ({inputs.LINKS})), {FACTS}, b AS ({BODIES}), s AS (SELECT l.mail_id, max(score) FILTER (contains(body, url)) AS seen, max(score) FILTER (NOT contains(body, url)) AS hidden FROM l JOIN facts USING (url) JOIN b USING (mail_id) GROUP BY 1)
+SELECT mail_id, round(greatest(coalesce(seen, 0.05), coalesce(hidden, 0.0)), 6) AS p_url FROM s""")
 def url_agent(spark, sf_dir):
-    d = _links(spark, sf_dir)
-    bodies = d.select("mail_id").distinct().withColumn("body", F.lit("nothing written here"))
-    return links.url_agent(d, bodies).select("mail_id", F.round("p_url", 6).alias("p_url"))
+    return links.url_agent(_links(spark, sf_dir), frame(spark, sf_dir, BODIES)).select("mail_id", F.round("p_url", 6).alias("p_url"))
+
+
+@query(f"""{PROFILE}, b AS ({BODIES}), s AS (SELECT l.mail_id, max(score) FILTER (contains(body, url)) AS seen, max(score) FILTER (NOT contains(body, url)) AS hidden, bool_or(strong) AS strong_link FROM l JOIN facts USING (url) JOIN b USING (mail_id) GROUP BY 1)
+SELECT mail_id, round(greatest(coalesce(seen, 0.05), coalesce(hidden, 0.0)), 6) AS p_url, strong_link, coalesce(aligned, 0) AS aligned, coalesce(cloud, 0) AS cloud, coalesce(other, 0) AS other FROM s LEFT JOIN p USING (mail_id)""")
+def mail_link_signs(spark, sf_dir):
+    """Link agent, strong signs and profile from one array of judged links a mail, as ``engine.analyse`` takes them."""
+    judged = links.judged_links(links.rank_links(_links(spark, sf_dir)))
+    d = judged.join(frame(spark, sf_dir, BODIES), "mail_id").withColumn("sender", F.expr(_SENDER))
+    signs = links.link_signs(F.col("links"), F.col("body"), urls.org_domain(F.col("sender")))
+    return d.select("mail_id", F.round(signs["p_url"], 6).alias("p_url"), signs["strong_link"].alias("strong_link"), *[signs[k].cast("long").alias(k) for k in ("aligned", "cloud", "other")])
 
 
 # --- reputation ----------------------------------------------------------------
@@ -259,7 +273,7 @@ def auth_delta(spark, sf_dir):
 
 
 @query(f"""WITH m AS (SELECT *, {_FROM} AS s, lower(regexp_extract(reply_to, '@([A-Za-z0-9._-]+)', 1)) AS r FROM ({inputs.MAIL})) SELECT mail_id, CAST(round(least(1.0, CASE WHEN r <> '' AND r <> s THEN 0.45 ELSE 0 END + CASE WHEN contains(coalesce(auth_header, ''), 'dkim=fail') OR contains(coalesce(auth_header, ''), 'spf=fail') THEN 0.40 ELSE 0 END
-  + CASE WHEN auth_header IS NULL THEN 0.15 ELSE 0 END + CASE WHEN mail_id % 8 IN (1, 3, 6) THEN 0.35 ELSE 0 END), 6) AS DOUBLE) AS p_meta FROM m""")
+  + CASE WHEN auth_header IS NULL THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(split_part(from_header, '<', 1)), 'paypal') AND s <> 'paypal.com' OR contains(split_part(from_header, '<', 1), 'UPS') AND s <> 'ups.com' OR contains(lower(split_part(from_header, '<', 1)), 'chronopost') AND NOT starts_with(s, 'chronopost.') THEN 0.35 ELSE 0 END), 6) AS DOUBLE) AS p_meta FROM m""")
 def metadata_rules(spark, sf_dir):
     d = frame(spark, sf_dir, inputs.MAIL)
     d = d.join(headers.impersonations(d, dims.brands(spark), native=True), "mail_id")
@@ -278,7 +292,7 @@ def impersonation(spark, sf_dir):
 
 
 @query(f"""SELECT id, regexp_matches(body, '(?im)^[ \\t]*(-{{2,}}[ \\t]*(forwarded message|original message)[ \\t]*-{{2,}}|begin forwarded message\\s*:)') OR coalesce(regexp_matches(subject, '(?i)^\\s*(fwd?|tr|wg|rv|enc)\\s*:'), false) AS detected,
-  CASE WHEN id % 6 = 0 THEN 'ann@old.example' WHEN id % 6 = 1 THEN 'bob@site.example' WHEN id % 6 = 3 AND id % 4 = 0 THEN 'carl@x.example' END AS original_sender FROM ({inputs.FORWARDS})""")
+  CASE WHEN (regexp_matches(body, '(?i)(forwarded message -+|begin forwarded message|original message --)') OR coalesce(regexp_matches(subject, '(?i)^\\s*(fwd?|tr|wg|rv|enc)\\s*:'), false)) AND regexp_matches(body, '(?im)^\\s*(from|de)\\s*:.*@') THEN lower(regexp_extract(body, '(?im)^\\s*(?:from|de)\\s*:[^@\\n]*?([^\\s<>:,;"()]+@[^\\s<>,;"()]+)', 1)) END AS original_sender FROM ({inputs.FORWARDS})""")
 def forwarded(spark, sf_dir):
     p = headers.forward_parts(F.col("body"), F.col("subject"))
     return frame(spark, sf_dir, inputs.FORWARDS).select("id", p["detected"].alias("detected"), p["original_sender"].alias("original_sender"))
@@ -429,37 +443,52 @@ def html_plain_text(spark, sf_dir):
     return frame(spark, sf_dir, "SELECT page_id, html FROM @pages").select("page_id", html.plain_text(F.col("html")).alias("text"))
 
 
-@query()
+_BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<title[^>]*>.*?</title>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '\\s+', '', 'g')"
+#: What stands for itself in a page, once white space is left out.
+_UNESCAPED = "regexp_replace(replace(replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ''), '&amp;?', '&', 'g')"
+
+
+@query(f"""SELECT page_id, sha256(regexp_replace({_UNESCAPED.format(_BARE)}, '\\s+', '', 'g')) AS letters, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(html, '{p}', 'i') THEN '{f}' END" for p, f in _FLAG_SQL)}], lambda x: x IS NOT NULL), ',') AS flags,
+  len(list_distinct(regexp_extract_all(html, '<a [^>]*href="(https?://[^"]*)"', 1))) AS n_links FROM ({PAGES})""")
 def html_pages(spark, sf_dir):
-    """Text, flags and links through the page parser."""
-    d = frame(spark, sf_dir, PAGES)
-    return d.select("page_id", html.html_text("html").alias("text"), F.array_join(html.page_flags("html"), ",").alias("flags"), F.size(html.html_links("html")["visible"]).alias("n_links"))
+    """Text (its letters), flags and links through the page parser, from one reading of each page."""
+    d = frame(spark, sf_dir, PAGES).withColumn("f", html.page_facts("html"))
+    return d.select("page_id", F.sha2(F.regexp_replace("f.text", r"[\s\x{A0}]+", ""), 256).alias("letters"), F.array_join("f.flags", ",").alias("flags"), F.size("f.visible").cast("long").alias("n_links"))
 
 
-STYLES = """SELECT page_id, CASE page_id % 8 WHEN 0 THEN 'display: none' WHEN 1 THEN 'color:#fff;background:white' WHEN 2 THEN 'visibility:hidden' WHEN 3 THEN 'font-size:0' WHEN 4 THEN 'color:red' WHEN 5 THEN 'opacity:0' WHEN 6 THEN 'font-size:14px;display:block' ELSE 'position:absolute;left:-9999px' END AS style FROM @pages"""
+#: Styles whose numbers run through both sides of every threshold.
+STYLES = """SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'font-size:' || n || 'px' WHEN 1 THEN 'opacity:0.0' || CAST(page_id % 10 AS STRING) WHEN 2 THEN 'color:rgb(' || g || ',' || g || ',' || g || ')' WHEN 3 THEN 'position:absolute;left:-' || far || 'px'
+  WHEN 4 THEN 'left:-' || far || 'px' WHEN 5 THEN 'overflow:hidden;max-height:' || n || 'px' WHEN 6 THEN 'text-indent:-' || far || 'px' WHEN 7 THEN 'color:#000;background:rgb(' || k || ',' || k || ',' || k || ')' ELSE 'clip-path:inset(' || CAST(page_id % 100 AS STRING) || '%)' END AS style
+FROM (SELECT page_id, CAST(page_id % 5 AS STRING) AS n, CAST(255 - page_id % 60 AS STRING) AS g, CAST(page_id % 60 AS STRING) AS k, CAST(page_id * 7 % 1200 AS STRING) AS far FROM @pages)"""
+_NUMBER = "CAST(regexp_extract(style, '([0-9.]+)[^0-9.]*$', 1) AS DOUBLE)"
+_LIGHT = f"(CASE WHEN {_NUMBER} / 255 <= 0.04045 THEN {_NUMBER} / 255 / 12.92 ELSE pow(({_NUMBER} / 255 + 0.055) / 1.055, 2.4) END)"
 
 
-@query(f"SELECT page_id, page_id % 8 NOT IN (4, 6) AS hidden FROM ({STYLES})")
+@query(f"""SELECT page_id, CASE WHEN starts_with(style, 'font-size') THEN {_NUMBER} < 2 WHEN starts_with(style, 'opacity') THEN {_NUMBER} <= 0.05 WHEN starts_with(style, 'color:rgb') THEN 1.05 / ({_LIGHT} + 0.05) < 1.2 WHEN starts_with(style, 'position') OR starts_with(style, 'text-indent') THEN {_NUMBER} >= 500
+  WHEN starts_with(style, 'left') THEN false WHEN starts_with(style, 'overflow') THEN {_NUMBER} < 1 WHEN starts_with(style, 'color:#000') THEN ({_LIGHT} + 0.05) / 0.05 < 1.2 ELSE {_NUMBER} >= 50 END AS hidden FROM ({STYLES})""")
 def hidden_style(spark, sf_dir):
     return frame(spark, sf_dir, STYLES).select("page_id", html.is_hidden_style("style").alias("hidden"))
 
 
-MARKED = "SELECT page_id, CASE page_id % 4 WHEN 0 THEN '%PDF-1.4 /OpenAction /JS (x) /URI (http://a.example/x)' WHEN 1 THEN '%PDF-1.7 /Launch /EmbeddedFile' WHEN 2 THEN '%PDF-1.5 plain' ELSE '%PDF-1.5 /AcroForm /SubmitForm' END AS body FROM @pages"
+#: PDFs with the markers that the bits of a number choose, and a line of text shown by a content stream.
+MARKED = "SELECT page_id, '%PDF-1.5 ' || " + " || ".join(f"CASE WHEN CAST(floor(page_id * 37 / {1 << i}) AS BIGINT) % 2 = 1 THEN '{m} (x) ' ELSE '' END" for i, m in enumerate(dims.PDF_MARKERS)) + " || '<< /Length 9 >> stream' || chr(10) || 'BT (page ' || CAST(page_id AS STRING) || ') Tj ET' || chr(10) || 'endstream' AS body FROM @pages"
+_MARKS = "[" + ", ".join(f"CASE WHEN contains(body, '{m}') THEN '{f}' END" for m, f in dims.PDF_MARKERS.items()) + "]"
 
 
-@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'contains_javascript,auto_execute_on_open,contains_link_annotation' WHEN 1 THEN 'launch_external_action,embeds_another_file' WHEN 2 THEN '' ELSE 'contains_form,submits_form_to_url' END AS flags, 'application/pdf' AS type FROM ({MARKED})")
+@query(f"SELECT page_id, array_to_string(list_filter(list_transform({_MARKS}, lambda x, i: CASE WHEN list_position({_MARKS}, x) = i THEN x END), lambda x: x IS NOT NULL), ',') AS flags, 'application/pdf' AS type, 'page ' || CAST(page_id AS STRING) AS shown FROM ({MARKED})")
 def pdf_markers(spark, sf_dir):
     d = frame(spark, sf_dir, MARKED).withColumn("raw", F.col("body").cast("binary"))
-    return d.select("page_id", F.array_join(files.pdf_markers(F.col("raw")), ",").alias("flags"), files.sniff_type(F.lit("a.txt"), F.col("raw"), F.lit("text/plain")).alias("type"))
+    return d.select("page_id", F.array_join(files.pdf_markers(F.col("raw")), ",").alias("flags"), files.sniff_type(F.lit("a.txt"), F.col("raw"), F.lit("text/plain")).alias("type"), files.file_facts(F.lit("pdf"), F.col("raw"))["extracted_text"].alias("shown"))
 
 
-CALENDAR = "SELECT conv_id, turn, 'BEGIN:VEVENT' || chr(10) || 'SUMMARY:' || role || chr(10) || 'ORGANIZER;CN=x:mailto:boss@acme.example' || chr(10) || 'LOCATION:https://meet.example/' || chr(10) || ' ' || CAST(turn AS STRING) || chr(10) || 'END:VEVENT' AS body FROM @conversations"
+CALENDAR = "SELECT conv_id, turn, 'BEGIN:VEVENT' || chr(10) || 'SUMMARY:' || role || chr(10) || 'ORGANIZER;CN=x:mailto:u' || CAST(conv_id % 97 AS STRING) || '@acme.example' || chr(10) || CASE conv_id % 3 WHEN 0 THEN 'LOCATION:room ' || CAST(turn AS STRING) ELSE 'LOCATION:https://meet.example/' || chr(10) || ' ' || CAST(turn AS STRING) END || chr(10) || 'END:VEVENT' AS body FROM @conversations"
 
 
-@query(f"SELECT conv_id, turn, 'boss@acme.example' AS organizer, 'https://meet.example/' || CAST(turn AS STRING) AS urls, 'calendar_invite,calendar_with_links' AS flags FROM ({CALENDAR})")
+@query(f"""SELECT conv_id, turn, regexp_extract(body, 'mailto:(.*)', 1) AS organizer, array_to_string(list_distinct(regexp_extract_all(replace(body, chr(10) || ' ', ''), 'https?://[^ \\n]+')), ',') AS urls, CASE WHEN contains(body, 'https://') THEN 'calendar_invite,calendar_with_links' ELSE 'calendar_invite' END AS flags,
+  array_to_string(list_filter(list_transform(string_split(replace(body, chr(10) || ' ', ''), chr(10)), lambda x: regexp_extract(x, '^(?:SUMMARY|LOCATION):(.*)$', 1)), lambda x: x <> ''), ' | ') AS shown FROM ({CALENDAR})""")
 def calendar(spark, sf_dir):
     c = files.calendar_facts(F.col("body").cast("binary"))
-    return frame(spark, sf_dir, CALENDAR).select("conv_id", "turn", c["organizer"].alias("organizer"), F.array_join(c["extracted_urls"], ",").alias("urls"), F.array_join(c["notable_features"], ",").alias("flags"))
+    return frame(spark, sf_dir, CALENDAR).select("conv_id", "turn", c["organizer"].alias("organizer"), F.array_join(c["extracted_urls"], ",").alias("urls"), F.array_join(c["notable_features"], ",").alias("flags"), F.replace(c["extracted_text"], F.lit("\n"), F.lit(" | ")).alias("shown"))
 
 
 def _zip(members: dict[str, bytes]) -> bytes:
@@ -470,34 +499,63 @@ def _zip(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def _attachments(spark: SparkSession) -> DataFrame:
-    word = {"[Content_Types].xml": b"<Types/>", "word/document.xml": b'<w:document xmlns:w="w"><w:p><w:t>Pay at https://pay.evil.tk/x now</w:t></w:p></w:document>', "word/vbaProject.bin": b"x"}
-    rows = [
-        (1, "files.zip", _zip({"invoice.pdf.exe": b"MZ", "readme.txt": b"hello", "page.html": b"<form></form>"}), None), (2, "letter.docx", _zip(word), None), (3, "page.html", b"<html><form><input type='PASSWORD'></form><a href='https://a.example'>x</a></html>", None),
-        (4, "a.rar", b"Rar!\x1a\x07\x00rest", None), (5, "setup.exe", b"MZ", None), (6, "x.iso", b"CD001", None), (7, "notes.txt", b"see https://b.example.", "text/plain"), (8, "invite.ics", b"BEGIN:VEVENT\nSUMMARY:x\nEND:VEVENT", None), (9, "scan.pdf", b"%PDF-1.4 /JS", None), (10, "blob", b"\x00\x01", "application/x; q=1"),
-    ]
-    return spark.createDataFrame(rows, "id int, filename string, content binary, mime string").withColumn("parent_trusted", F.lit(False))
+@F.pandas_udf(T.BinaryType())
+def _zipped(pages: pd.Series) -> pd.Series:
+    """An archive with a page, a note and a program that looks like an invoice."""
+    return pages.map(lambda p: _zip({"docs/page.html": p.encode(), "invoice.pdf.exe": b"MZ", "note.txt": b"see https://note.example/x now"}))
 
 
-@query()
+#: The pages as attachments of six kinds, each with a link of its own.
+FILES = f"""SELECT page_id AS id, page_id % 6 AS k, CASE page_id % 6 WHEN 0 THEN 'page.html' WHEN 1 THEN 'files.zip' WHEN 2 THEN 'invite.ics' WHEN 3 THEN 'notes.txt' WHEN 4 THEN 'scan.pdf' ELSE 'setup.pdf.exe' END AS filename,
+  CASE page_id % 6 WHEN 2 THEN 'BEGIN:VEVENT' || chr(10) || 'SUMMARY:https://own.example/' || CAST(page_id AS STRING) || chr(10) || 'END:VEVENT' WHEN 3 THEN 'see https://own.example/' || CAST(page_id AS STRING) || ' for more'
+    WHEN 4 THEN '%PDF-1.4 /OpenAction /URI (https://own.example/' || CAST(page_id AS STRING) || ')' WHEN 5 THEN 'MZ' ELSE html || '<a href="https://own.example/' || CAST(page_id AS STRING) || '">x</a>' END AS body, page_id % 2 = 0 AS parent_trusted FROM ({PAGES})"""
+_PAGE_FLAGS = ", ".join(f"CASE WHEN k < 2 AND regexp_matches(body, '{p}', 'i') THEN '{f}' END" for p, f in _FLAG_SQL)
+
+
+@query(f"""WITH f AS (SELECT *, list_filter([CASE WHEN k = 1 THEN 'double_extension' WHEN k = 5 THEN 'dangerous_file_type' WHEN k = 2 THEN 'calendar_invite' WHEN k = 4 THEN 'auto_execute_on_open' END, CASE WHEN k = 1 THEN 'executable_in_archive' WHEN k = 5 THEN 'double_extension' WHEN k = 2 AND contains(body, 'https://') THEN 'calendar_with_links' WHEN k = 4 AND contains(body, '/URI') THEN 'contains_link_annotation' END, {_PAGE_FLAGS}], lambda x: x IS NOT NULL) AS fl FROM ({FILES}))
+SELECT id, CASE k WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'text/calendar' WHEN 3 THEN 'text/plain' WHEN 4 THEN 'application/pdf' ELSE 'application/octet-stream' END AS type, CASE k WHEN 0 THEN 'page' WHEN 1 THEN 'archive_zip' WHEN 2 THEN 'calendar' WHEN 3 THEN 'text' WHEN 4 THEN 'pdf' ELSE 'executable' END AS kind,
+  array_to_string(fl, ',') AS flags, k <> 5 AS own_link, array_to_string(list_sort(list_filter(fl, lambda x: x IN {_in(dims.DROPPERS)})), ',') AS dropper, CASE WHEN parent_trusted AND k NOT IN (1, 5) THEN 'parent_trusted' ELSE 'default' END AS trust_path,
+  CASE WHEN k = 1 THEN 'invoice.pdf.exe: fake extension, program' || CASE WHEN list_contains(fl, 'contains_password_field') OR list_contains(fl, 'contains_javascript') THEN ' | docs/page.html: ' || array_to_string(list_filter([CASE WHEN list_contains(fl, 'contains_password_field') THEN 'password form' END, CASE WHEN list_contains(fl, 'contains_javascript') THEN 'JavaScript' END], lambda x: x IS NOT NULL), ', ') ELSE '' END ELSE '' END AS members FROM f""")
 def attachments(spark, sf_dir):
-    d = engine.analyse_attachments(_attachments(spark))
-    return d.select("id", "type", "kind", F.array_join("notable_features", ",").alias("flags"), F.array_join("extracted_urls", ",").alias("urls"), F.round("fused", 6).alias("fused"), "is_phishing")
+    d = frame(spark, sf_dir, FILES)
+    content = F.when(F.col("k") == 1, _zipped(F.when(F.col("k") == 1, F.col("body")).otherwise(""))).otherwise(F.col("body").cast("binary"))
+    d = engine.analyse_attachments(d.select("id", "filename", content.alias("content"), F.lit(None).cast("string").alias("mime"), "parent_trusted"))
+    own = F.array_contains("extracted_urls", F.concat(F.lit("https://own.example/"), F.col("id").cast("string")))
+    rows = F.array_sort(F.transform("suspicious_files", lambda x: F.struct((-F.size(x["reasons"])).alias("n"), (x["name"] != "invoice.pdf.exe").alias("o"), F.concat(x["name"], F.lit(": "), F.array_join(x["reasons"], ", ")).alias("t"))))
+    members = F.array_join(F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(x["o"].alias("o"), x["t"].alias("t")))), lambda x: x["t"]), " | ")
+    return d.select("id", "type", "kind", F.array_join("notable_features", ",").alias("flags"), own.alias("own_link"), F.array_join("dropper", ",").alias("dropper"), "trust_path", members.alias("members"))
 
 
-@query()
+@query(f"SELECT id, 3 AS entry_count, 'double_extension,executable_in_archive' AS flags, 'docs/page.html,note.txt' AS inner, length(body) AS page_chars FROM ({FILES}) WHERE k = 1")
 def zip_members(spark, sf_dir):
-    d = files.analyse_zip(_attachments(spark).where("filename = 'files.zip'"))
-    return d.select("id", "entry_count", F.array_join("notable_features", ",").alias("flags"), F.array_join(files.choose_inner(F.col("entries")), ",").alias("inner"))
+    """The archives' listings, the members that are opened, and a member's size against the page that went in."""
+    d = frame(spark, sf_dir, FILES).where("k = 1").select("id", "body", _zipped("body").alias("content"))
+    z = files.analyse_zip(d)
+    size = F.element_at(F.filter("entries", lambda e: e["name"] == "docs/page.html"), 1)["size"]
+    ok = F.when(size == F.octet_length("body"), F.length("body"))
+    return z.select("id", "entry_count", F.array_join("notable_features", ",").alias("flags"), F.array_join(files.choose_inner(F.col("entries")), ",").alias("inner"), ok.cast("long").alias("page_chars"))
 
 
-@query()
+@query(f"SELECT mail_id, length(coalesce(body, '')) AS n_body, coalesce(subject, '') AS subject, false AS from_unproven, sha256(coalesce(body, '')) AS body_sha256 FROM ({inputs.MAIL})")
 def mail_parsing(spark, sf_dir):
     """The documents as raw mail, parsed back."""
     d = frame(spark, sf_dir, inputs.MAIL)
     raw = F.concat(F.lit("From: "), "from_header", F.lit("\nSubject: "), F.coalesce("subject", F.lit("")), F.lit("\nContent-Type: text/plain; charset=utf-8\n\n"), F.coalesce("body", F.lit(""))).cast("binary")
     p = mail.parse_mail(d.select("mail_id", raw.alias("raw")))
-    return p.select("mail_id", F.length("body").alias("n_body"), F.try_element_at(headers.header_map(F.col("headers")), F.lit("subject")).alias("subject"), "from_unproven")
+    return p.select("mail_id", F.length("body").alias("n_body"), F.try_element_at(headers.header_map(F.col("headers")), F.lit("subject")).alias("subject"), "from_unproven", F.sha2("body", 256).alias("body_sha256"))
+
+
+#: Mails of two parts, the text in base64 and a page with a link that shows and one that does not.
+TWO_PARTS = "SELECT page_id AS mail_id, page_id % 2 AS twice, 'https://seen.example/' || CAST(page_id AS STRING) AS seen, 'https://unseen.example/' || CAST(page_id % 9 AS STRING) AS unseen, 'text of ' || url AS words FROM @pages"
+
+
+@query(f"SELECT mail_id, 0 AS grp, 0 AS pos, seen AS url FROM ({TWO_PARTS}) UNION ALL SELECT mail_id, 1, 0, unseen FROM ({TWO_PARTS}) UNION ALL SELECT mail_id, 2, 0, regexp_extract(words, 'https?://.*') FROM ({TWO_PARTS})")
+def mail_link_groups(spark, sf_dir):
+    d = frame(spark, sf_dir, TWO_PARTS)
+    page = F.concat(F.lit("<p>hello <a href='"), "seen", F.lit("'>here</a></p><div style='display:none'><a href='"), "unseen", F.lit("'>there</a></div>"))
+    part = lambda kind, body: F.concat(F.lit(f"--q\r\nContent-Type: {kind}; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n"), F.base64(F.encode(body, "UTF-8")), F.lit("\r\n"))
+    raw = F.concat(F.lit("From: a@b.example\r\n"), F.when(F.col("twice") == 1, F.lit("From: c@d.example\r\n")).otherwise(""), F.lit("MIME-Version: 1.0\r\nContent-Type: multipart/alternative; boundary=q\r\n\r\n"), part("text/plain", F.col("words")), part("text/html", page), F.lit("--q--\r\n"))
+    return mail.mail_links(mail.parse_mail(d.select("mail_id", raw.cast("binary").alias("raw"))))
 
 
 # --- evaluation and insights -------------------------------------------------------
@@ -588,11 +646,11 @@ _STOP = ["the", "and", "les", "que", "der", "die"]
 TOKENS = "SELECT CASE WHEN doc_id % 3 = 0 THEN 'phishing' ELSE 'safe' END AS verdict, text, doc_id FROM @documents"
 
 
-@query(f"""WITH w AS (SELECT lower(unnest(string_split(left(coalesce(text, ''), 2000), ' '))) AS token, CAST(1 + doc_id % 3 AS DOUBLE) AS w FROM ({TOKENS}) WHERE verdict = 'phishing')
+@query(f"""WITH w AS (SELECT lower(unnest(string_split(coalesce(text, ''), ' '))) AS token, CAST(1 + doc_id % 3 AS DOUBLE) AS w FROM ({TOKENS}) WHERE verdict = 'phishing')
 SELECT token, sum(w) AS weight FROM w WHERE length(token) >= 3 AND NOT regexp_matches(token, '^[0-9]+(px|em|pt|%)?$') AND token NOT IN {_in(_STOP)} GROUP BY 1 ORDER BY weight DESC, token LIMIT 12""")
 def top_tokens(spark, sf_dir):
     d = frame(spark, sf_dir, TOKENS)
-    tokens = F.transform(F.split(F.left(F.coalesce("text", F.lit("")), F.lit(2000)), " "), lambda t: F.struct(t.alias("token"), (1 + F.col("doc_id") % 3).cast("double").alias("weight")))
+    tokens = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda t: F.struct(t.alias("token"), (1 + F.col("doc_id") % 3).cast("double").alias("weight")))
     return insights.top_tokens(d.withColumn("tokens", tokens), _STOP)
 
 

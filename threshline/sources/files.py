@@ -10,6 +10,7 @@ import re
 import struct
 import unicodedata
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -264,21 +265,6 @@ def ole_facts(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([legacy_office(bytes(c or b"")) for c in contents], columns=["notable_features", "extracted_urls"])
 
 
-@F.pandas_udf(T.BinaryType())
-def unzipped(contents: pd.Series) -> pd.Series:
-    """Gzip content inflated, within 20 MB; other content as it is."""
-
-    def one(c: bytes | None) -> bytes | None:
-        if not c or bytes(c[:2]) != b"\x1f\x8b":
-            return c
-        try:
-            return gzip.GzipFile(fileobj=io.BytesIO(bytes(c))).read(20 << 20)
-        except (OSError, EOFError):
-            return c
-
-    return contents.map(one)
-
-
 def mime_pages(content: bytes) -> dict:
     """A web archive or saved mail: its pages read as pages, its plain text where it has none, its other files named."""
     from threshline.sources import html
@@ -331,14 +317,176 @@ def merged_flags(a: Column, b: Column) -> Column:
     return F.array_union(F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>")))
 
 
+_PDF_STREAM = re.compile(rb"<<((?:[^<>]|<(?!<)|>(?!>)|<<[^<>]*>>){0,4000})>>\s*stream\r?\n")
+_PDF_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(T\*|Td|TD|ET)\b", re.S)
+_PDF_ESCAPE = {b"n": b"\n", b"r": b"\n", b"t": b" ", b"b": b"", b"f": b""}
+
+
+def pdf_streams(content: bytes, most: int = 20 << 20) -> list[bytes]:
+    """A PDF's streams, inflated where they are deflated, within a total size."""
+    out, left = [], most
+    for m in _PDF_STREAM.finditer(content):
+        end = content.find(b"endstream", m.end())
+        raw = content[m.end() : end if end >= 0 else len(content)]
+        if b"FlateDecode" in m[1]:
+            try:
+                raw = zlib.decompressobj().decompress(raw, left)
+            except zlib.error:
+                continue
+        elif b"/Filter" in m[1]:
+            continue
+        out.append(raw[:left])
+        left -= len(out[-1])
+        if left <= 0:
+            break
+    return out
+
+
+def pdf_facts(content: bytes) -> dict:
+    """Text that a PDF's plain content streams show, its links, and the flags of its markers, in streams too."""
+    streams = pdf_streams(content)
+    plain = lambda raw: re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPE.get(m[1], m[1]), raw, flags=re.S)
+    shown = []
+    for raw in streams:
+        if b"Tj" not in raw and b"TJ" not in raw:
+            continue
+        for m in _PDF_SHOWN.finditer(raw):
+            if m[3]:
+                shown.append("\n")
+            elif m[1] is not None:
+                shown.append(plain(m[1]).decode("latin-1"))
+            else:
+                shown += [plain(x).decode("latin-1") for x in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", m[2])]
+    body = "\n".join(x for x in (" ".join(line.split()) for line in "".join(shown).split("\n")) if x)[:20_000]
+    every = [content, *streams]
+    links = [u.decode("latin-1") for raw in every for u in re.findall(rb"/URI\s*\(([^()\\]{1,2048})\)", raw)] + re.findall(r"https?://[^\s\"'<>)\]}]+", body)
+    flags = [flag for mark, flag in dims.PDF_MARKERS.items() if any(mark.encode() in raw for raw in every)]
+    return {"extracted_text": body, "extracted_urls": list(dict.fromkeys(links))[:200], "notable_features": list(dict.fromkeys(flags))}
+
+
+def page_source(content: bytes) -> dict:
+    from threshline.sources import html
+
+    if content[:2] == b"\x1f\x8b":
+        try:
+            content = gzip.GzipFile(fileobj=io.BytesIO(content)).read(20 << 20)
+        except (OSError, EOFError):
+            pass
+    shown, visible, _, flags = html.told(content.decode("utf-8", "replace"))
+    return {"extracted_text": shown, "extracted_urls": visible, "notable_features": flags}
+
+
+def plain_file(content: bytes) -> dict:
+    body = content.decode("utf-8", "replace")
+    return {"extracted_text": body[:20_000], "extracted_urls": list(dict.fromkeys(re.findall(r"https?://[^\s\"'<>)\]}]+", body)))[:200], "notable_features": []}
+
+
+def invite_file(content: bytes) -> dict:
+    body = re.sub(r"\r?\n[ \t]", "", content.decode("utf-8", "replace")).replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";")
+    found = list(dict.fromkeys(re.findall(r"https?://[^\s\"'<>)\]}]+", body)))[:200]
+    return {"extracted_text": body[:20_000], "extracted_urls": found, "notable_features": ["calendar_invite", *(["calendar_with_links"] if found else [])]}
+
+
+#: Readers of the members of an archive, by extension; more telling kinds are opened first.
+INNER_READERS = dict(zip(INNER_ORDER[:5], (page_source, pdf_facts, office_package, invite_file, plain_file), strict=True))
+
+
+def inner_reader(name: str, content: bytes):
+    ext = name.rpartition(".")[2].lower()
+    if content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
+        return legacy_office
+    if content[:5] == b"%PDF-":
+        return pdf_facts
+    if ext in ("eml", "mht", "mhtml"):
+        return mime_pages
+    return next((r for k, r in INNER_READERS.items() if ext in k.split()), None)
+
+
+def zip_contents(content: bytes) -> dict:
+    """An archive's listing with its flags, and the facts of the members that are opened."""
+    listing = zip_listing(content)
+    flags, inner, total = list(listing["flags"]), [], 0
+    kind = lambda n: next((i for i, k in enumerate(INNER_ORDER) if n.rpartition(".")[2].lower() in k.split()), None)
+    known = [(kind(e["name"]), i, e) for i, e in enumerate(listing["entries"]) if not e["is_dir"] and "." in e["name"] and kind(e["name"]) is not None]
+    for _, _, e in sorted(known, key=lambda x: x[:2]):
+        if len(inner) >= INNER:
+            break
+        if e["size"] > INNER_BYTES or total + e["size"] > TOTAL:
+            flags.append("oversized_inner_file")
+            continue
+        if e["size"] / max(e["packed"], 1) > RATIO:
+            flags.append("zip_bomb_suspected")
+            continue
+        total += e["size"]
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(e["name"]) as f:
+                data = f.read(INNER_BYTES)
+            reader = inner_reader(e["name"], data)
+            facts = reader(data) if reader else {}
+        except (zipfile.BadZipFile, NotImplementedError, RuntimeError, ValueError, KeyError, EOFError, OSError, zlib.error, struct.error):
+            flags.append("inner_files_not_extracted")
+            continue
+        inner.append({"name": e["plain"], "extracted_text": facts.get("extracted_text", ""), "extracted_urls": facts.get("extracted_urls", []), "notable_features": facts.get("notable_features", [])})
+    own = [x for i in inner for x in i["notable_features"]]
+    return {
+        "names": [e["plain"] for e in listing["entries"] if not e["is_dir"]], "inner": inner, "extracted_text": "\n".join(i["extracted_text"] for i in inner if i["extracted_text"])[:20_000],
+        "extracted_urls": list(dict.fromkeys(u for i in inner for u in i["extracted_urls"]))[:200], "notable_features": list(dict.fromkeys([*flags, *own])),
+    }
+
+
+def any_file(kind: str, content: bytes) -> dict:
+    """The facts of a file of a kind that Python reads."""
+    if kind == "archive_zip":
+        got, office = zip_contents(content), office_package(content)
+        if office["kind"]:  # an Office file under another name is both
+            got |= {k: office[k] for k in ("extracted_text", "extracted_urls")} | {"notable_features": list(dict.fromkeys([*got["notable_features"], *office["notable_features"]]))}
+        return got
+    return {"pdf": pdf_facts, "office": office_package, "office_legacy": legacy_office, "mime": mime_pages, "page": page_source}[kind](content)
+
+
+_FACTS = T.StructType().add("names", _WORDS).add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)
+_FACTS = _FACTS.add("inner", T.ArrayType(T.StructType([f for f in T.StructType().add("name", "string").add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)])))
+
+
+@F.pandas_udf(_FACTS)
+def file_facts(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    """One reading of each file by its kind; files without content have no facts."""
+    none = {"names": [], "extracted_text": "", "extracted_urls": [], "notable_features": [], "inner": []}
+    return pd.DataFrame([none | {k: v for k, v in any_file(k, bytes(c)).items() if k in none} if c is not None else none for k, c in zip(kinds, contents, strict=True)], columns=list(none))
+
+
+#: Flags of inner files that explain a verdict (fixed values).
+INNER_REASONS = {
+    "contains_macros": "macros", "remote_template": "remote template", "dde_field": "DDE field", "contains_activex": "ActiveX control", "embedded_ole_object": "embedded object", "contains_javascript": "JavaScript",
+    "auto_execute_on_open": "runs on open", "launch_external_action": "launches a program", "contains_password_field": "password form", "submits_form_to_url": "sends a form", "encrypted_document": "password-protected", "contains_qr_code": "QR code",
+}
+
+
+def archive_report(names: Column, inner: Column, bad_urls: Column) -> Column:
+    """Members that explain a verdict, (name, reasons), most reasons first, twenty at most: risky names, risky contents, flagged links."""
+    table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])
+    reasons = lambda flags, d: F.filter(F.transform(flags, lambda f: F.try_element_at(table(d), f)), lambda r: r.isNotNull())
+    flagged = lambda u: F.when(F.arrays_overlap(u, bad_urls), F.array(F.lit("flagged link"))).otherwise(F.array().cast("array<string>"))
+
+    def row(name: Column, i: Column) -> Column:
+        own = F.filter(inner, lambda x: x["name"] == name)
+        more = F.flatten(F.transform(own, lambda x: F.concat(reasons(x["notable_features"], INNER_REASONS), flagged(x["extracted_urls"]))))
+        all_ = F.array_distinct(F.concat(reasons(text.name_flags(name, True), dims.NAME_REASONS), more))
+        return F.struct((-F.size(all_)).alias("n"), i.alias("at"), name.alias("name"), all_.alias("reasons"))
+
+    rows = F.array_sort(F.filter(F.transform(names, row), lambda x: x["n"] < 0))
+    return F.transform(F.slice(rows, 1, 20), lambda x: F.struct(x["name"].alias("name"), x["reasons"].alias("reasons")))
+
+
 #: What can run without further programs: the rest is reported, not read.
-CAPABILITIES = {"html": True, "zip": True, "ooxml": True, "ole": True, "ics": True, "pdf_markers": True, "pdf_text": False, "ocr": False, "qr": False, "rar": False, "7z": False}
+CAPABILITIES = {"html": True, "zip": True, "ooxml": True, "ole": True, "ics": True, "pdf_markers": True, "pdf_text": True, "ocr": False, "qr": False, "rar": False, "7z": False}
 
 
 def analyse(files: DataFrame) -> DataFrame:
-    """(…, type, kind, notable_features, extracted_text, extracted_urls) of attachments (id, filename, content, mime)."""
-    from threshline.sources import html
+    """(…, type, kind, notable_features, extracted_text, extracted_urls, names, inner) of attachments (id, filename, content, mime), without their content.
 
+    One pass: types by built-in functions, then one reading of each file by its kind.
+    """
     none, blank = F.array().cast("array<string>"), F.lit("")
     d = files.withColumn("type", sniff_type(F.col("filename"), F.col("content"), F.col("mime"))).withColumn("danger", dangerous_type(F.col("filename"))).withColumn("packed", archive_kind(F.col("content")))
     kind = F.when(F.col("danger").isNotNull(), F.when(F.array_contains("danger", "disk_image_attachment"), "disk_image").otherwise("executable"))
@@ -346,21 +494,12 @@ def analyse(files: DataFrame) -> DataFrame:
     kind = kind.when(F.col("type") == "application/zip", "archive_zip").when(F.col("type") == "text/calendar", "calendar").when(F.col("type").isin("text/html", "application/xhtml+xml", "image/svg+xml"), "page").when(F.col("type").isin("multipart/related", "message/rfc822"), "mime").when(F.col("type").startswith("image/"), "image").when(F.col("type").startswith("text/"), "text").otherwise("unsupported")
     d = d.withColumn("kind", kind)
     own = lambda *k: F.when(F.col("kind").isin(*k), F.col("content"))
-    # one pass: each reader gets the content of its own kind and null for all others
-    d = d.withColumns({"_office": ooxml_facts(own("office", "archive_zip")), "_ole": ole_facts(own("office_legacy")), "_zip": zip_facts(own("archive_zip")), "_mime": mime_facts(own("mime")), "_page": unzipped(own("page"))})
-    d = d.withColumn("_page", F.decode("_page", "UTF-8")).withColumn("_plain", F.decode(own("text"), "UTF-8"))
-    d = d.withColumns({"_flags": html.page_flags("_page"), "_text": html.html_text("_page"), "_links": html.html_links("_page"), "_ics": F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()])})
+    d = d.withColumn("_f", file_facts(F.col("kind"), own("pdf", "office", "office_legacy", "archive_zip", "mime", "page"))).withColumn("_plain", F.decode(own("text"), "UTF-8"))
+    d = d.withColumn("_ics", F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()]))
     is_kind = lambda *k: F.col("kind").isin(*k)
-    names = F.transform(F.filter("_zip.entries", lambda e: ~e["is_dir"]), lambda e: e["plain"])
-    package = is_kind("archive_zip") & F.col("_office.kind").isNotNull()  # an Office file under another name is both
-    features = (
-        F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("pdf"), pdf_markers(F.col("content"))).when(is_kind("office"), F.col("_office.notable_features"))
-        .when(is_kind("office_legacy"), F.col("_ole.notable_features")).when(is_kind("archive_zip"), F.array_distinct(F.concat(text.classify_names(names, True), F.col("_zip.flags"), F.when(package, F.col("_office.notable_features")).otherwise(none)))).when(is_kind("calendar"), F.col("_ics.notable_features")).when(is_kind("page"), F.col("_flags"))
-        .when(is_kind("mime"), F.array_distinct(F.concat(text.classify_names(F.col("_mime.names"), True), F.col("_mime.notable_features")))).otherwise(none)
-    )
-    body = F.when(is_kind("office") | package, F.col("_office.extracted_text")).when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("page"), F.col("_text")).when(is_kind("mime"), F.col("_mime.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(blank)
-    found = (
-        F.when(is_kind("pdf"), pdf_links(F.col("content"))).when(is_kind("office") | package, F.col("_office.extracted_urls")).when(is_kind("office_legacy"), F.col("_ole.extracted_urls")).when(is_kind("calendar"), F.col("_ics.extracted_urls"))
-        .when(is_kind("page"), F.col("_links.visible")).when(is_kind("mime"), F.col("_mime.extracted_urls")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(none)
-    )
-    return d.select(*files.columns, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"))
+    named = F.when(is_kind("archive_zip", "mime"), text.classify_names(F.col("_f.names"), True)).otherwise(none)
+    features = F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("calendar"), F.col("_ics.notable_features")).otherwise(F.array_distinct(F.concat(named, F.col("_f.notable_features"))))
+    body = F.when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(F.coalesce("_f.extracted_text", blank))
+    found = F.when(is_kind("calendar"), F.col("_ics.extracted_urls")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(F.col("_f.extracted_urls"))
+    kept = [c for c in files.columns if c != "content"]
+    return d.select(*kept, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"), F.col("_f.names").alias("names"), F.col("_f.inner").alias("inner"))

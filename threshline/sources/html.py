@@ -398,18 +398,20 @@ def _tidy(parts: list[str]) -> str:
 
 def to_text(page: str) -> str:
     """Visible text with a line for each block, hidden text after it."""
-    return _told(read(page))[0]
+    return told(page)[0]
 
 
 def link_groups(page: str) -> tuple[list[str], list[str]]:
     """Link targets of visible and of hidden elements."""
-    return _told(read(page))[1:3]
+    return told(page)[1:3]
 
 
 FLAGS = [("form", "contains_form"), ("password", "contains_password_field"), ("script", "contains_javascript"), ("iframe", "contains_iframe"), ("refresh", "meta_refresh_redirect"), ("smuggle", "embeds_another_file")]
 
 
-def _told(p: _Page) -> tuple[str, list[str], list[str], list[str]]:
+def told(page: str) -> tuple[str, list[str], list[str], list[str]]:
+    """Text, links of visible and of hidden elements, and flags of a page, read once."""
+    p = read(page)
     clean = lambda xs: list(dict.fromkeys(u for u in (unescape(x).strip() for x in xs) if re.match(r"\s*(?:https?:|//)", u, re.I)))
     return "\n".join(t for t in (_tidy(p.shown), _tidy(p.unseen)) if t), clean(p.links[0]), clean(p.links[1]), [flag for fact, flag in FLAGS if fact in p.facts]
 
@@ -420,12 +422,12 @@ _STRINGS = T.ArrayType(T.StringType())
 @F.pandas_udf(T.StructType().add("text", "string").add("visible", _STRINGS).add("hidden", _STRINGS).add("flags", _STRINGS))
 def page_facts(pages: pd.Series) -> pd.DataFrame:
     """Text, links and flags from a single reading of each page."""
-    return pd.DataFrame([_told(read(p or "")) for p in pages], columns=["text", "visible", "hidden", "flags"])
+    return pd.DataFrame([told(p or "") for p in pages], columns=["text", "visible", "hidden", "flags"])
 
 
 @F.pandas_udf(_STRINGS)
 def page_flags(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda p: _told(read(p or ""))[3])
+    return pages.map(lambda p: told(p or "")[3])
 
 
 @F.pandas_udf(T.StringType())

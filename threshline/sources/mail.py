@@ -102,11 +102,11 @@ def parse(raw: bytes) -> dict:
     except Exception:  # a mail that no parser takes is still text to judge
         pages, plain, headers = [], [raw[:MOST].decode("utf-8", "replace")], []
     seen, hidden = [], []
-    for page in pages:
-        v, h = html.link_groups(page)
+    told = [html.told(page) for page in pages]
+    for _, v, h, _ in told:
         seen += v
         hidden += h
-    body = html.to_text(pages[0]) if pages else "\n".join(plain)
+    body = told[0][0] if pages else "\n".join(plain)
     return {"body": body, "headers": headers, "visible_urls": seen, "hidden_urls": hidden, "text_urls": html.URL.findall("\n".join(plain) or body), "from_unproven": sum(h["name"].lower() == "from" for h in headers) > 1}
 
 
