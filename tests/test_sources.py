@@ -201,3 +201,31 @@ def test_mail_is_parsed_whole():
     assert len(late) > 2 << 20 and got["body"].startswith("late words") and got["visible_urls"] == ["https://late.example/x"]
     long = mail.parse(b"Content-Type: text/plain\r\n\r\n" + b"word " * 300_000 + b"https://end.example/y")
     assert long["text_urls"] == ["https://end.example/y"] and len(long["body"]) > 1_400_000
+
+
+def test_member_flags_equal_the_column_form(spark):
+    from threshline.functions import text
+
+    names = ["invoice.pdf.exe", "scan.jpg   .js", "a/b\\run.exe .", "invoice\u202efdp.exe", "x.iso", "x.zip", "a.txt", "plain", "invoice.pdf。exe", "dir/.hidden", "a.b.c.lnk", "", "x.t\u200bar", "UP.PS1"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.name_flags(F.col("n"), True).alias("f")).collect()
+    assert {r.n: r.f for r in got} == {n: files.member_flags(n) for n in names}
+
+
+def test_inner_files_and_reports(spark):
+    import zlib
+
+    from threshline import engine
+
+    shown = zlib.compress(b"BT (Pay \\(now\\)) Tj T* [(at) 20 ( once)] TJ ET")
+    pdf = b"%PDF-1.4\n<< /Length 9 /Filter /FlateDecode >> stream\n" + shown + b"\nendstream /OpenAction /URI (https://bad.example/x)"
+    raw = _zip({"a/invoice.pdf": pdf, "evil.pdf.exe": b"MZ", "inner.zip": b"PK", "form.html": b"<form><input type=password></form>", "big.txt": b"0" * (2 << 20)})
+    d = spark.createDataFrame([(1, "f.zip", raw, None, False), (2, "none.pdf", None, None, False)], "id int, filename string, content binary, mime string, parent_trusted boolean")
+    bad = spark.createDataFrame([("https://bad.example/x", True, 1.0, ["google_safe_browsing"], ["MALWARE"])], "url string, malicious boolean, score double, sources array<string>, threat_types array<string>")
+    got = {r.id: r for r in engine.analyse_attachments(d, bad).collect()}
+    r = got[1]
+    assert r.extracted_text.endswith("Pay (now)\nat once") and r.extracted_urls == ["https://bad.example/x"]
+    assert {"nested_archive", "zip_bomb_suspected", "contains_password_field", "auto_execute_on_open", "executable_in_archive"} <= set(r.notable_features)
+    reasons = {m.name: m.reasons for m in r.suspicious_files}
+    assert reasons["evil.pdf.exe"] == ["fake extension", "program"] and reasons["a/invoice.pdf"] == ["runs on open", "flagged link"] and reasons["form.html"] == ["password form"]
+    assert r.rep_max == 1.0 and r.p_url >= 0.95 and r.is_phishing
+    assert got[2].notable_features == [] and got[2].suspicious_files == []

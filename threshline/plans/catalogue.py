@@ -478,7 +478,7 @@ _MARKS = "[" + ", ".join(f"CASE WHEN contains(body, '{m}') THEN '{f}' END" for m
 @query(f"SELECT page_id, array_to_string(list_filter(list_transform({_MARKS}, lambda x, i: CASE WHEN list_position({_MARKS}, x) = i THEN x END), lambda x: x IS NOT NULL), ',') AS flags, 'application/pdf' AS type, 'page ' || CAST(page_id AS STRING) AS shown FROM ({MARKED})")
 def pdf_markers(spark, sf_dir):
     d = frame(spark, sf_dir, MARKED).withColumn("raw", F.col("body").cast("binary"))
-    return d.select("page_id", F.array_join(files.pdf_markers(F.col("raw")), ",").alias("flags"), files.sniff_type(F.lit("a.txt"), F.col("raw"), F.lit("text/plain")).alias("type"), files.file_facts(F.lit("pdf"), F.col("raw"))["extracted_text"].alias("shown"))
+    return d.select("page_id", F.array_join(files.pdf_markers(F.col("raw")), ",").alias("flags"), files.sniff_type(F.lit("a.txt"), F.col("raw"), F.lit("text/plain")).alias("type"), files.file_facts(F.lit("application/pdf"), F.lit(None).cast("array<string>"), F.lit(None).cast("string"), F.col("raw"))["extracted_text"].alias("shown"))
 
 
 CALENDAR = "SELECT conv_id, turn, 'BEGIN:VEVENT' || chr(10) || 'SUMMARY:' || role || chr(10) || 'ORGANIZER;CN=x:mailto:u' || CAST(conv_id % 97 AS STRING) || '@acme.example' || chr(10) || CASE conv_id % 3 WHEN 0 THEN 'LOCATION:room ' || CAST(turn AS STRING) ELSE 'LOCATION:https://meet.example/' || chr(10) || ' ' || CAST(turn AS STRING) END || chr(10) || 'END:VEVENT' AS body FROM @conversations"

@@ -318,7 +318,7 @@ def merged_flags(a: Column, b: Column) -> Column:
 
 
 _PDF_STREAM = re.compile(rb"<<((?:[^<>]|<(?!<)|>(?!>)|<<[^<>]*>>){0,4000})>>\s*stream\r?\n")
-_PDF_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(T\*|Td|TD|ET)\b", re.S)
+_PDF_SHOWN = re.compile(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|'|\")|\[((?:[^\[\]()]|\((?:[^()\\]|\\.)*\))*)\]\s*TJ|(T\*|(?:Td|TD|ET)\b)", re.S)
 _PDF_ESCAPE = {b"n": b"\n", b"r": b"\n", b"t": b" ", b"b": b"", b"f": b""}
 
 
@@ -378,13 +378,37 @@ def page_source(content: bytes) -> dict:
 
 def plain_file(content: bytes) -> dict:
     body = content.decode("utf-8", "replace")
-    return {"extracted_text": body[:20_000], "extracted_urls": list(dict.fromkeys(re.findall(r"https?://[^\s\"'<>)\]}]+", body)))[:200], "notable_features": []}
+    return {"extracted_text": body[:20_000], "extracted_urls": list(dict.fromkeys(u.rstrip(".,;:!?") for u in re.findall(r"https?://[^\s\"'<>)\]}]+", body)))[:200], "notable_features": []}
 
 
 def invite_file(content: bytes) -> dict:
-    body = re.sub(r"\r?\n[ \t]", "", content.decode("utf-8", "replace")).replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";")
-    found = list(dict.fromkeys(re.findall(r"https?://[^\s\"'<>)\]}]+", body)))[:200]
-    return {"extracted_text": body[:20_000], "extracted_urls": found, "notable_features": ["calendar_invite", *(["calendar_with_links"] if found else [])]}
+    """What an invite's summary, description and place say, and every link in it."""
+    lines = re.sub(r"\r?\n[ \t]", "", content.decode("utf-8", "replace")).splitlines()
+    plain = lambda v: v.replace("\\n", "\n").replace("\\,", ",").replace("\\;", ";")
+    pairs = [(x.partition(":")[0].partition(";")[0].upper(), plain(x.partition(":")[2])) for x in lines if ":" in x]
+    body = "\n".join(re.sub("<[^>]*>", " ", v) for k, v in pairs if k in ("SUMMARY", "DESCRIPTION", "LOCATION", "URL", "ATTACH", "X-ALT-DESC"))[:20_000]
+    found = list(dict.fromkeys(re.findall(r"https?://[^\s\"'<>)\]}]+", "\n".join([body, *[v for _, v in pairs]]))))[:200]
+    return {"extracted_text": body, "extracted_urls": found, "notable_features": ["calendar_invite", *(["calendar_with_links"] if found else [])]}
+
+
+def member_flags(name: str) -> list[str]:
+    """``text.name_flags`` of one member's name, which is in compatibility form already."""
+    bidi = re.search("[\u200e\u200f\u202a-\u202e\u2066-\u2069]", name)
+    base = re.sub(r"[\s.\x85\xa0]+$", "", re.sub(r"^.*[/\\]", "", "".join(c for c in name if not _unseen(c)).translate(_DOTS), flags=re.S))
+    parts = [p.strip(" ") for p in base.lower().split(".")]
+    ext = parts[-1] if len(parts) > 1 else ""
+    runs = dims.EXECUTABLE_EXTS + dims.SCRIPT_EXTS + dims.SHORTCUT_EXTS
+    double = len(parts) >= 3 and parts[-2] in dims.DOCUMENT_EXTS and ext in runs
+    kinds = ((dims.EXECUTABLE_EXTS, "executable_in_archive"), (dims.SCRIPT_EXTS, "script_in_archive"), (dims.SHORTCUT_EXTS, "shortcut_in_archive"), (dims.DISK_IMAGE_EXTS, "disk_image_in_archive"), (dims.ARCHIVE_EXTS, "nested_archive"))
+    return [*(["double_extension"] if double or bidi else []), *[flag for exts, flag in kinds if ext in exts][:1]]
+
+
+_DOTS = str.maketrans("。｡﹒", "...")
+_FILLERS = frozenset([0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180F, 0x3164, 0xFFA0, *range(0x180B, 0x180E), *range(0xFE00, 0xFE10), *range(0xFFF0, 0xFFF9), *range(0xE0000, 0xE1000)])
+
+
+def _unseen(c: str) -> bool:
+    return c not in "\t\n\x0c\r" and (unicodedata.category(c) in ("Cf", "Cc") or ord(c) in _FILLERS)
 
 
 #: Readers of the members of an archive, by extension; more telling kinds are opened first.
@@ -441,18 +465,46 @@ def any_file(kind: str, content: bytes) -> dict:
         if office["kind"]:  # an Office file under another name is both
             got |= {k: office[k] for k in ("extracted_text", "extracted_urls")} | {"notable_features": list(dict.fromkeys([*got["notable_features"], *office["notable_features"]]))}
         return got
-    return {"pdf": pdf_facts, "office": office_package, "office_legacy": legacy_office, "mime": mime_pages, "page": page_source}[kind](content)
+    return {"pdf": pdf_facts, "office": office_package, "office_legacy": legacy_office, "mime": mime_pages, "page": page_source, "calendar": invite_file, "text": plain_file}[kind](content)
+
+
+def kind_of(mime: str, danger: list[str] | None, packed: str | None) -> str:
+    """How a file is read, by its type and by what its name and first bytes say."""
+    if danger is not None:
+        return "disk_image" if "disk_image_attachment" in danger else "executable"
+    if packed:
+        return "archive"
+    if mime in OOXML:
+        return "office"
+    if mime in (*LEGACY, "application/x-ole-storage"):
+        return "office_legacy"
+    known = {"application/pdf": "pdf", "application/zip": "archive_zip", "text/calendar": "calendar", "text/html": "page", "application/xhtml+xml": "page", "image/svg+xml": "page", "multipart/related": "mime", "message/rfc822": "mime"}
+    return known.get(mime) or {"image": "image", "text": "text"}.get(mime.partition("/")[0], "unsupported")
 
 
-_FACTS = T.StructType().add("names", _WORDS).add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)
-_FACTS = _FACTS.add("inner", T.ArrayType(T.StructType([f for f in T.StructType().add("name", "string").add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)])))
+_FACTS = T.StructType().add("type", "string").add("kind", "string").add("names", T.ArrayType(T.StructType().add("name", "string").add("flags", _WORDS))).add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)
+_FACTS = _FACTS.add("inner", T.ArrayType(T.StructType().add("name", "string").add("extracted_text", "string").add("extracted_urls", _WORDS).add("notable_features", _WORDS)))
 
 
 @F.pandas_udf(_FACTS)
-def file_facts(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-    """One reading of each file by its kind; files without content have no facts."""
-    none = {"names": [], "extracted_text": "", "extracted_urls": [], "notable_features": [], "inner": []}
-    return pd.DataFrame([none | {k: v for k, v in any_file(k, bytes(c)).items() if k in none} if c is not None else none for k, c in zip(kinds, contents, strict=True)], columns=list(none))
+def file_facts(types: pd.Series, dangers: pd.Series, packed: pd.Series, contents: pd.Series) -> pd.DataFrame:
+    """One reading of each file; files without content have no facts but those of their name."""
+
+    def one(mime: str, danger: list[str] | None, archive: str | None, content: bytes | None) -> dict:
+        danger = None if danger is None else list(danger)
+        kind = kind_of(mime or "", danger, archive)
+        got: dict = {}
+        if kind in ("executable", "disk_image"):
+            got = {"notable_features": danger}
+        elif kind == "archive":
+            got = {"notable_features": ["uninspectable_archive"]}
+        elif content is not None and kind not in ("image", "unsupported"):
+            got = any_file(kind, bytes(content))
+        names = [{"name": n, "flags": member_flags(n)} for n in got.get("names", [])]
+        flags = list(dict.fromkeys([*(f for n in names for f in n["flags"]), *got.get("notable_features", [])]))
+        return {"type": mime, "kind": kind, "names": names, "extracted_text": got.get("extracted_text", ""), "extracted_urls": got.get("extracted_urls", []), "notable_features": flags, "inner": got.get("inner", [])}
+
+    return pd.DataFrame([one(*row) for row in zip(types, dangers, packed, contents, strict=True)], columns=[f.name for f in _FACTS])
 
 
 #: Flags of inner files that explain a verdict (fixed values).
@@ -463,15 +515,16 @@ INNER_REASONS = {
 
 
 def archive_report(names: Column, inner: Column, bad_urls: Column) -> Column:
-    """Members that explain a verdict, (name, reasons), most reasons first, twenty at most: risky names, risky contents, flagged links."""
+    """Members that explain a verdict, (name, reasons), most reasons first, twenty at most: risky names (name, flags), risky contents, flagged links."""
     table = lambda d: F.create_map(*[F.lit(x) for k, v in d.items() for x in (k, v)])
     reasons = lambda flags, d: F.filter(F.transform(flags, lambda f: F.try_element_at(table(d), f)), lambda r: r.isNotNull())
     flagged = lambda u: F.when(F.arrays_overlap(u, bad_urls), F.array(F.lit("flagged link"))).otherwise(F.array().cast("array<string>"))
 
-    def row(name: Column, i: Column) -> Column:
+    def row(member: Column, i: Column) -> Column:
+        name = member["name"]
         own = F.filter(inner, lambda x: x["name"] == name)
         more = F.flatten(F.transform(own, lambda x: F.concat(reasons(x["notable_features"], INNER_REASONS), flagged(x["extracted_urls"]))))
-        all_ = F.array_distinct(F.concat(reasons(text.name_flags(name, True), dims.NAME_REASONS), more))
+        all_ = F.array_distinct(F.concat(reasons(member["flags"], dims.NAME_REASONS), more))
         return F.struct((-F.size(all_)).alias("n"), i.alias("at"), name.alias("name"), all_.alias("reasons"))
 
     rows = F.array_sort(F.filter(F.transform(names, row), lambda x: x["n"] < 0))
@@ -485,21 +538,8 @@ CAPABILITIES = {"html": True, "zip": True, "ooxml": True, "ole": True, "ics": Tr
 def analyse(files: DataFrame) -> DataFrame:
     """(…, type, kind, notable_features, extracted_text, extracted_urls, names, inner) of attachments (id, filename, content, mime), without their content.
 
-    One pass: types by built-in functions, then one reading of each file by its kind.
+    One pass: type, name and first bytes are judged by built-in functions, and each file is then read once.
     """
-    none, blank = F.array().cast("array<string>"), F.lit("")
-    d = files.withColumn("type", sniff_type(F.col("filename"), F.col("content"), F.col("mime"))).withColumn("danger", dangerous_type(F.col("filename"))).withColumn("packed", archive_kind(F.col("content")))
-    kind = F.when(F.col("danger").isNotNull(), F.when(F.array_contains("danger", "disk_image_attachment"), "disk_image").otherwise("executable"))
-    kind = kind.when(F.col("packed").isNotNull(), "archive").when(F.col("type") == "application/pdf", "pdf").when(F.col("type").isin(OOXML), "office").when(F.col("type").isin([*LEGACY, "application/x-ole-storage"]), "office_legacy")
-    kind = kind.when(F.col("type") == "application/zip", "archive_zip").when(F.col("type") == "text/calendar", "calendar").when(F.col("type").isin("text/html", "application/xhtml+xml", "image/svg+xml"), "page").when(F.col("type").isin("multipart/related", "message/rfc822"), "mime").when(F.col("type").startswith("image/"), "image").when(F.col("type").startswith("text/"), "text").otherwise("unsupported")
-    d = d.withColumn("kind", kind)
-    own = lambda *k: F.when(F.col("kind").isin(*k), F.col("content"))
-    d = d.withColumn("_f", file_facts(F.col("kind"), own("pdf", "office", "office_legacy", "archive_zip", "mime", "page"))).withColumn("_plain", F.decode(own("text"), "UTF-8"))
-    d = d.withColumn("_ics", F.struct(*[v.alias(k) for k, v in calendar_facts(own("calendar")).items()]))
-    is_kind = lambda *k: F.col("kind").isin(*k)
-    named = F.when(is_kind("archive_zip", "mime"), text.classify_names(F.col("_f.names"), True)).otherwise(none)
-    features = F.when(is_kind("executable", "disk_image"), F.col("danger")).when(is_kind("archive"), uninspectable(F.col("packed"))).when(is_kind("calendar"), F.col("_ics.notable_features")).otherwise(F.array_distinct(F.concat(named, F.col("_f.notable_features"))))
-    body = F.when(is_kind("calendar"), F.col("_ics.extracted_text")).when(is_kind("text"), F.left("_plain", F.lit(20_000))).otherwise(F.coalesce("_f.extracted_text", blank))
-    found = F.when(is_kind("calendar"), F.col("_ics.extracted_urls")).when(is_kind("text"), urls.urls_in_text(F.col("_plain"), 200)).otherwise(F.col("_f.extracted_urls"))
+    d = files.withColumn("_f", file_facts(sniff_type(F.col("filename"), F.col("content"), F.col("mime")), dangerous_type(F.col("filename")), archive_kind(F.col("content")), F.col("content")))
     kept = [c for c in files.columns if c != "content"]
-    return d.select(*kept, "type", "kind", features.alias("notable_features"), body.alias("extracted_text"), found.alias("extracted_urls"), F.col("_f.names").alias("names"), F.col("_f.inner").alias("inner"))
+    return d.select(*kept, *[F.col(f"_f.{f.name}").alias(f.name) for f in _FACTS])
