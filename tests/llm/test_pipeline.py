@@ -50,7 +50,7 @@ def test_stages_in_order_and_effective(spark, sf_dir):
 def test_run_equals_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    docs = simhash.drop_near_duplicates(lines.dedup_lines(docs))
+    docs = simhash.drop_near_duplicates(lines.dedup_runs(docs))
     docs = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     want = sorted(str((r.id, r.size, r.taken)) for r in mixing.mix_documents(docs).collect())
     assert sorted(str((r.doc_id, r["size"], r.taken)) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
