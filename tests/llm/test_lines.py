@@ -119,3 +119,24 @@ def test_very_long_texts(spark):
     docs = spark.createDataFrame([(1, long), (2, None), (3, "line 7\nline 8")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in lines.dedup_runs(docs).collect()}
     assert got == {1: "\n".join(f"line {i}" for i in range(40_000)), 2: None, 3: ""}
+
+
+def test_chunks_decide_before_pairs(spark, monkeypatch):
+    """A chunk that occurred before goes as such; pairs are matched only outside the copies, and both together leave the whole runs' result."""
+    kept, whole = [], lines._marked
+    monkeypatch.setattr(lines, "_marked", lambda *a: kept.append((a[3], whole(*a))) or kept[-1][1])
+    passage = "\n".join(f"passage line {i} {i * i}" for i in range(60))
+    texts = [f"own 0\n{passage}", f"own 1\nmore\n{passage}\nend", f"{passage}\n\n\nx", "passage line 7 49\npassage line 8 64", "a\n\n\nb", "c\n\n\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in lines.dedup_runs(docs).collect())
+    assert got == brute_runs([tuple(r) for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text)", "text").collect()])
+    pieces, marked = kept[0]
+    seen = set()
+    for r in sorted(marked.collect(), key=lambda r: r.c0):
+        ls, parts, gone = texts[r.c0].split("\n"), pieces(texts[r.c0]), set(r.gone or [])
+        cut = [(a, b) for a, b in lines.chunks(texts[r.c0]) if b - a > 1 and "\n\n\n" not in "\n".join(ls[a:b])]
+        copies = {parts[at][:2] for at in gone if parts[at][3] is None}
+        assert copies == {(a, b) for a, b in cut if tuple(ls[a:b]) in seen}
+        assert len(copies) > 8 or r.c0 not in (1, 2)
+        assert not any(x <= a and b <= y for x, y in copies for a, b in (parts[at][:2] for at in gone if parts[at][3] is not None))
+        seen |= {tuple(ls[a:b]) for a, b in cut}

@@ -1,20 +1,22 @@
-"""Line dedup by repeated runs of lines.
-
-``dedup_runs`` removes every run of two or more lines that occurred before (by
-id, then text hash, then position). Such a run is made of pairs of adjacent
-lines that all occurred before, so every pair is hashed, wherever the run
-begins and ends; a pair of two blank lines counts for nothing. The first
-occurrence of a line is never in such a pair and stays. A line that repeats
-between differing neighbours stays too: it is no run.
-
-``dedup_lines`` removes whole content-defined chunks only: a rolling hash over
-the hashes of the last ``WINDOW`` lines chooses their ends, so an insertion
-shifts boundaries only near itself, but what a passage shares with the chunks
-at its ends stays. All that it removes, blank lines apart, ``dedup_runs``
-removes as well.
-
-A piece (pair, or chunk of at least two lines) whose 128-bit hash occurs more
-than once in the corpus is a candidate; all its occurrences but the first are
+"""Line dedup by content-defined chunks of lines, and on to whole repeated runs.
+
+A rolling hash over the hashes of the last ``WINDOW`` lines chooses chunk ends,
+so an insertion shifts boundaries only near itself. A chunk of at least two
+lines that occurred before (by id, then text hash, then position) is a copy and
+goes whole. ``dedup_lines`` ends there.
+
+What a passage shares with the chunks at its ends, and a passage too short to
+hold a chunk, stays at that. So ``dedup_runs`` goes on at the finest cut, every
+two adjacent lines that lie in no copy: across chunk ends and in the chunks that
+were met first or once. A pair that occurred before goes too. As the first
+occurrence of a pair is never in a copy, the two steps together remove exactly
+the runs of two or more lines that occurred before. A pair of two blank lines
+counts for nothing, and a chunk that holds one is left to its pairs. The first
+occurrence of a line is never removed. A line that repeats between differing
+neighbours stays too: it is no run.
+
+A piece (chunk of at least two lines, or pair) whose 128-bit hash occurs more
+than once among its kind is a candidate; all its occurrences but the first are
 removed. Before anything is removed, the bytes of all occurrences are compared:
 within a task against a bounded table of pieces it has met, and what that does
 not settle in a shuffle by hash, one row a task and piece at most. Should two
@@ -54,8 +56,8 @@ EVERY = 4
 MOST = 64
 #: Bytes of pieces that a task keeps to compare further ones with.
 MET = 16 << 20
-#: (first line, line after the last, bytes or none) of every piece of a text.
-Pieces = Callable[[str], list[tuple[int, int, bytes]]]
+#: (first line, line after the last, bytes or none, chunk it lies in) of every piece of a text; the last is null for a chunk, -1 for a pair in none.
+Pieces = Callable[[str], list[tuple[int, int, bytes, int | None]]]
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(WINDOW)], dtype=np.uint64)
 
 
@@ -83,17 +85,24 @@ def _cut(hashes: list[int]) -> list[tuple[int, int]]:
     return ends
 
 
-def _pieces(text: str) -> list[tuple[int, int, bytes]]:
+def _pieces(text: str) -> list[tuple[int, int, bytes, None]]:
     """Chunks of at least two lines with their bytes; shorter ones with none."""
     lines = text.split("\n")
-    return [(a, b, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass") if b - a > 1 else b"") for a, b in chunks(text)]
+    return [(a, b, "\n".join(lines[a:b]).encode("utf-8", "surrogatepass") if b - a > 1 else b"", None) for a, b in chunks(text)]
 
 
-def _pairs(text: str) -> list[tuple[int, int, bytes]]:
-    """Every two adjacent lines with their bytes; two blank lines with none."""
+def _runs(text: str) -> list[tuple[int, int, bytes, int | None]]:
+    """The chunks, then every two adjacent lines, with their bytes; two blank lines, and chunks that hold them, with none."""
     lines = [x.encode("utf-8", "surrogatepass") for x in text.split("\n")]
     blank = [not x.strip() for x in lines]
-    return [(i, i + 2, b"" if blank[i] and blank[i + 1] else lines[i] + b"\n" + lines[i + 1]) for i in range(len(lines) - 1)]
+    void = [x and y for x, y in zip(blank, blank[1:])]
+    found, within = [], [-1] * len(void)
+    for at, (a, b) in enumerate(_cut([xxhash.xxh64_intdigest(x) for x in lines])):
+        whole = b - a > 1 and not any(void[a : b - 1])
+        found.append((a, b, b"\n".join(lines[a:b]) if whole else b"", None))
+        if whole:
+            within[a : b - 1] = [at] * (b - 1 - a)
+    return found + [(i, i + 2, b"" if void[i] else lines[i] + b"\n" + lines[i + 1], within[i]) for i in range(len(void))]
 
 
 def _key(id_col: str, text_col: str) -> list:
@@ -105,26 +114,26 @@ def _digest(data: bytes, salt: int) -> bytes:
 
 
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pieces: Pieces = _pieces, salt: int = 0) -> DataFrame:
-    """(k1, k2, at, h1, h2) of each multi-line piece; at is its number in the document."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+    """(k1, k2, at, h1, h2, within) of each multi-line piece; at is its number in the document, within that of its chunk."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("within", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for k1, k2, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for at, (_, _, data) in enumerate(pieces(text)):
+                for at, (_, _, data, within) in enumerate(pieces(text)):
                     if data:
-                        rows.append((k1, k2, at, *struct.unpack(">qq", _digest(data, salt))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+                        rows.append((k1, k2, at, *struct.unpack(">qq", _digest(data, salt)), within))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.contains("text", F.lit("\n")))
-    return d.select(*_key("id", "text"), "text").mapInArrow(run, "k1 long, k2 long, at int, h1 long, h2 long")
+    return d.select(*_key("id", "text"), "text").mapInArrow(run, "k1 long, k2 long, at int, h1 long, h2 long, within int")
 
 
 def dedup_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False) -> DataFrame:
     """``docs`` without the runs of two or more lines that occurred before; facts as in ``dedup_lines``."""
-    return dedup_lines(docs, id_col, text_col, facts, _pairs)
+    return dedup_lines(docs, id_col, text_col, facts, _runs)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", facts: bool = False, pieces: Pieces = _pieces) -> DataFrame:
@@ -162,13 +171,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], *more)
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces, salt: int) -> DataFrame:
-    """A written table of (packed text, gone, seen, c0, c1, ...): the numbers of a row's pieces that go, and of all that repeat; the text's own column is null."""
-    found = materialize(occurrences(docs, id_col, text_col, pieces, salt), "pieces")
+def _hits(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, at, later) of the pieces that repeat, later being at but for a first occurrence; and the table behind it."""
     place = F.struct("k1", "k2", "at")
     # one row a hash, written before the join: between two plain shuffles, a piece that very many documents share is split
     repeated = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first"), "repeated")
-    hits = found.join(repeated, ["h1", "h2"]).select("k1", "k2", "at", F.when(~place.eqNullSafe(F.col("first")), F.col("at")).alias("later"))
+    return found.join(repeated, ["h1", "h2"]).select("k1", "k2", "at", F.when(~place.eqNullSafe(F.col("first")), F.col("at")).alias("later")), repeated
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces, salt: int) -> DataFrame:
+    """A written table of (packed text, gone, seen, c0, c1, ...): the numbers of a row's pieces that go, and of all that repeat; the text's own column is null."""
+    found = materialize(occurrences(docs, id_col, text_col, pieces, salt), "pieces")
+    hits, repeated = _hits(found.where("within IS NULL"))
+    written = [found, repeated]
+    if pieces is _runs:
+        hits = materialize(hits, "chunks")
+        copies = hits.where("later IS NOT NULL").toDF("c1", "c2", "chunk", "later")
+        inside = F.col("k1").eqNullSafe(F.col("c1")) & (F.col("k2") == F.col("c2")) & (F.col("within") == F.col("chunk"))
+        rest = materialize(found.where("within IS NOT NULL").join(copies, inside, "left_anti").select("k1", "k2", "at", "h1", "h2"), "pairs")
+        finer, repeated = _hits(rest)
+        written += [hits, rest, repeated]
+        hits = hits.union(finer)
     marks = hits.groupBy("k1", "k2").agg(F.collect_set("later").alias("gone"), F.collect_set("at").alias("seen"))  # rows that repeat id and text have one list
     names = [f"c{i}" for i in range(len(docs.columns))]
     id_at, text_at = (docs.columns.index(c) for c in (id_col, text_col))
@@ -185,8 +208,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, pieces: Pieces, salt: i
     d = d.withColumn("d2", F.xxhash64(F.col(f"c{id_at}").cast("long"), F.col(f"c{text_at}"))).mapInArrow(pack_column, small)
     d = d.join(marks.hint("merge"), F.col(f"c{id_at}").cast("long").eqNullSafe(F.col("k1")) & (F.col("d2") == F.col("k2")), "left")
     marked = materialize(d.select("packed", "gone", "seen", *names), "marked")
-    release(found)
-    release(repeated)
+    for table in written:
+        release(table)
     return marked
 
 
